@@ -151,7 +151,7 @@ class LicenseScanner:
         ]
         self.first_template = len(phrases)
         self.sequences = sequences
-        self.labels = [label for _, label in (*phrases, *templates)]
+        self.labels = [label for _, label in phrases] + [label for label, _ in templates]
         self.automaton = SuffixAutomaton(sequences)
         size = len(self.vocabulary) + 1
         self.pairs = np.zeros((size, size), bool)
@@ -164,11 +164,15 @@ class LicenseScanner:
 
     def _phrases(self, state: int) -> list[tuple[int, int]]:
         """(phrase, its words) of the phrases that end every long enough string of the state."""
-        ends = self.automaton.ends[state]
-        own = [(k, len(self.sequences[k])) for k in range(self.first_template) if (k, len(self.sequences[k])) in ends]
-        above = self.automaton.link[state]
-        more = [x for x in self._phrases(above) if x not in own] if above > 0 else []
-        return own + more
+        if state <= 0:
+            return []
+        ends, above = self.automaton.ends[state], self.automaton.link[state]
+        own = [
+            (k, n)
+            for k, n in ((k, len(self.sequences[k])) for k in range(self.first_template))
+            if self.automaton.length[above] < n <= self.automaton.length[state] and (k, n) in ends
+        ]
+        return own + self._phrases(above)
 
     def scan(self, text: bytes) -> dict:
         words = text.translate(ALNUM_TABLE).split()

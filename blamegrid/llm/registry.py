@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import decontaminate, licenses, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op6_license_scan": licenses.op6_license_scan,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
 }
 
 #: Queries without an entry are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.OP4_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
