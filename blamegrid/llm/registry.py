@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing
+from . import decontaminate, language, licenses, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op6_license_scan": licenses.op6_license_scan,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_language_id": language.op9_language_id,
 }
 
 #: Queries without an entry are tested against brute force in tests/llm.
