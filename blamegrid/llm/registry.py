@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, mixing, quality
+from . import decontaminate, embeddings, language, licenses, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": mixing.op4_mix_sources,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language_id": language.op9_language_id,
+    "op10_embedding_dedup": embeddings.op10_embedding_dedup,
 }
 
 #: Queries without an entry are tested against brute force in tests/llm.
