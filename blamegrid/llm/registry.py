@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, language, licenses, mixing, quality
+from . import decontaminate, embeddings, language, licenses, minhash, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": minhash.op1_minhash_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_quality_classifier": quality.op7_quality_classifier,
