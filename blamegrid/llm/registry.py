@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, language, licenses, minhash, mixing, quality
+from . import chat, decontaminate, embeddings, language, licenses, minhash, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
+    "op2_chat_rotation": chat.op2_chat_rotation,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_url_filter": urls.op5_url_filter,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_decontaminate": decontaminate.op8_decontaminate,
@@ -19,4 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Queries without an entry are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.OP4_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_rotation": chat.OP2_SQL,
+    "op4_mix_sources": mixing.OP4_SQL,
+    "op5_url_filter": urls.OP5_SQL,
+    "op8_decontaminate": decontaminate.OP8_SQL,
+}
