@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, language, licenses, minhash, mixing, quality, urls
+from . import chat, decontaminate, embeddings, html, language, licenses, minhash, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
     "op2_chat_rotation": chat.op2_chat_rotation,
+    "op3_html_extract": html.op3_html_extract,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_url_filter": urls.op5_url_filter,
     "op6_license_scan": licenses.op6_license_scan,
