@@ -136,12 +136,17 @@ def leaf_blocks(page: str) -> list[Block]:
 
 
 def _path_features(path: tuple) -> tuple:
+    path = tuple(x for x in path if x[0] not in ("html", "body") or x[1])
     tags = {t for t, _ in path}
     near = next((t for t, _ in reversed(path) if t in SECTIONS), "none")
     hints = set().union(*(h for _, h in path)) if path else set()
     bad = hints - {"content"}
     found = {f"in:{t}" for t in tags} | {f"hint:{h}" for h in hints} | {f"near:{near}", f"tag:{path[-1][0] if path else 'none'}"}
     found |= {"hinted"} if bad else {f"clean:{near}"}
+    if "article" in tags or "main" in tags:
+        found.add(f"inner:{near}:{'hinted' if bad else 'clean'}")
+    else:
+        found.add(f"outer:{near}")
     if "content" in hints and not bad:
         found.add("clean content")
     return tuple(sorted(found))
@@ -183,9 +188,19 @@ _SAID = (
     "Why now?",
     "Those who live by the water have waited for this for twenty years, says the mayor, and she means to keep her word this time.",
 )
+#: Further content, in the elements that it may come in; the texts are content too.
+_MORE = (
+    "<ul><li>Stone from the old quarry</li><li>Two lanes and a footpath.</li></ul>",
+    "<div>The first plans were drawn in 1911.</div><p><a href='/plan'>The plan in full</a></p>",
+    "<table><tr><th>Year</th><td>Cost in millions</td></tr></table><pre>North bank: 12 m</pre>",
+    "<p>Sign up at the town hall; no newsletter and no cookies, she says.</p><ol><li><a href='/law'>The law</a></li></ol>",
+    "<section><h3>The other side</h3><p>All rights reserved, say the farmers of the north bank.</p></section><div><div>Reply to them!</div></div>",
+    "<figure><figcaption>The ford in winter</figcaption></figure><dl><dt>Ford</dt><dd>A crossing on foot</dd></dl>A line without an element.",
+)
 _PARTS = {
     "nav": ("<nav><ul>{}</ul></nav>", ("<li><a href='/a'>Home</a></li>", "<li><a href='/b'>News</a></li>", "<li><a href='/c'>Sport and games</a></li>")),
-    "header": ("<header class='masthead'>{}</header>", ("<div class='logo'>Daily Post</div>", "<p>All the news of the valley, every day.</p>")),
+    "header": ("<header class='masthead'>{}</header>", ("<h1>Daily Post</h1>", "<div class='logo'>The Post</div>", "<p>All the news of the valley, every day.</p>")),
+    "top": ("<header>{}</header>", ("<h1>Valley News</h1>", "<h2>Since 1890</h2>", "<p>Read by ten thousand people each day.</p>")),
     "ad": ("<div class='ad'>{}</div>", ("<p>Buy two shoes and pay for one, this week only.</p>", "<span>Cheap flights.</span>")),
     "promo": ("<section class='sponsored promo'>{}</section>", ("<h3>From our partners</h3>", "<p>How one trick made this woman rich in a week.</p>")),
     "aside": ("<aside class='sidebar'>{}</aside>", ("<h3>Most read</h3>", "<ul><li><a href='/x'>Storm on the way</a></li></ul>", "<p>The valley has seen many storms, and this one is no worse than others.</p>")),
@@ -200,17 +215,19 @@ _AROUND = ("<article>{}</article>", "<main>{}</main>", "<main><article class='po
 
 def labelled_pages() -> list[tuple[str, list[int]]]:
     """LABELLED: pages put together from parts whose label is known, and their blocks' labels."""
-    said = {" ".join(t.split()) for t in _SAID}
+    said = {*_SAID, *(b.text for more in _MORE for b in leaf_blocks(more))}
     parts = {k: around.format("".join(rows)) for k, (around, rows) in _PARTS.items()}
     pages = []
     inside = ("", "ad", "aside", "comments", "form", "share", "footer", "notice", "promo", "nav")
-    for around, inner, head in itertools.product(_AROUND, inside, (0, 1)):
+    for n, (around, inner, head) in enumerate(itertools.product(_AROUND, inside, (0, 1, 2))):
         title = f"<h1>{_SAID[3]}</h1>"
         body = (f"<header>{title}</header>" if head else title) + f"<p>{_SAID[0]}<p>{_SAID[1]}</p>" + parts.get(inner, "")
-        body += f"<h2>{_SAID[4]}</h2><p>{_SAID[2]}</p><blockquote>{_SAID[5]}</blockquote>"
+        body += f"<h2>{_SAID[4]}</h2><p>{_SAID[2]}</p><blockquote>{_SAID[5]}</blockquote>" + _MORE[n % len(_MORE)] + _MORE[n // 7 % len(_MORE)]
         page = parts["nav"] + parts["header"] + parts["notice"] + parts["ad"] + around.format(body) + parts["comments"] + parts["aside"] + parts["form"] + parts["footer"]
+        if head == 2:  # next to nothing: a line, a part of another kind, a line
+            body = _SAID[n % len(_SAID)] + parts.get(inner, "") + ("<p>" + _SAID[n // 2 % len(_SAID)] + "</p>") * (n % 3)
         if head:
-            page = parts["header"] + parts["nav"] + parts["promo"] + parts["aside"] + around.format(body) + parts["share"] + parts["comments"] + parts["footer"]
+            page = parts["top"] + parts["nav"] + parts["promo"] + parts["aside"] + around.format(body) + parts["share"] + parts["comments"] + parts["footer"]
         pages.append((page, [int(b.text in said) for b in leaf_blocks(page)]))
     return pages
 
