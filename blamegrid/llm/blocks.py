@@ -18,27 +18,23 @@ BLOCK = 1024
 
 
 def in_blocks(rows: DataFrame, keys: list[str], row_id: str, block: int = BLOCK) -> DataFrame:
-    """``rows`` with a string ``bucket`` and a ``side`` (0 or 1, null where all rows meet), sorted by both.
+    """``rows`` of groups of two or more, with a string ``bucket`` and a ``side`` (0 or 1; null where all rows meet).
 
     A group of n rows is cut into c = ceil(n / block) blocks by a hash of ``row_id``; a row goes to the c
     pairs of blocks that its own block is part of.
     """
     sizes = (
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
+        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
         .select(*(F.col(k).alias(f"_{k}") for k in keys), F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
     )
     same: Column = F.lit(True)
     for k in keys:
         same = same & (F.col(k) == F.col(f"_{k}"))
-    own = F.pmod(F.xxhash64(row_id), F.col("_blocks")).cast("int")
-    dealt = rows.join(sizes, same, "left").withColumn("_own", F.coalesce(own, F.lit(0))).withColumn(
-        "_with", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_blocks"), F.lit(1)) - 1))
-    )
+    dealt = rows.join(sizes, same).withColumn("_own", F.pmod(F.xxhash64(row_id), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     name = F.concat_ws("/", *keys, F.least("_own", "_with"), F.greatest("_own", "_with"))
     side = F.when(F.col("_own") != F.col("_with"), (F.col("_own") > F.col("_with")).cast("int"))
-    dealt = dealt.withColumn("bucket", name).withColumn("side", side)
-    dealt = dealt.drop("_own", "_with", "_blocks", *(f"_{k}" for k in keys))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "side")
+    return dealt.withColumn("bucket", name).withColumn("side", side).drop("_own", "_with", "_blocks", *(f"_{k}" for k in keys))
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -70,12 +66,13 @@ def whole_groups(batches: Iterable[pa.RecordBatch], rows: int = 4096) -> Iterato
 def pairs(starts: np.ndarray, side: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (left < right) of all rows that meet, ``most`` of them or one row's at a time.
 
-    ``side`` is -1 where all rows of the group meet; else 0 rows (which come first) meet 1 rows.
+    ``side`` is -1 where all rows of the group meet. Else the rows of side 0, which come first, don't meet each
+    other but all rows of other sides; rows of side 1 don't meet each other either, those of side 2 do.
     """
     n = int(starts[-1])
     sizes = np.diff(starts)
     end = np.repeat(starts[1:], sizes)
-    ones = np.concatenate([[0], np.cumsum(side == 1)])
+    ones = np.concatenate([[0], np.cumsum(side > 0)])
     first_one = np.repeat(starts[1:] - (ones[starts[1:]] - ones[starts[:-1]]), sizes)
     row = np.arange(n)
     low = np.where(side == 0, first_one, row + 1)

@@ -32,6 +32,7 @@ from .components import connected_components
 
 THRESHOLD = 0.98
 MISS = 1e-6
+KEY_ROTATIONS = 8
 CONFIDENCE = 4.75  # standard deviations of the estimate
 
 
@@ -42,27 +43,40 @@ def rotations(dim: int, count: int, seed: int = 7) -> np.ndarray:
 
 
 class Codes:
-    """What the codes look like: key bits, keys and rotations for vectors of ``dim`` components."""
+    """What the codes look like for vectors of ``dim`` components, ``rows`` of them in the largest label.
+
+    A key is a random choice of ``bits`` of the sign bits of KEY_ROTATIONS rotations; one more rotation serves the
+    estimates, so that sharing a key doesn't bias them. The number of keys is the smallest for which a
+    pair at the threshold shares none with a probability of ``miss`` at most.
+    """
 
     def __init__(self, dim: int, rows: int, threshold: float = THRESHOLD, miss: float = MISS):
-        agree = 1 - math.acos(threshold) / math.pi
         self.dim, self.threshold = dim, threshold
-        self.bits = min(dim, max(8, math.ceil(math.log2(max(rows, 2))) - 3), 30)
-        self.keys = math.ceil(math.log(miss) / math.log(1 - agree**self.bits))
-        self.per_rotation = dim // self.bits
-        self.rotations = math.ceil(self.keys / self.per_rotation) + 1
+        self.rotations = KEY_ROTATIONS + 1
+        total = dim * KEY_ROTATIONS
+        self.bits = min(total, 30, math.ceil(math.log2(max(rows, 2))) + 4)
+        differ = math.acos(threshold) / math.pi
+        apart = np.arange(total + 1)  # of the bits, how many differ
+        logs = np.array([math.lgamma(k + 1) for k in range(total + 1)])
+        chance = np.exp(logs[-1] - logs - logs[::-1] + apart * math.log(differ) + (total - apart) * math.log1p(-differ))
+        share = np.ones(total + 1)
+        for k in range(self.bits):
+            share *= np.maximum(total - apart - k, 0) / (total - k)
+        self.keys = next(n for n in range(1, 1 << 12) if (chance * (1 - share) ** n).sum() <= miss or n == (1 << 12) - 1)
+        rng = np.random.default_rng([11, dim])
+        self.chosen = np.stack([rng.choice(total, self.bits, replace=False) for _ in range(self.keys)])
 
     def turned(self, x: np.ndarray) -> np.ndarray:
         return np.einsum("nd,rdk->nrk", x, rotations(self.dim, self.rotations), optimize=True)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Packed signs, correction factors and keys of unit vectors."""
+        """Packed signs by rotation, correction factors and keys of unit vectors."""
         turned = self.turned(x)
         signs = turned > 0
         factors = np.abs(turned).sum(axis=2) / math.sqrt(self.dim)
-        weights = 1 << np.arange(self.bits)
-        used = signs[:, :, : self.per_rotation * self.bits].reshape(len(x), -1, self.bits)
-        return np.packbits(signs.reshape(len(x), -1), axis=1), factors.astype(np.float32), (used @ weights)[:, : self.keys].astype(np.int32)
+        flat = signs[:, :KEY_ROTATIONS].reshape(len(x), -1)
+        keys = flat[:, self.chosen] @ (1 << np.arange(self.bits))
+        return np.packbits(signs, axis=2), factors.astype(np.float32), keys.astype(np.int32)
 
 
 def usable(embedding: str = "embedding", label: str = "label"):
@@ -73,31 +87,40 @@ def usable(embedding: str = "embedding", label: str = "label"):
     )
 
 
-def _floats(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+def unit(vectors: np.ndarray) -> np.ndarray:
+    x = vectors.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # else very large or small components overflow
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
 def link_sums(index: DataFrame, codes: Codes) -> DataFrame:
-    """(rep, links, root) parts: links to sum up, and an edge (rep, root) where root isn't null."""
-    keyed = index.select("rep", "n", "label", "unit", "code", "factors", "keys_bytes", F.posexplode("keys").alias("place", "key"))
-    rows = in_blocks(keyed, ["place", "key", "label"], "rep")
+    """(rep, links, root) parts: links to sum up, and an edge (rep, root) where root isn't null.
+
+    Only vectors that share a key with another are sent to its bucket, with their last code.
+    """
+    keyed = index.select("rep", "label", F.posexplode("keys").alias("place", "key"))
+    last = codes.rotations - 1
+    payload = index.select(F.col("rep").alias("r"), "n", "vector", F.get("codes", F.lit(last)).alias("code"), F.get("factors", F.lit(last)).alias("factor"), "keys")
+    rows = in_blocks(keyed, ["place", "key", "label"], "rep").select("rep", "place", "bucket", "side").join(payload, F.col("rep") == F.col("r")).drop("r")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "side")
 
     def compare(batches):
         for whole, starts in whole_groups(batches):
             rep, n = np.asarray(whole.column("rep")), np.asarray(whole.column("n"))
             side = np.asarray(whole.column("side").fill_null(-1))
             place = np.asarray(whole.column("place"))
-            unit = _floats(whole.column("unit"), codes.dim)
-            keys = np.frombuffer(b"".join(whole.column("keys_bytes").to_pylist()), np.int32).reshape(-1, codes.keys)
-            factors = np.frombuffer(b"".join(whole.column("factors").to_pylist()), np.float32).reshape(-1, codes.rotations)
-            packed = np.frombuffer(b"".join(whole.column("code").to_pylist()), np.uint8).reshape(len(rep), -1)
-            signs = np.unpackbits(packed, axis=1)[:, : codes.rotations * codes.dim].reshape(-1, codes.rotations, codes.dim)
-            last = codes.rotations - 1  # its bits are in no key, so sharing a key doesn't bias its estimate
-            turned = unit @ rotations(codes.dim, codes.rotations)[last]
-            code = (signs[:, last, :].astype(np.float32) * 2 - 1) / np.float32(math.sqrt(codes.dim))
-            factor = factors[:, last].astype(float)
+            vectors = whole.column("vector").chunk(0)
+            x = unit(_matrix(vectors, np.float32 if len(vectors[0].as_py()) == 4 * codes.dim else np.float64, codes.dim))
+            keys = np.asarray(whole.column("keys").chunk(0).flatten()).reshape(-1, codes.keys)
+            factor = np.asarray(whole.column("factor")).astype(np.float64)
+            packed = _matrix(whole.column("code").chunk(0), np.uint8, (codes.dim + 7) // 8)
+            code = (np.unpackbits(packed, axis=1)[:, : codes.dim].astype(np.float32) * 2 - 1) / np.float32(math.sqrt(codes.dim))
+            turned = (x @ rotations(codes.dim, codes.rotations)[last]).astype(np.float32)
             error = CONFIDENCE * np.sqrt(np.maximum(0.0, 1 - factor**2)) / factor / math.sqrt(max(codes.dim - 1, 1))
-            turned = turned.astype(np.float32)
             links, lefts, rights = np.zeros(len(rep), np.int64), [], []
             for left, right in pairs(starts, side):
                 estimate = np.einsum("nd,nd->n", code[left], turned[right]) / factor[left]
@@ -106,7 +129,7 @@ def link_sums(index: DataFrame, codes: Codes) -> DataFrame:
                 before = np.arange(codes.keys) < place[left, None]
                 fresh = ~((keys[left] == keys[right]) & before).any(axis=1)
                 left, right = left[fresh], right[fresh]
-                near = np.einsum("nd,nd->n", unit[left], unit[right]) >= codes.threshold
+                near = np.einsum("nd,nd->n", x[left], x[right]) >= codes.threshold
                 left, right = left[near], right[near]
                 links += np.bincount(left, weights=n[right], minlength=len(rep)).astype(np.int64)
                 links += np.bincount(right, weights=n[left], minlength=len(rep)).astype(np.int64)
@@ -120,12 +143,13 @@ def link_sums(index: DataFrame, codes: Codes) -> DataFrame:
                 {"rep": pa.array(rep[told]), "links": pa.array(links[told]), "root": pa.array(root[told], mask=root[told] == rep[told])}
             )
 
-    fields = ["rep", "n", "place", "unit", "code", "factors", "keys_bytes", "bucket", "side"]
-    return rows.select(fields).mapInArrow(compare, "rep long, links long, root long")
+    return rows.mapInArrow(compare, "rep long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """Per row of ``vectors(vec_id, embedding, label)``: vec_id, n_links, component_id, kept."""
+    if vectors.schema["embedding"].dataType.simpleString() != "array<float>":
+        vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("string").alias("label"), usable().alias("ok"))
     kind = (F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit("again"), "embedding", "label").alias("h2"))
     classes = materialize(
@@ -163,28 +187,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
 
 
 def _index(classes: DataFrame, codes: Codes) -> DataFrame:
+    """The stored index: vector, code and correction factor of each rotation, and keys."""
+
     def encode(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                x = np.array(part.column("embedding").to_pylist(), np.float64).reshape(-1, codes.dim)
-                x /= np.abs(x).max(axis=1, keepdims=True)  # else very large or small components overflow
-                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-                code, factors, keys = codes.encode(x)
+                values = part.column("embedding").flatten()
+                x = np.asarray(values).reshape(-1, codes.dim)
+                packed, factors, keys = codes.encode(unit(x))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "rep": part.column("rep"),
                         "n": part.column("n"),
                         "label": part.column("label"),
-                        "unit": pa.array([r.tobytes() for r in x], pa.binary()),
-                        "code": pa.array([r.tobytes() for r in code], pa.binary()),
-                        "factors": pa.array([r.tobytes() for r in factors], pa.binary()),
-                        "keys_bytes": pa.array([r.tobytes() for r in keys], pa.binary()),
+                        "vector": pa.array([r.tobytes() for r in x], pa.binary()),
+                        "codes": pa.array([[c.tobytes() for c in r] for r in packed], pa.list_(pa.binary())),
+                        "factors": pa.array(factors.tolist(), pa.list_(pa.float32())),
                         "keys": pa.array(keys.tolist(), pa.list_(pa.int32())),
                     }
                 )
 
-    schema = "rep long, n long, label string, unit binary, code binary, factors binary, keys_bytes binary, keys array<int>"
+    schema = "rep long, n long, label string, vector binary, codes array<binary>, factors array<float>, keys array<int>"
     return classes.select("rep", "n", "label", "embedding").mapInArrow(encode, schema)
 
 
