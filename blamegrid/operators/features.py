@@ -142,6 +142,8 @@ def temporal_shuffle(rows: DataFrame, spec: GridSpec, salt: str = "shuffle") ->
     )
     moved = F.transform(F.array_sort(order), lambda o: o["bin"])
     cases = rows.select("case_id").distinct().withColumn("moved", moved)  # one hash per case and bin
-    return rows.join(cases, "case_id").withColumns(
-        {c: F.transform("moved", lambda b, c=c: F.get(F.col(c), b)) for c in ("z", "mask")}
-    ).drop("moved")
+    joined = rows.join(cases, "case_id")
+    for c in ("z", "mask"):
+        values = F.col(c)
+        joined = joined.withColumn(c, F.transform("moved", lambda b: F.get(values, b)))
+    return joined.drop("moved")

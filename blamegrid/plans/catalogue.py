@@ -1,10 +1,555 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL. Doubles are rounded on both sides, after everything is decided."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import names
+from ..functions.grid import BASE, FEATURE_DIGEST, MORPHOLOGY
+from ..operators import condlogit, contracts, features, normalize, ranking, relative, splits, stats, telemetry
+from ..sources import ingest
+from . import fixtures as fx
+from . import incident_sql as sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+A = sql.chain("a")
+
+
+def query(oracle: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def tidy(x: Column | str, digits: int = 6) -> Column:
+    """Rounded, and without a negative zero."""
+    return F.round(x, digits) + F.lit(0.0)
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.select(*(tidy(f"`{c}`", digits).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns))
+
+
+# --- telemetry to features ---------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {sql.CASES_A.strip()},{sql.TELEMETRY_A}
+    SELECT c.case_id, t.channel, CAST(floor((t.ts - (c.anchor - 864000)) / 21600.0::DOUBLE) AS INT) AS bin, count(*) AS n, round(min(t.ts), 3) + 0.0 AS first_ts
+    FROM telemetry t JOIN cases c ON t.ts >= c.anchor - 864000 AND t.ts < c.anchor + 864000 GROUP BY ALL"""
+)
+def case_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = telemetry.case_windows(fx.events_long(spark, sf_dir), fx.event_cases(spark), fx.GRID_A)
+    return rows.groupBy("case_id", "channel", "bin").agg(F.count(F.lit(1)).alias("n"), tidy(F.min("ts"), 3).alias("first_ts"))
+
+
+@query(
+    f"WITH {sql.TELEMETRY_B.strip()} SELECT indicator, channel, count(*) AS n, round(sum(value), 2) + 0.0 AS total, round(min(ts), 0) + 0.0 AS first_ts FROM telemetry GROUP BY ALL"
+)
+def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = fx.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("sup"), (F.col("l_suppkey") % 8).cast("string"), F.lit("_"), F.col("l_returnflag")).alias("series"),
+        fx.seconds_since("l_shipdate", "1995-01-01").alias("ts"),
+        *fx.MEASURES,
+    )
+    long = telemetry.wide_to_long(wide, ["series"], "ts")
+    channel = F.coalesce(*(F.when(F.col("indicator") == m, F.lit(c)) for m, c in fx.MEASURES.items()))
+    named = long.select(F.concat_ws("_", "series", "indicator").alias("indicator"), channel.alias("channel"), "ts", "value")
+    return named.groupBy("indicator", "channel").agg(F.count(F.lit(1)).alias("n"), tidy(F.sum("value"), 2).alias("total"), tidy(F.min("ts"), 0).alias("first_ts"))
+
+
+@query(A + " SELECT * FROM mapped")
+def indicator_service_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = fx.event_cases(spark)
+    rows = fx.events_long(spark, sf_dir).select("channel", "indicator").distinct()
+    spread = rows.withColumn("case_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(fx.CASES - 1)), lambda j: F.concat(F.lit("case-"), F.lpad(j.cast("string"), 2, "0")))))
+    return telemetry.indicator_services(spread, fx.candidate_rows(cases)).select("case_id", "channel", "indicator", "service")
+
+
+@query(A + f" SELECT case_id, service, channel, indicator, bin, {sql.rounded('x')} FROM binned")
+def binned_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fx.event_bins(spark, sf_dir), "x")
+
+
+@query(sql.chain("b") + f" SELECT case_id, service, channel, indicator, bin, {sql.rounded('x')} FROM binned")
+def shipment_binned_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fx.shipment_bins(spark, sf_dir), "x")
+
+
+@query(A + f" SELECT DISTINCT case_id, service, channel, indicator, {sql.rounded('center', 'scale', digits=9)} FROM scaled")
+def robust_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = normalize.robust_scale(fx.event_bins(spark, sf_dir), fx.GRID_A)
+    return rounded(scaled.groupBy(*normalize.SERIES).agg(F.first("center").alias("center"), F.first("scale").alias("scale")), "center", "scale", digits=9)
+
+
+@query(A + f" SELECT case_id, service, channel, bin, {sql.rounded('q')} FROM profile")
+def service_q90(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fx.event_profile(spark, sf_dir), "q")
+
+
+@query(A + f" SELECT case_id, service, channel, {sql.rounded(*BASE)} FROM dense")
+def base_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fx.event_features(spark, sf_dir).select("case_id", "service", "channel", *BASE), *BASE)
+
+
+@query(A + f" SELECT case_id, service, channel, {sql.rounded(*MORPHOLOGY)} FROM dense")
+def morphology_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fx.event_features(spark, sf_dir).select("case_id", "service", "channel", *MORPHOLOGY), *MORPHOLOGY)
+
+
+@query(A + f" SELECT case_id, service, {sql.rounded('a')} FROM magnitudes")
+def anomaly_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.magnitudes(fx.event_features(spark, sf_dir)), "a")
+
+
+_RANKED = ", ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY round(a, 9) DESC, service) AS INT) AS rank FROM magnitudes)"
+
+
+def _magnitude_ranking(spark: SparkSession, dense: DataFrame) -> DataFrame:
+    scores = features.magnitudes(dense).withColumn("score", F.round("a", 9))  # equal in either engine
+    return ranking.ranked(scores).select("case_id", "service", "a", "rank")
+
+
+@query(A + _RANKED + f" SELECT case_id, service, {sql.rounded('a')}, rank FROM ranked")
+def magnitude_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_magnitude_ranking(spark, fx.event_features(spark, sf_dir)), "a")
+
+
+@query(sql.chain("b") + _RANKED + f" SELECT case_id, service, {sql.rounded('a')}, rank FROM ranked")
+def shipment_magnitude_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_magnitude_ranking(spark, fx.shipment_features(spark, sf_dir)), "a")
+
+
+def _trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = fx.event_profile(spark, sf_dir).persist()
+    dense = features.densified(features.cell_features(profile, fx.GRID_A), fx.candidate_rows(fx.event_cases(spark)))
+    return features.trajectories(profile, dense, fx.GRID_A)
+
+
+_Z = """, grid AS (
+  SELECT d.case_id, d.service, d.channel, d.channel_ix, b.bin, CASE WHEN d.morphology_active > 0 THEN coalesce(p.z, 0) ELSE 0 END AS z,
+         CASE WHEN p.q IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS mask
+  FROM dense d CROSS JOIN (SELECT CAST(k AS INT) AS bin FROM range(80) r(k)) b
+  LEFT JOIN shaped p ON p.case_id = d.case_id AND p.service = d.service AND p.channel = d.channel AND p.bin = b.bin)"""
+
+
+@query(A + _Z + f" SELECT case_id, service, channel, bin, {sql.rounded('z')}, mask FROM grid")
+def z_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _trajectories(spark, sf_dir).select("case_id", "service", "channel", F.posexplode(F.arrays_zip("z", "mask")).alias("bin", "both"))
+    return rounded(rows.select("case_id", "service", "channel", "bin", "both.z", "both.mask"), "z")
+
+
+@query(
+    A + _Z + f""", parts AS (
+    SELECT case_id, service, channel_ix * 169 + k AS ix, [{', '.join(BASE)}][k + 1] AS value FROM dense, range(8) r(k)
+    UNION ALL SELECT case_id, service, channel_ix * 169 + 8 + bin, z FROM grid
+    UNION ALL SELECT case_id, service, channel_ix * 169 + 88 + bin, mask FROM grid
+    UNION ALL SELECT case_id, service, channel_ix * 169 + 168, morphology_active FROM dense)
+    SELECT case_id, service, CAST(ix AS INT) AS ix, {sql.rounded('value')} FROM parts"""
+)
+def z3_vector_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = features.feature_vectors(_trajectories(spark, sf_dir), "z3")
+    return rounded(features.long_view(vectors).drop("name"), "value")
+
+
+@query(A + f" SELECT case_id, service, CAST(ix AS INT) AS ix, {sql.NAMES}[ix + 1] AS name, {sql.rounded('value')} FROM long")
+def z2_vector_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.long_view(features.feature_vectors(fx.event_features(spark, sf_dir))), "value")
+
+
+@query(
+    A + _Z + f""", moved AS (
+    SELECT case_id, CAST(k AS INT) AS old, CAST(row_number() OVER (PARTITION BY case_id ORDER BY sha256('shuffle:' || case_id || ':' || k)) - 1 AS INT) AS bin FROM cases, range(80) r(k))
+    SELECT g.case_id, g.service, g.channel, m.bin, {sql.rounded('z')}, g.mask FROM grid g JOIN moved m ON m.case_id = g.case_id AND m.old = g.bin"""
+)
+def temporal_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = features.temporal_shuffle(_trajectories(spark, sf_dir), fx.GRID_A)
+    rows = moved.select("case_id", "service", "channel", F.posexplode(F.arrays_zip("z", "mask")).alias("bin", "both"))
+    return rounded(rows.select("case_id", "service", "channel", "bin", "both.z", "both.mask"), "z")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The z2 vectors, rounded as the SQL rounds them, so that ties are the same."""
+    vectors = features.feature_vectors(fx.event_features(spark, sf_dir))
+    return vectors.withColumn("features", F.transform("features", lambda x: tidy(x)))
+
+
+_LONG = ", flat AS (SELECT case_id, service, CAST(ix AS INT) AS ix, round(value, 6) + 0.0 AS value FROM long)"
+
+
+@query(
+    A + _LONG + f""" SELECT case_id, service, ix, value, {sql.rounded('pct')} FROM (
+    SELECT *, (rank() OVER (PARTITION BY case_id, ix ORDER BY value) + (count(*) OVER (PARTITION BY case_id, ix, value) - 1) / 2.0::DOUBLE - 1)
+              / (count(*) OVER (PARTITION BY case_id, ix) - 1) AS pct FROM flat)"""
+)
+def within_event_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(relative.within_event_percentiles(features.long_view(_vectors(spark, sf_dir)).drop("name")), "pct")
+
+
+@query(
+    A + _LONG + f""" SELECT v.case_id, m.context_id, v.service, v.ix, v.value,
+    round((sum(CASE WHEN c.value < v.value THEN 1 ELSE 0 END) + 0.5 * sum(CASE WHEN c.value = v.value THEN 1 ELSE 0 END)) / count(*)::DOUBLE, 6) + 0.0 AS pct
+    FROM flat v JOIN (SELECT a.case_id, b.case_id AS context_id FROM cases a JOIN cases b ON b.anchor = a.anchor + 43200) m ON m.case_id = v.case_id
+    JOIN flat c ON c.case_id = m.context_id AND c.ix = v.ix GROUP BY ALL"""
+)
+def foreign_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = features.long_view(_vectors(spark, sf_dir)).drop("name")
+    cases = fx.event_cases(spark)
+    match = cases.select("case_id", "anchor").join(cases.select(F.col("case_id").alias("context_id"), (F.col("anchor") - 43200).alias("anchor")), "anchor").drop("anchor")
+    return rounded(relative.foreign_percentiles(long, long, match), "pct")
+
+
+@query(
+    A + f""", reports AS (
+    SELECT d.case_id, min(m.a) AS a_min, max(m.a) AS a_max, avg(d.coverage) AS coverage, avg(d.channel_available) AS available, avg(d.morphology_active) AS active,
+           count(DISTINCT d.service) AS candidates, bool_and(isfinite(m.a)) AS finite
+    FROM dense d JOIN magnitudes m ON m.case_id = d.case_id AND m.service = d.service GROUP BY d.case_id)
+    SELECT case_id, {sql.rounded('a_min', 'a_max', 'coverage', 'available', 'active')}, candidates, finite FROM reports"""
+)
+def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = fx.event_features(spark, sf_dir)
+    rows = dense.join(features.magnitudes(dense), ["case_id", "service"])
+    report = rows.groupBy("case_id").agg(
+        F.min("a").alias("a_min"), F.max("a").alias("a_max"), F.avg("coverage").alias("coverage"), F.avg("channel_available").alias("available"),
+        F.avg("morphology_active").alias("active"), F.count_distinct("service").alias("candidates"), F.bool_and(~F.isnan("a")).alias("finite"),
+    )
+    return rounded(report, "a_min", "a_max", "coverage", "available", "active")
+
+
+# --- cases, names and contracts ----------------------------------------------------------------------------
+
+_CONDITION = """conditions AS (
+  SELECT service || '_' || ['cpu', 'mem', 'disk', 'socket', 'delay', 'loss', 'fire'][user_id % 7 + 1] AS condition, user_id % 4 + 1 AS replicate, event_id, user_id, service, event_type
+  FROM (SELECT *, 'svc' || (user_id % 6) || CASE WHEN user_id % 12 >= 6 THEN '_b' ELSE '' END AS service FROM events))"""
+
+
+def _conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.col("user_id")
+    service = F.concat(F.lit("svc"), (user % 6).cast("string"), F.when(user % 12 >= 6, "_b").otherwise(""))
+    fault = F.get(F.array(*(F.lit(f) for f in (*names.FAULT_TYPES, "fire"))), (user % 7).cast("int"))
+    return fx.table(spark, sf_dir, "events").select(
+        F.concat_ws("_", service, fault).alias("condition"), (user % 4 + 1).alias("replicate"), "event_id", "user_id", service.alias("service"), "event_type"
+    )
+
+
+@query(
+    f"""WITH {_CONDITION} SELECT condition, regexp_extract(condition, '^(.*)_([^_]*)$', 1) AS root, regexp_extract(condition, '^(.*)_([^_]*)$', 2) AS fault,
+    regexp_extract(condition, '^(.*)_([^_]*)$', 2) <> 'fire' AS known, count(*) AS n FROM conditions GROUP BY condition"""
+)
+def condition_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _conditions(spark, sf_dir).groupBy("condition").agg(F.count(F.lit(1)).alias("n"))
+    c = F.col("condition")
+    return rows.select("condition", names.head(c).alias("root"), names.tail(c).alias("fault"), names.known_fault(c).alias("known"), "n")
+
+
+@query(
+    f"WITH {_CONDITION} SELECT DISTINCT condition || '/' || replicate AS relative, 'ev-' || substr(sha256('events:' || condition || '/' || replicate), 1, 16) AS case_id FROM conditions"
+)
+def opaque_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _conditions(spark, sf_dir).select(F.concat_ws("/", "condition", "replicate").alias("relative")).distinct()
+    return rows.select("relative", names.opaque_id("ev", "events", F.col("relative")).alias("case_id"))
+
+
+@query(
+    f"""WITH {_CONDITION}, indicators AS (
+      SELECT DISTINCT 'd' || (user_id % 5) AS case_id,
+        CASE WHEN user_id % 50 = 0 THEN 'istio-init' ELSE service END || CASE event_type WHEN 'click' THEN '_cpu' WHEN 'view' THEN '_mem' ELSE '_latency-50' END AS indicator FROM conditions),
+    named AS (SELECT DISTINCT case_id, regexp_extract(indicator, '^(.*)_([^_]*)$', 1) AS candidate FROM indicators WHERE regexp_matches(indicator, '_(cpu|mem)$'))
+    SELECT case_id, string_agg(candidate, ',' ORDER BY candidate) AS candidates FROM named
+    WHERE candidate NOT IN ('frontend-check', 'frontend-external', 'istio-init', 'loadgenerator') GROUP BY case_id"""
+)
+def candidate_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entity = F.when(F.col("user_id") % 50 == 0, "istio-init").otherwise(F.col("service"))
+    suffix = F.when(F.col("event_type") == "click", "_cpu").when(F.col("event_type") == "view", "_mem").otherwise("_latency-50")
+    rows = _conditions(spark, sf_dir).select(F.concat(F.lit("d"), (F.col("user_id") % 5).cast("string")).alias("case_id"), F.concat(entity, suffix).alias("indicator")).distinct()
+    return ingest.candidate_arrays(ingest.derive_candidates(rows)).select("case_id", F.array_join("candidates", ",").alias("candidates"))
+
+
+_FILES = "[" + ", ".join(f"'{f}'" for f in sorted(ingest.CASE_FILES)) + "]"
+
+
+@query(
+    f"""WITH {_CONDITION}, found AS (
+      SELECT condition, replicate, list(DISTINCT {_FILES}[CAST(event_id % 8 AS INT) + 1]) AS files, min(CASE WHEN user_id % 12 <> 5 THEN event_id END) AS anchor,
+             list(DISTINCT CASE WHEN replicate = 2 THEN 'svc0' ELSE service END) AS candidates
+      FROM conditions WHERE NOT condition LIKE '%fire' GROUP BY condition, replicate),
+    lacking AS (SELECT *, [f for f in {_FILES} if NOT list_contains(files, f)] AS missing, regexp_extract(condition, '^(.*)_([^_]*)$', 1) AS root FROM found)
+    SELECT condition, replicate, CASE WHEN len(missing) > 0 THEN 'missing:' || array_to_string(missing, ',') WHEN anchor IS NULL THEN 'parse_error:anchor'
+      WHEN NOT list_contains(candidates, root) THEN 'root_not_in_candidates' END AS reason FROM lacking"""
+)
+def case_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = F.get(F.array(*(F.lit(f) for f in sorted(ingest.CASE_FILES))), (F.col("event_id") % 8).cast("int"))
+    rows = _conditions(spark, sf_dir).filter(names.known_fault(F.col("condition")))
+    found = rows.groupBy("condition", "replicate").agg(
+        F.collect_set(file).alias("files"),
+        F.min(F.when(F.col("user_id") % 12 != 5, F.col("event_id"))).alias("anchor"),
+        F.collect_set(F.when(F.col("replicate") == 2, "svc0").otherwise(F.col("service"))).alias("candidates"),
+    )
+    return ingest.with_reasons(found).select("condition", "replicate", "reason")
+
+
+@query(
+    f"""WITH {_CONDITION}, parts AS (
+      SELECT DISTINCT 'e' || (user_id % 30) AS case_id, unnest(CASE WHEN user_id % 30 = 3 THEN ['faulttype', 'label'] WHEN user_id % 30 = 7 THEN ['rootcause'] WHEN user_id % 30 = 8 THEN ['target'] ELSE [] END) AS key FROM conditions)
+    SELECT case_id, key FROM parts"""
+)
+def label_firewall_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = (F.col("user_id") % 30).cast("int")
+    metadata = (
+        F.when(kind == 3, F.concat(F.lit('{"nested": {"faultType": "'), F.col("service"), F.lit('", "x": [{"LABEL": 1}]}}')))
+        .when(kind == 7, F.lit('{"a": [1, {"Root-Cause" : null}]}'))
+        .when(kind == 8, F.lit('{"target": "label"}'))
+        .otherwise(F.concat(F.lit('{"service": "'), F.col("service"), F.lit('", "note": "label"}')))
+    )
+    rows = _conditions(spark, sf_dir).select(F.concat(F.lit("e"), kind.cast("string")).alias("case_id"), metadata.alias("metadata")).distinct()
+    return contracts.firewall_violations(rows).distinct()
+
+
+@query(
+    f"""WITH {_CONDITION}, grouped AS (
+      SELECT user_id % 40 AS g, count(*) AS n, list(DISTINCT event_type ORDER BY event_type) AS kinds FROM conditions GROUP BY user_id % 40),
+    rules AS (
+      SELECT CASE WHEN g = 1 THEN ' u1' WHEN g = 2 THEN 'u3' ELSE 'u' || g END AS case_id, unnest(list_concat(
+        CASE WHEN g = 1 THEN ['case_id'] ELSE [] END, CASE WHEN g = 4 THEN ['dataset'] ELSE [] END, CASE WHEN g = 5 THEN ['anchor'] ELSE [] END,
+        CASE WHEN g = 6 THEN ['no candidates'] ELSE [] END, CASE WHEN g = 7 THEN ['repeated candidate'] ELSE [] END, CASE WHEN g = 9 THEN ['candidate'] ELSE [] END,
+        CASE WHEN g = 3 THEN ['repeated case'] ELSE [] END, CASE WHEN g = 11 THEN ['root is no candidate'] ELSE [] END, CASE WHEN g = 12 THEN ['no label'] ELSE [] END,
+        CASE WHEN g = 6 THEN ['root is no candidate'] ELSE [] END)) AS rule FROM grouped)
+    SELECT case_id, rule FROM rules UNION ALL SELECT 'x13', 'no case' FROM grouped WHERE g = 13 UNION ALL SELECT 'u13', 'no label' FROM grouped WHERE g = 13"""
+)
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases made of the events' users, a few of them spoilt, against all contracts of cases and labels."""
+    g = F.col("g")
+    rows = _conditions(spark, sf_dir).groupBy((F.col("user_id") % 40).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("event_type")).alias("kinds"))
+    case_id = F.when(g == 1, " u1").when(g == 2, "u3").otherwise(F.concat(F.lit("u"), g.cast("string")))
+    candidates = (
+        F.when(g == 6, F.array().cast("array<string>")).when(g == 7, F.concat("kinds", "kinds")).when(g == 9, F.concat("kinds", F.array(F.lit(""))))
+        .otherwise(F.col("kinds"))
+    )
+    anchor = F.when(g == 5, F.lit(float("nan"))).otherwise(F.col("n").cast("double"))
+    cases = rows.select(case_id.alias("case_id"), F.when(g == 4, "").otherwise("events").alias("dataset"), anchor.alias("anchor"), candidates.alias("candidates"))
+    root = F.when(g == 11, "nobody").otherwise(F.element_at("kinds", 1))
+    labels = rows.filter((g != 12) & (g != 2)).select(F.when(g == 13, "x13").otherwise(case_id).alias("case_id"), root.alias("root"))
+    return contracts.case_violations(cases).unionByName(contracts.label_violations(cases, labels).distinct())
+
+
+# --- folds, rankings, metrics ------------------------------------------------------------------------------
+
+
+@query(A + sql.LABELS + " SELECT case_id, root, fault, replicate, fold FROM labels")
+def fold_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign_folds(fx.event_labels(spark, sf_dir).drop("fold")).select("case_id", "root", "fault", "replicate", "fold")
+
+
+@query(
+    A + sql.LABELS + " SELECT f.fold, l.case_id, CASE WHEN f.fold = l.fold THEN 'test' ELSE 'train' END AS role FROM labels l, (SELECT DISTINCT fold FROM labels) f"
+)
+def fold_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.fold_membership(fx.event_labels(spark, sf_dir))
+
+
+@query(A + sql.LABELS + " SELECT fold, root, fault, count(*) AS n FROM labels GROUP BY ALL")
+def fold_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.strata(fx.event_labels(spark, sf_dir))
+
+
+@query(
+    A + sql.LABELS + """, lists AS (SELECT case_id, count(*) AS candidates FROM candidates GROUP BY case_id), sizes AS (SELECT case_id, count(DISTINCT ix) AS dim, count(*) AS cells FROM long GROUP BY case_id)
+    SELECT l.case_id, l.root, l.fault, l.fold, s.candidates, z.dim, z.cells FROM labels l JOIN lists s USING (case_id) JOIN sizes z USING (case_id)"""
+)
+def bundle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, labels and folds side by side; the join loses no case (else the contract's rows would show)."""
+    vectors = features.feature_vectors(fx.event_features(spark, sf_dir))
+    sizes = vectors.groupBy("case_id").agg(F.count(F.lit(1)).alias("candidates"), F.max(F.size("features")).cast("long").alias("dim"), F.sum(F.size("features")).alias("cells"))
+    labels = fx.event_labels(spark, sf_dir)
+    return labels.join(sizes, "case_id").select("case_id", "root", "fault", "fold", "candidates", "dim", "cells")
+
+
+_METRICS = """, metrics AS (
+  SELECT l.case_id, l.root, l.fault, l.fold, r.rank, CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END AS "AC@1", CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END AS "AC@3",
+         CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END AS "AC@5", greatest(0, 6 - rank) / 5.0::DOUBLE AS "Avg@5", 1.0::DOUBLE / rank AS "MRR"
+  FROM labels l JOIN ranked r ON r.case_id = l.case_id AND r.service = l.root)"""
+_MEANS = ", ".join(f'round(avg("{m}"), 6) + 0.0 AS "{m}"' for m in ranking.METRICS)
+
+
+def _case_metrics(spark: SparkSession, sf_dir: str, order: DataFrame | None = None) -> DataFrame:
+    order = _magnitude_ranking(spark, fx.event_features(spark, sf_dir)) if order is None else order
+    return ranking.case_metrics(order, fx.event_labels(spark, sf_dir).select("case_id", "root", "fault", "fold"))
+
+
+@query(A + _RANKED + sql.LABELS + _METRICS + ' SELECT case_id, root, fault, fold, rank, "AC@1", "AC@3", "AC@5", round("Avg@5", 6) + 0.0 AS "Avg@5", round("MRR", 6) + 0.0 AS "MRR" FROM metrics')
+def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_case_metrics(spark, sf_dir), "Avg@5", "MRR")
+
+
+@query(
+    A + _RANKED + sql.LABELS + _METRICS + f""" SELECT 'overall' AS "grouping", 'all' AS value, count(*) AS n, {_MEANS} FROM metrics
+    UNION ALL SELECT 'fault', fault, count(*), {_MEANS} FROM metrics GROUP BY fault UNION ALL SELECT 'root', root, count(*), {_MEANS} FROM metrics GROUP BY root
+    UNION ALL SELECT 'fold', CAST(fold AS VARCHAR), count(*), {_MEANS} FROM metrics GROUP BY fold"""
+)
+def metric_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ranking.metric_groups(_case_metrics(spark, sf_dir)), *ranking.METRICS)
+
+
+_BY_SUM = f""", by_sum AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, service) AS INT) AS rank
+  FROM (SELECT case_id, service, round(sum(mean_impact), 9) AS score FROM dense GROUP BY ALL))"""
+
+
+def _impact_ranking(dense: DataFrame) -> DataFrame:
+    return ranking.ranked(dense.groupBy("case_id", "service").agg(F.round(F.sum("mean_impact"), 9).alias("score")))
+
+
+@query(
+    A + _BY_SUM + """, spoilt AS (SELECT case_id, CASE WHEN service = 'svc1' AND case_id = 'case-03' THEN 'svc2' ELSE service END AS service, rank FROM by_sum WHERE NOT (case_id = 'case-05' AND service = 'svc4')),
+    seen AS (SELECT case_id, service, count(*) AS times FROM spoilt GROUP BY ALL)
+    SELECT c.case_id, c.candidate AS service, CASE WHEN s.times IS NULL THEN 'missing' ELSE 'repeated' END AS gap FROM candidates c LEFT JOIN seen s ON s.case_id = c.case_id AND s.service = c.candidate
+    WHERE s.times IS NULL OR s.times > 1"""
+)
+def prediction_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranking with one candidate left out and one replaced by another: what the contract finds."""
+    order = _impact_ranking(fx.event_features(spark, sf_dir))
+    swap = (F.col("service") == "svc1") & (F.col("case_id") == "case-03")
+    spoilt = order.filter(~((F.col("case_id") == "case-05") & (F.col("service") == "svc4"))).withColumn("service", F.when(swap, "svc2").otherwise(F.col("service")))
+    return ranking.prediction_gaps(fx.candidate_rows(fx.event_cases(spark)), spoilt)
+
+
+@query(
+    A + _RANKED + _BY_SUM + """ SELECT count(*) AS n, 0::BIGINT AS one_sided, round(max(abs(round(r.a, 9) - s.score)), 6) + 0.0 AS max_score_diff, bool_and(r.rank = s.rank) AS same_ranks
+    FROM ranked r JOIN by_sum s ON r.case_id = s.case_id AND r.service = s.service"""
+)
+def prediction_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = fx.event_features(spark, sf_dir)
+    left = _magnitude_ranking(spark, dense).select("case_id", "service", F.round("a", 9).alias("score"), "rank")
+    return rounded(ranking.prediction_diff(left, _impact_ranking(dense)), "max_score_diff")
+
+
+@query(
+    A + _BY_SUM + """ SELECT case_id, service, round(exp(score - max(score) OVER w) / sum(exp(score - top)) OVER w, 6) + 0.0 AS p
+    FROM (SELECT *, max(score) OVER (PARTITION BY case_id) AS top FROM by_sum) WINDOW w AS (PARTITION BY case_id)"""
+)
+def event_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ranking.event_softmax(_impact_ranking(fx.event_features(spark, sf_dir))).select("case_id", "service", "p"), "p")
+
+
+# --- learning and statistics -------------------------------------------------------------------------------
+
+
+@query(
+    A + sql.LABELS + _LONG + """ SELECT fold, ix, n, round(mean, 6) + 0.0 AS mean, round(CASE WHEN sd <= 1e-12 * greatest(abs(mean), 1) THEN 1 ELSE sd END, 6) + 0.0 AS scale FROM (
+    SELECT f.fold, v.ix, count(*) AS n, avg(v.value) AS mean, stddev_pop(v.value) AS sd
+    FROM flat v JOIN labels l ON l.case_id = v.case_id JOIN (SELECT DISTINCT fold FROM labels) f ON f.fold <> l.fold GROUP BY f.fold, v.ix)"""
+)
+def scaler_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(condlogit.scaler_stats(_vectors(spark, sf_dir), fx.event_labels(spark, sf_dir)), "mean", "scale")
+
+
+@query(
+    A + sql.LABELS + _LONG + """, sizes AS (SELECT case_id, count(DISTINCT service) AS n FROM flat GROUP BY case_id)
+    SELECT v.ix, round(sum(v.value / s.n - CASE WHEN v.service = l.root THEN v.value ELSE 0 END), 5) + 0.0 AS gradient, (SELECT round(sum(ln(n)), 6) FROM sizes) AS loss
+    FROM flat v JOIN labels l ON l.case_id = v.case_id JOIN sizes s ON s.case_id = v.case_id GROUP BY v.ix"""
+)
+def loss_gradient_at_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = condlogit.loss_at_zero(_vectors(spark, sf_dir), fx.event_labels(spark, sf_dir))
+    return found.select("ix", tidy("gradient", 5).alias("gradient"), tidy("loss").alias("loss"))
+
+
+def _fitted(spark: SparkSession, sf_dir: str):
+    vectors = features.feature_vectors(fx.event_features(spark, sf_dir)).persist()  # read once per Newton step and more
+    labels = fx.event_labels(spark, sf_dir).persist()
+    return vectors, labels, *condlogit.fit_out_of_fold(vectors, labels, labels)
+
+
+@query()
+def oof_fit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out scores and ranks of all candidates, each case scored by the model of its fold."""
+    return _fitted(spark, sf_dir)[2]
+
+
+@query()
+def model_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions from the stored model state against fresh ones: the integrity verdict."""
+    vectors, labels, fresh, weights, fits = _fitted(spark, sf_dir)
+    again = condlogit.predict(vectors, labels, weights)
+    diff = ranking.prediction_diff(fresh, again)
+    sides = [ranking.metric_groups(ranking.case_metrics(p, labels.select("case_id", "root", "fault", "fold"))) for p in (fresh, again)]
+    joined = sides[0].join(sides[1].select("grouping", "value", F.col("`AC@1`").alias("other")), ["grouping", "value"])
+    broken = contracts.model_violations(weights).agg((F.count(F.lit(1)) == 0).alias("state_valid"))
+    verdict = contracts.integrity_verdict(diff, joined.select(F.abs(F.col("`AC@1`") - F.col("other")).alias("diff")), fits)
+    return verdict.join(F.broadcast(broken)).withColumn("digest", F.lit(FEATURE_DIGEST))  # one row
+
+
+_PAIRED = A + _RANKED + sql.LABELS + _METRICS + _BY_SUM + """, others AS (
+  SELECT l.case_id, l.fault, greatest(0, 6 - b.rank) / 5.0::DOUBLE AS "Avg@5" FROM labels l JOIN by_sum b ON b.case_id = l.case_id AND b.service = l.root),
+deltas AS (SELECT m.case_id, m.fault, m."Avg@5" - o."Avg@5" AS delta FROM metrics m JOIN others o ON o.case_id = m.case_id)"""
+
+
+def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = fx.event_features(spark, sf_dir)
+    left = _case_metrics(spark, sf_dir, _magnitude_ranking(spark, dense))
+    return stats.paired_deltas(left, _case_metrics(spark, sf_dir, _impact_ranking(dense)))
+
+
+@query(_PAIRED + " SELECT fault, count(*) AS n, round(avg(delta), 6) + 0.0 AS mean_delta FROM (SELECT fault, delta FROM deltas UNION ALL SELECT 'all', delta FROM deltas) GROUP BY fault")
+def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.mean_deltas(_deltas(spark, sf_dir)), "mean_delta")
+
+
+@query(
+    _PAIRED + """, pools AS (SELECT fault, list(delta ORDER BY case_id) AS pool FROM deltas GROUP BY fault),
+    draws AS (SELECT r AS resample, fault, pool[CAST(CAST('0x' || substr(md5('7:' || r || ':' || fault || ':' || k), 1, 8) AS BIGINT) % len(pool) AS INT) + 1] AS delta
+      FROM (SELECT r, fault, pool, unnest(range(len(pool))) AS k FROM pools, range(1, 1001) t(r))),
+    means AS (SELECT resample, avg(delta) AS mean FROM draws GROUP BY resample)
+    SELECT (SELECT count(*) FROM deltas) AS n, (SELECT round(avg(delta), 6) + 0.0 FROM deltas) AS point, round(quantile_cont(mean, 0.025), 6) + 0.0 AS low, round(quantile_cont(mean, 0.975), 6) + 0.0 AS high FROM means"""
+)
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.bootstrap_ci(_deltas(spark, sf_dir)), "point", "low", "high")
+
+
+_VARIANTS = {"A0": "magnitude", "A1": "mean_impact", "A2": "persistence", "A3": "coverage"}
+_FACTORS = A + sql.LABELS + ", variants AS (" + " UNION ALL ".join(
+    f"""SELECT '{v}' AS variant, avg(greatest(0, 6 - rank) / 5.0::DOUBLE) AS value, avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS top FROM (
+    SELECT case_id, service, row_number() OVER (PARTITION BY case_id ORDER BY round(sum({c}), 9) DESC, service) AS rank FROM dense GROUP BY case_id, service) r
+    JOIN labels l ON l.case_id = r.case_id AND l.root = r.service"""
+    for v, c in _VARIANTS.items()
+) + "), wide AS (SELECT " + ", ".join(f"max(CASE WHEN variant = '{v}' THEN value END) AS {v}, max(CASE WHEN variant = '{v}' THEN top END) AS t{v}" for v in _VARIANTS) + " FROM variants)"
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(variant, value, top): mean Avg@5 and AC@1 of rankings by four single features."""
+    sums = fx.event_features(spark, sf_dir).groupBy("case_id", "service").agg(*(F.round(F.sum(c), 9).alias(v) for v, c in _VARIANTS.items()))
+    long = sums.unpivot(["case_id", "service"], list(_VARIANTS), "variant", "score").withColumn("case_id", F.concat_ws("/", "variant", "case_id"))
+    order = ranking.ranked(long.drop("variant")).withColumn("parts", F.split("case_id", "/"))
+    rows = order.select(F.get("parts", F.lit(0)).alias("variant"), F.get("parts", F.lit(1)).alias("case_id"), F.col("service").alias("root"), "rank")
+    joined = rows.join(fx.event_labels(spark, sf_dir).select("case_id", "root"), ["case_id", "root"])
+    return joined.groupBy("variant").agg(F.avg(F.greatest(F.lit(0), 6 - F.col("rank")) / 5.0).alias("value"), F.avg((F.col("rank") <= 1).cast("double")).alias("top"))
+
+
+@query(_FACTORS + " SELECT " + ", ".join(f"round({e}, 6) + 0.0 AS {n}" for n, e in (("a1_a0", "A1 - A0"), ("a3_a2", "A3 - A2"), ("a2_a0", "A2 - A0"), ("a3_a1", "A3 - A1"), ("interaction", "(A3 - A2) - (A1 - A0)"))) + " FROM wide")
+def factorial_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    effects = stats.factorial_effects(_variants(spark, sf_dir))
+    return rounded(effects, *effects.columns)
+
+
+@query(
+    _FACTORS + """ SELECT A1 - A0 > 0 AS first_delta_positive, A3 - A2 > 0 AS second_delta_positive, ((A1 - A0) + (A3 - A2)) / 2 >= 0.01 AS mean_delta_threshold,
+    tA1 - tA0 >= -0.01 AND tA3 - tA2 >= -0.01 AS ac1_guardrail, A1 - A0 > 0 AS ci_low_positive, true AS integrity,
+    A1 - A0 > 0 AND A3 - A2 > 0 AND ((A1 - A0) + (A3 - A2)) / 2 >= 0.01 AND tA1 - tA0 >= -0.01 AND tA3 - tA2 >= -0.01 AS passed FROM wide"""
+)
+def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = _variants(spark, sf_dir).groupBy().pivot("variant", list(_VARIANTS)).agg(F.first("value").alias("v"), F.first("top").alias("t"))
+    row = wide.select(
+        (F.col("A1_v") - F.col("A0_v")).alias("avg5_first"), (F.col("A3_v") - F.col("A2_v")).alias("avg5_second"), (F.col("A1_t") - F.col("A0_t")).alias("ac1_first"),
+        (F.col("A3_t") - F.col("A2_t")).alias("ac1_second"), (F.col("A1_v") - F.col("A0_v")).alias("ci_low"), F.lit(True).alias("integrity"),
+    )
+    return stats.gate_decision(row)
