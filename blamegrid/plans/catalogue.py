@@ -456,12 +456,12 @@ def scaler_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     A + sql.LABELS + _LONG + """, sizes AS (SELECT case_id, count(DISTINCT service) AS n FROM flat GROUP BY case_id)
-    SELECT v.ix, round(sum(v.value / s.n - CASE WHEN v.service = l.root THEN v.value ELSE 0 END), 5) + 0.0 AS gradient, (SELECT round(sum(ln(n)), 6) FROM sizes) AS loss
+    SELECT v.ix, round(sum(v.value / s.n - CASE WHEN v.service = l.root THEN v.value ELSE 0 END), 3) + 0.0 AS gradient, (SELECT round(sum(ln(n)), 6) FROM sizes) AS loss
     FROM flat v JOIN labels l ON l.case_id = v.case_id JOIN sizes s ON s.case_id = v.case_id GROUP BY v.ix"""
 )
 def loss_gradient_at_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = condlogit.loss_at_zero(_vectors(spark, sf_dir), fx.event_labels(spark, sf_dir))
-    return found.select("ix", tidy("gradient", 5).alias("gradient"), tidy("loss").alias("loss"))
+    return found.select("ix", tidy("gradient", 3).alias("gradient"), tidy("loss").alias("loss"))
 
 
 def _fitted(spark: SparkSession, sf_dir: str):
