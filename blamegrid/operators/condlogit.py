@@ -195,3 +195,21 @@ def loss_at_zero(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     )
     gradient = long.groupBy("ix").agg(F.sum(F.col("value") / F.col("n") - F.col("value") * F.col("is_root")).alias("gradient"))
     return gradient.join(F.broadcast(total))  # one row: the loss
+
+
+def save_model(weights: DataFrame, fits: DataFrame, path: str) -> None:
+    """Writes the model's state; an existing one is an error."""
+    weights.write.parquet(f"{path}/weights")
+    fits.write.parquet(f"{path}/fits")
+
+
+def load_model(spark, path: str, names: Sequence[str] = FEATURE_NAMES) -> tuple[DataFrame, DataFrame]:
+    """(weights, fits) as saved; raises if dimension, names, digest or numbers aren't what they must be."""
+    from .contracts import model_violations
+
+    weights, fits = spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/fits")
+    wrong = [tuple(r) for r in model_violations(weights, names).collect()]  # a row or two per fold
+    wrong += [(r["fold"], "digest") for r in weights.filter(F.col("digest") != FEATURE_DIGEST).select("fold").distinct().collect()]
+    if wrong:
+        raise ValueError(f"the stored model is not valid: {wrong}")
+    return weights, fits
