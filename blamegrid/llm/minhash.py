@@ -3,19 +3,21 @@
 1. Each text becomes its set of word shingles, and the set a signature of ``SIZE`` coordinates (minima
    under as many hash functions). Equal sets are one class from here on.
 2. A class is posted under its (coordinate, value) pairs. Two sets at the threshold agree in at least
-   ``MATCHES`` coordinates (but for about 2 pairs in a million), so of the pairs that some other class has too, in the
-   order of rising frequency, the first m - MATCHES + 1 of m suffice: the prefix. A class with m < MATCHES
-   has no partner and is left out.
-3. Skip merging: each posting first meets only the smallest class of its list; a class keeps the
-   partner it agrees with most, and the full sets confirm or refute the link. Lists whose members are
-   one component by then are skipped: no further link could change a thing. In the others, every pair
-   across components is compared inside tasks, block against block; pairs that agree often enough leave
-   the task and are confirmed on the full sets.
-4. Connected components over the links; each row gets the smallest doc_id of its component.
-
-A list of hot size is never in one task: its smallest member comes from a partial aggregation, and what is
-left of it is cut into blocks. Links inside a component that has been found are not looked for again,
-so thousands of near copies cost a link each.
+   ``MATCHES`` coordinates (but for about two pairs in a million), so of the pairs that some other class has too,
+   in the order of rising frequency, the first m - MATCHES + 1 of m suffice: the prefix. A class with
+   m < MATCHES has no partner and is left out.
+3. Skip merging: in each posting list the classes are first held against the smallest one only. Lists
+   whose members are connected by then are skipped. In the others all that isn't connected is counted
+   inside tasks, block against block. What agrees often enough, directly or by way of others, is a cluster.
+4. The full sets confirm links inside clusters. A cluster of up to ``BLOCK`` classes is one group; a larger
+   one is cut into blocks, each of which meets itself and the first block, and then whatever isn't linked
+   with the cluster's main component yet meets all other blocks. Pairs go from most agreement to least,
+   and pairs that are linked already, directly or by way of others, are skipped.
+5. Connected components over the links; each row gets the smallest doc_id of its component.
+
+No list or cluster is ever in one task, and what leaves a task is a spanning forest: a class makes a row
+or two there, however many near copies it has. Only links between classes that aren't connected otherwise
+are left to find at the end; none is left out.
 
 Cases: a text without words (null, empty, blank) has an empty set and links with nothing; one with fewer
 words than a shingle is one shingle; repeated rows, of one doc_id or several, share a class; an empty
@@ -32,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, pairs, whole_groups
+from .blocks import forest, pairs, whole_groups
 from .common import materialize, slices, table, texts
 from .components import connected_components
 
 SIZE, MATCHES = 64, 36
 PERCENT = 80
+BLOCK = 512
+BROADCAST_IDS = 500_000
 
 _MULTIPLIERS = np.random.default_rng(41).integers(0, 1 << 31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADDENDS = np.random.default_rng(43).integers(0, 1 << 32, SIZE, dtype=np.uint32)
@@ -87,7 +91,7 @@ def digest(shingles: np.ndarray) -> bytes:
 
 
 def with_signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set, null if empty), signature."""
+    """doc_id, n_shingles, digest (of the set; null if it is empty), signature."""
 
     def sign(batches):
         for part in slices(batches, "text"):
@@ -101,13 +105,13 @@ def with_signatures(docs: DataFrame, width: int) -> DataFrame:
                 {
                     "doc_id": part.column("doc_id"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "node": pa.array(nodes, pa.binary()),
+                    "digest": pa.array(nodes, pa.binary()),
                     "signature": pa.array(signs, pa.list_(pa.int32())),
                 }
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        sign, "doc_id long, n_shingles long, node binary, signature array<int>"
+        sign, "doc_id long, n_shingles long, digest binary, signature array<int>"
     )
 
 
@@ -126,147 +130,247 @@ def postings(classes: DataFrame) -> DataFrame:
     return ranked.select("node", F.explode(F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1))).alias("p")).select("node", "p.token")
 
 
-def counted(candidates: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, matches) of ``candidates(a, b)`` that agree often enough and are near enough in size."""
+def agreeing(candidates: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of ``candidates(a, b)`` that agree often enough and are near enough in size."""
     sides = [classes.select(F.col("node").alias(f"node_{s}"), F.col("signature").alias(f"sign_{s}"), F.col("n_shingles").alias(f"n_{s}")) for s in "ab"]
     both = candidates.join(sides[0], F.col("a") == F.col("node_a")).join(sides[1], F.col("b") == F.col("node_b"))
     both = both.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
 
     def count(batches):
         for batch in batches:
-            left, right = (
-                np.asarray(batch.column(f"sign_{s}").flatten()).reshape(-1, SIZE) for s in "ab"
-            )
-            matches = (left == right).sum(axis=1)
-            keep = pa.array(matches >= MATCHES)
-            out = pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "matches": pa.array(matches, pa.int32())})
-            yield out.filter(keep)
-
-    return both.select("a", "b", "sign_a", "sign_b").mapInArrow(count, "a binary, b binary, matches int")
-
-
-def confirmed(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links: ``candidates(a, b)`` whose full sets pass 100 * |intersection| >= percent * |union|."""
-    sides = [sets.select(F.col("node").alias(f"node_{s}"), F.col("shingles").alias(f"set_{s}")) for s in "ab"]
-    both = candidates.join(sides[0], F.col("a") == F.col("node_a")).join(sides[1], F.col("b") == F.col("node_b"))
-
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
+            left, right = (np.asarray(batch.column(f"sign_{s}").flatten()).reshape(-1, SIZE) for s in "ab")
+            keep = pa.array((left == right).sum(axis=1) >= MATCHES)
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(keep)
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a binary, b binary")
+    return both.select("a", "b", "sign_a", "sign_b").mapInArrow(count, "a long, b long")
 
 
-def across(open_: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of ``open_(token, node, component)`` across components that agree often enough.
+def main_and_rest(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """``rows(key, node, component)`` dealt into groups in which the main component of a key meets the rest.
 
-    Of each list, the rows of the component that comes most often meet only the other rows; both parts
-    are cut into blocks of BLOCK rows.
+    Of each key, the rows of the component that comes most often meet only the other rows; both parts are
+    cut into blocks. Adds bucket and side, as in blocks.py.
     """
-    sizes = open_.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
-    lists = sizes.groupBy("token").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).select(
-        F.col("token").alias("of"),
+    sizes = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"))
+    lists = sizes.groupBy(key).agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).select(
+        F.col(key).alias("of"),
         F.col("main.component").alias("main"),
-        F.ceil(F.col("main.n") / BLOCK).cast("int").alias("main_blocks"),
-        F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("rest_blocks"),
+        F.ceil(F.col("main.n") / block).cast("int").alias("main_blocks"),
+        F.ceil((F.col("all") - F.col("main.n")) / block).cast("int").alias("rest_blocks"),
     )
-    rows = open_.join(lists, F.col("token") == F.col("of"))
+    rows = rows.join(lists.filter("rest_blocks > 0"), F.col(key) == F.col("of"))
     is_main = F.col("component") == F.col("main")
     own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
-    rows = rows.withColumn("is_main", is_main).withColumn("own", own)
+    rows = rows.withColumn("is_main", is_main).withColumn("own", own).withColumn("key", F.hex(key))
     with_rest = F.transform(
         F.sequence(F.lit(0), F.col("rest_blocks") - 1),
         lambda k: F.struct(
-            F.when(F.col("is_main"), F.concat_ws("/", "token", k, F.lit("main"), "own"))
-            .otherwise(F.concat_ws("/", "token", F.least("own", k), F.greatest("own", k)))
+            F.when(F.col("is_main"), F.concat_ws("/", "key", k, F.lit("main"), "own"))
+            .otherwise(F.concat_ws("/", "key", F.least("own", k), F.greatest("own", k)))
             .alias("bucket"),
             F.when(F.col("is_main"), F.lit(1)).when(F.col("own") != k, (F.col("own") > k).cast("int")).alias("side"),
         ),
     )
     with_main = F.transform(
         F.sequence(F.lit(0), F.col("main_blocks") - 1),
-        lambda k: F.struct(F.concat_ws("/", "token", "own", F.lit("main"), k).alias("bucket"), F.lit(0).alias("side")),
+        lambda k: F.struct(F.concat_ws("/", "key", "own", F.lit("main"), k).alias("bucket"), F.lit(0).alias("side")),
     )
-    dealt = rows.select(
-        "node", "component", F.explode(F.when(F.col("is_main"), with_rest).otherwise(F.concat(with_rest, with_main))).alias("g")
-    ).select("node", "component", "g.bucket", "g.side")
-    signed = classes.select(F.col("node").alias("n"), "n_shingles", "signature")
-    dealt = dealt.join(signed, F.col("node") == F.col("n")).drop("n").repartition("bucket").sortWithinPartitions("bucket", "side")
+    groups = F.when(F.col("is_main"), with_rest).otherwise(F.concat(with_rest, with_main))
+    return rows.select("node", "component", F.explode(groups).alias("g")).select("node", "component", "g.bucket", "g.side")
+
+
+def in_groups(dealt: DataFrame, *payloads: DataFrame) -> DataFrame:
+    for payload in payloads:
+        dealt = dealt.join(payload.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "side")
+
+
+class _Group:
+    """The columns of a table of whole groups, and which pairs may be near.
+
+    Components are numbered in the order of ``lead`` rows (of a cluster's first block), then of names.
+    """
+
+    def __init__(self, whole: pa.Table, percent: int):
+        self.node = np.asarray(whole.column("node"))
+        self.side = np.asarray(whole.column("side").fill_null(-1))
+        self.sizes = np.asarray(whole.column("n_shingles"))
+        self.sign = np.asarray(whole.column("signature").chunk(0).flatten()).reshape(-1, SIZE)
+        self.percent = percent
+        component = np.asarray(whole.column("component"))
+        self.names, first, self.component = np.unique(component, return_index=True, return_inverse=True)
+        if "lead" in whole.column_names:
+            order = np.argsort(~np.asarray(whole.column("lead"))[first], kind="stable")
+            self.names, place = self.names[order], np.argsort(order)
+            self.component = place[self.component]
+        if "shingles" in whole.column_names:
+            self.sets = [np.frombuffer(x, np.uint64) for x in whole.column("shingles").chunk(0).to_pylist()]
+            self.maps = np.zeros((len(self.sets), 64), np.uint64)
+            for row, own in zip(self.maps, self.sets):
+                seen = np.zeros(4096, bool)
+                seen[own >> np.uint64(52)] = True
+                row[:] = np.packbits(seen).view(np.uint64)
+            self.hidden = self.sizes - np.bitwise_count(self.maps).sum(axis=1)  # shingles that share a bit with others
+
+    def near(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs that are in different components: those that agree often enough, and how often."""
+        a, b = self.sizes[left], self.sizes[right]
+        keep = (self.component[left] != self.component[right]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * self.percent)
+        left, right = left[keep], right[keep]
+        matches = (self.sign[left] == self.sign[right]).sum(axis=1)
+        keep = matches >= MATCHES
+        return left[keep], right[keep], matches[keep]
+
+    def possible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Mask of the pairs that can pass: a bitmap of the sets bounds what they have in common from above."""
+        found = np.empty(len(left), bool)
+        for at in range(0, len(left), 8192):
+            x, y = left[at : at + 8192], right[at : at + 8192]
+            common = np.bitwise_count(self.maps[x] & self.maps[y]).sum(axis=1, dtype=np.int64) + np.minimum(self.hidden[x], self.hidden[y])
+            found[at : at + 8192] = (100 + self.percent) * common >= self.percent * (self.sizes[x] + self.sizes[y])
+        return found
+
+    def passes(self, x: int, y: int) -> bool:
+        common = len(self.sets[x]) + len(self.sets[y]) - len(np.unique(np.concatenate([self.sets[x], self.sets[y]])))
+        return (100 + self.percent) * common >= self.percent * (len(self.sets[x]) + len(self.sets[y]))
+
+
+def open_list_links(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest, group by group, of the pairs that agree often enough."""
 
     def compare(batches):
         for whole, starts in whole_groups(batches):
-            node = whole.column("node").chunk(0)
-            component = pd.factorize(np.array(whole.column("component").to_pylist(), object))[0]
-            sizes = np.asarray(whole.column("n_shingles"))
-            sign = np.asarray(whole.column("signature").chunk(0).flatten()).reshape(-1, SIZE)
-            side = np.asarray(whole.column("side").fill_null(-1))
-            for left, right in pairs(starts, side):
-                a, b = sizes[left], sizes[right]
-                keep = (component[left] != component[right]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent)
-                left, right = left[keep], right[keep]
-                near = (sign[left] == sign[right]).sum(axis=1) >= MATCHES
-                left, right = left[near], right[near]
-                if len(left):
-                    yield pa.RecordBatch.from_pydict({"a": node.take(pa.array(left)), "b": node.take(pa.array(right))})
-
-    found = dealt.mapInArrow(compare, "a binary, b binary")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            group = _Group(whole, percent)
+            found = [group.near(left, right)[:2] for left, right in pairs(starts, group.side)]
+            if found:
+                label = forest(len(group.node), *(np.concatenate(x) for x in zip(*found)))
+                told = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_pydict({"a": pa.array(group.node[told]), "b": pa.array(group.node[label[told]])})
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def confirmed_links(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that the groups' pairs link, by full sets: each to the first one it is linked with."""
+
+    def compare(batches):
+        for whole, starts in whole_groups(batches, 1024):
+            group = _Group(whole, percent)
+            up = list(range(len(group.names)))
+
+            def root(c: int) -> int:
+                while up[c] != c:
+                    up[c] = up[up[c]]
+                    c = up[c]
+                return c
+
+            for left, right in pairs(starts, group.side):
+                left, right, matches = group.near(left, right)
+                keep = group.possible(left, right)
+                left, right, matches = left[keep], right[keep], matches[keep]
+                before = len(left)
+                for i in np.argsort(-matches, kind="stable").tolist():
+                    x, y = int(left[i]), int(right[i])
+                    p, q = root(int(group.component[x])), root(int(group.component[y]))
+                    if p != q and group.passes(x, y):
+                        up[max(p, q)] = min(p, q)
+                if before:
+                    group.component = np.array([root(c) for c in range(len(up))])[group.component]
+            told = [c for c in range(len(up)) if root(c) != c]
+            if told:
+                tops = [root(c) for c in told]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(group.names[told]), "b": pa.array(group.names[tops])})
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def first_blocks(clusters: DataFrame, block: int) -> DataFrame:
+    """``clusters(node, cluster, n)`` dealt into blocks; each meets itself and the cluster's first block."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = clusters.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    places = F.when(
+        F.col("own") == 0,
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("at"), F.when(k == 0, F.lit(2)).otherwise(F.lit(0)).alias("side"))),
+    ).otherwise(F.array(F.struct(F.col("own").alias("at"), F.lit(2).alias("side"))))
+    dealt = rows.select("node", "cluster", (F.col("own") == 0).alias("lead"), F.explode(places).alias("p"))
+    return dealt.select("node", F.col("node").alias("component"), "lead", F.concat_ws("/", F.hex("cluster"), "p.at").alias("bucket"), "p.side")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, component) in two steps along ``links(a, b)``: not all that is connected, but connected for sure."""
+    up = links.groupBy("a").agg(F.min("b").alias("b"))
+    jump = up.select(F.col("a").alias("at"), F.col("b").alias("next"))
+    return up.join(jump, F.col("b") == F.col("at"), "left").select(F.col("a").alias("node"), F.coalesce("next", "b").alias("component"))
+
+
+def clusters_of(posted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, cluster): classes connected by pairs that agree often enough."""
+    heads = posted.groupBy("token").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("token").alias("of"), "head")
+    first = posted.join(heads, F.col("token") == F.col("of")).filter(F.col("node") != F.col("head"))
+    first = first.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    links = materialize(agreeing(first, classes, percent), "agreeing")
+    placed = _placed(posted, _labels(links))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("token").alias("of"))
+    open_ = materialize(placed.join(mixed, F.col("token") == F.col("of"), "left_semi"), "open")
+    signed = classes.select("node", "n_shingles", "signature")
+    more = open_list_links(in_groups(main_and_rest(open_, "token", BLOCK), signed), percent)
+    return connected_components(links.unionByName(materialize(more, "more"))).withColumnRenamed("component", "cluster")
+
+
+def _placed(rows: DataFrame, members: DataFrame) -> DataFrame:
+    return rows.join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _among(docs: DataFrame, ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids(wanted)``; the ids are broadcast up to ``bound`` of them."""
+    small = ids.limit(bound + 1).count() <= bound
+    return docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("wanted"), "left_semi")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept."""
+    docs = docs.select("doc_id", "text")
     signed = materialize(with_signatures(docs, width), "signed")
-    classes = materialize(
-        signed.filter("node IS NOT NULL").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
-        ),
-        "classes",
+    classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
     )
-    posted = materialize(postings(classes), "posted")
-    heads = posted.groupBy("token").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("token").alias("of"), "head")
-    lists = posted.join(heads, F.col("token") == F.col("of")).select("node", "token", "head")
-    first = lists.filter(F.col("node") != F.col("head")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    first = counted(first, classes, percent)
-    first = materialize(first.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best")).select("a", "best.b"), "first")
-
-    members = lists.select("node").distinct()  # all that share a list with another class
-    wanted = classes.select("node", "doc_id").join(members, "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
-    sets = materialize(_sets(docs.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi"), width), "sets")
-    links = materialize(confirmed(first, sets, percent), "links")
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    clusters = clusters_of(materialize(postings(classes), "posted"), classes, percent)
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("cluster", "_cluster")
+    clusters = materialize(clusters.join(sizes, F.col("cluster") == F.col("_cluster")).drop("_cluster"), "clusters")
+
+    own = classes.select("node", "digest", "doc_id").join(clusters.select("node"), "node", "left_semi")
+    wanted = materialize(own.select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
+    sets = _sets(_among(docs, wanted), width).withColumnRenamed("digest", "of")
+    sets = materialize(own.join(sets, F.col("digest") == F.col("of")).select("node", "shingles"), "sets")
+    payloads = (classes.select("node", "n_shingles", "signature"), sets)
+    links = materialize(confirmed_links(in_groups(first_blocks(clusters, BLOCK), *payloads), percent), "links")
+    large = clusters.filter(F.col("n") > BLOCK).select("node", "cluster")
+    if not large.isEmpty():
+        rest = materialize(main_and_rest(_placed(large, _labels(links)), "cluster", BLOCK), "rest")
+        links = links.unionByName(materialize(confirmed_links(in_groups(rest, *payloads), percent), "links"))
     members = connected_components(links)
 
-    component = F.coalesce("component", "node")
-    placed = posted.join(members, "node", "left").select("token", "node", component.alias("component"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("token").alias("of"))
-    open_ = materialize(placed.join(mixed, F.col("token") == F.col("of"), "left_semi"), "open")
-    more = confirmed(materialize(across(open_, classes, percent), "second"), sets, percent)
-    members = connected_components(links.unionByName(more))
-
-    named = classes.select("node", "doc_id").join(members, "node", "left").select("node", "doc_id", component.alias("component"))
+    named = _placed(classes.select("node", "digest", "doc_id"), members)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "c")
-    named = named.join(smallest, F.col("component") == F.col("c")).select(F.col("node").alias("n"), "component_id")
-    rows = signed.select("doc_id", "n_shingles", "node")
-    found = rows.filter("node IS NOT NULL").join(named, F.col("node") == F.col("n")).select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = named.join(smallest, F.col("component") == F.col("c")).select(F.col("digest").alias("d"), "component_id")
+    rows = signed.select("doc_id", "n_shingles", "digest")
+    found = rows.filter("digest IS NOT NULL").join(named, F.col("digest") == F.col("d")).select("doc_id", "n_shingles", "component_id")
+    alone = rows.filter("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the full sets of ``docs``, as bytes, one row per class."""
+    """(digest, shingles): the full sets of ``docs``, as bytes, one row per class."""
 
     def shingle(batches):
         for part in slices(batches, "text"):
             sets = [s for s in shingle_sets(texts(part, "text"), width) if len(s)]
             yield pa.RecordBatch.from_pydict(
-                {"node": pa.array([digest(s) for s in sets], pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())}
+                {"digest": pa.array([digest(s) for s in sets], pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())}
             )
 
-    return docs.select("text").mapInArrow(shingle, "node binary, shingles binary").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(shingle, "digest binary, shingles binary").dropDuplicates(["digest"])
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
