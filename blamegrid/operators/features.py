@@ -102,7 +102,8 @@ def trajectories(profile: DataFrame, dense: DataFrame, spec: GridSpec) -> DataFr
     seen = profile.groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct("bin", "q"))).alias("seen"), F.max("q").alias("top"))
     rows = dense.join(seen, list(CELL), "left")
     bins = F.sequence(F.lit(0), F.lit(spec.bins - 1))
-    value = F.transform(bins, lambda b: F.when(F.col("morphology_active") > 0, F.coalesce(F.get(F.map_values(F.map_filter("seen", lambda k, v: k == b)), F.lit(0)) / (F.col("top") + TINY), F.lit(0.0))).otherwise(F.lit(0.0)))
+    shaped = F.col("morphology_active") > 0
+    value = F.transform(bins, lambda b: F.coalesce(F.when(shaped, F.try_element_at("seen", b) / (F.col("top") + TINY)), F.lit(0.0)))
     mask = F.transform(bins, lambda b: F.coalesce(F.map_contains_key("seen", b), F.lit(False)).cast("double"))
     return rows.withColumn("z", value).withColumn("mask", mask).drop("seen", "top")
 

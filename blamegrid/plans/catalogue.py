@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.grid import BASE, FEATURE_DIGEST, MORPHOLOGY
-from ..operators import condlogit, contracts, features, normalize, ranking, relative, splits, stats, telemetry
+from ..operators import condlogit, contracts, features, normalize, ranking, relative, report, splits, stats, telemetry
 from ..sources import ingest
 from . import fixtures as fx
 from . import incident_sql as sql
@@ -218,13 +218,20 @@ def foreign_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT case_id, {sql.rounded('a_min', 'a_max', 'coverage', 'available', 'active')}, candidates, finite FROM reports"""
 )
 def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense = fx.event_features(spark, sf_dir)
-    rows = dense.join(features.magnitudes(dense), ["case_id", "service"])
-    report = rows.groupBy("case_id").agg(
-        F.min("a").alias("a_min"), F.max("a").alias("a_max"), F.avg("coverage").alias("coverage"), F.avg("channel_available").alias("available"),
-        F.avg("morphology_active").alias("active"), F.count_distinct("service").alias("candidates"), F.bool_and(~F.isnan("a")).alias("finite"),
-    )
-    return rounded(report, "a_min", "a_max", "coverage", "available", "active")
+    return rounded(report.case_report(fx.event_features(spark, sf_dir)), "a_min", "a_max", "coverage", "available", "active")
+
+
+@query(
+    A + f""", reports AS (
+    SELECT d.case_id, min(m.a) AS a_min, max(m.a) AS a_max, avg(d.coverage) AS coverage, avg(d.channel_available) AS available, avg(d.morphology_active) AS active, count(DISTINCT d.service) AS candidates
+    FROM dense d JOIN magnitudes m ON m.case_id = d.case_id AND m.service = d.service GROUP BY d.case_id)
+    SELECT count(*) AS cases, round(min(a_min), 6) + 0.0 AS a_min, round(max(a_max), 6) + 0.0 AS a_max, round(avg(coverage), 6) + 0.0 AS coverage, round(avg(available), 6) + 0.0 AS available,
+    round(avg(active), 6) + 0.0 AS active, true AS finite, (SELECT string_agg(candidates || ':' || n, ',' ORDER BY candidates) FROM (SELECT candidates, count(*) AS n FROM reports GROUP BY candidates)) AS histogram FROM reports"""
+)
+def extraction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = report.dataset_report(report.case_report(fx.event_features(spark, sf_dir)))
+    text = F.array_join(F.transform("histogram", lambda h: F.concat_ws(":", h["candidates"], h["cases"])), ",")
+    return rounded(summary.withColumn("histogram", text), "a_min", "a_max", "coverage", "available", "active")
 
 
 # --- cases, names and contracts ----------------------------------------------------------------------------
