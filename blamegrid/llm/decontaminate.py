@@ -15,7 +15,6 @@ clean; an empty table gives an empty result; other columns stay as they are.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, slices, table, texts
+from .common import ALNUM_TABLE, materialize, slices, table, texts
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -176,13 +175,16 @@ def remove_spans(text: bytes, found: list[list[int]]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", n: int = WINDOW) -> DataFrame:
-    """``docs`` without contaminated documents (action "documents") or passages (action "spans")."""
+    """``docs`` without contaminated documents (action "documents") or passages (action "spans").
+
+    Words that a cut brings together can make a new window, so cutting goes on until a scan finds none.
+    """
     if action not in {"documents", "spans"}:
         raise ValueError("action is 'documents' or 'spans'")
+    schema, names = docs.schema, docs.columns
     report = scan_benchmark(docs, benchmark, n)
     if action == "documents":
-        return report.filter(F.size("hit_spans") == 0).select(docs.columns)
-    fields, names = docs.schema, docs.columns
+        return report.filter(F.size("hit_spans") == 0).select(names)
 
     def cut(batches):
         for part in slices(batches, "text"):
@@ -190,7 +192,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
             new = pa.array([t if t is None or not s else remove_spans(t.encode(), s) for t, s in rows], pa.string())
             yield pa.RecordBatch.from_pydict({c: new if c == "text" else part.column(c) for c in names})
 
-    return report.mapInArrow(cut, fields)
+    report = materialize(report, "scanned")
+    while not report.filter(F.size("hit_spans") > 0).isEmpty():
+        report = materialize(scan_benchmark(report.mapInArrow(cut, schema), benchmark, n), "scanned")
+    return report.select(names)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ vectors; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ KEY_ROTATIONS = 8
 CONFIDENCE = 4.75  # standard deviations of the estimate
 
 
+@lru_cache(maxsize=4)
 def rotations(dim: int, count: int, seed: int = 7) -> np.ndarray:
     """(count, dim, dim) random orthogonal matrices."""
     rng = np.random.default_rng([seed, dim])

@@ -207,6 +207,8 @@ def test_actions(spark):
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()} == {2, 3}
     cut = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench, "spans").collect()}
     assert cut == {1: "Before. ! After", 2: "clean", 3: None}
+    seam = spark.createDataFrame([(1, f"one two three {passage} four five six seven eight nine ten end")], "doc_id long, text string")
+    assert decontaminate.decontaminate(seam, bench, "spans").first()["text"] == " end"
     assert decontaminate.decontaminate(docs, bench.filter("false")).count() == 3
     assert decontaminate.decontaminate(docs.filter("false"), bench).count() == 0
     with pytest.raises(ValueError):
