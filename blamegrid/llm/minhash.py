@@ -303,18 +303,19 @@ def _labels(links: DataFrame) -> DataFrame:
     return up.join(jump, F.col("b") == F.col("at"), "left").select(F.col("a").alias("node"), F.coalesce("next", "b").alias("component"))
 
 
-def clusters_of(posted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(node, cluster): classes connected by pairs that agree often enough."""
+def clusters_of(posted: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, cluster): classes connected by pairs that agree often enough; and the classes with partners in a list."""
     heads = posted.groupBy("token").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("token").alias("of"), "head")
-    first = posted.join(heads, F.col("token") == F.col("of")).filter(F.col("node") != F.col("head"))
-    first = first.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    links = materialize(agreeing(first, classes, percent), "agreeing")
-    placed = _placed(posted, _labels(links))
+    lists = materialize(posted.join(heads, F.col("token") == F.col("of")).select("node", "token", "head"), "lists")
+    signed = materialize(classes.select("node", "n_shingles", "signature").join(lists.select("node").distinct(), "node", "left_semi"), "partners")
+    first = lists.filter(F.col("node") != F.col("head")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    links = materialize(agreeing(first, signed, percent), "agreeing")
+    placed = _placed(lists.select("node", "token"), _labels(links))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("token").alias("of"))
     open_ = materialize(placed.join(mixed, F.col("token") == F.col("of"), "left_semi"), "open")
-    signed = classes.select("node", "n_shingles", "signature")
     more = open_list_links(in_groups(main_and_rest(open_, "token", BLOCK), signed), percent)
-    return connected_components(links.unionByName(materialize(more, "more"))).withColumnRenamed("component", "cluster")
+    clusters = connected_components(links.unionByName(materialize(more, "more"))).withColumnRenamed("component", "cluster")
+    return clusters, signed
 
 
 def _placed(rows: DataFrame, members: DataFrame) -> DataFrame:
@@ -335,7 +336,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
     )
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    clusters = clusters_of(materialize(postings(classes), "posted"), classes, percent)
+    clusters, partners = clusters_of(materialize(postings(classes), "posted"), classes, percent)
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("cluster", "_cluster")
     clusters = materialize(clusters.join(sizes, F.col("cluster") == F.col("_cluster")).drop("_cluster"), "clusters")
 
@@ -343,7 +344,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     wanted = materialize(own.select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
     sets = _sets(_among(docs, wanted), width).withColumnRenamed("digest", "of")
     sets = materialize(own.join(sets, F.col("digest") == F.col("of")).select("node", "shingles"), "sets")
-    payloads = (classes.select("node", "n_shingles", "signature"), sets)
+    payloads = (partners, sets)
     links = materialize(confirmed_links(in_groups(first_blocks(clusters, BLOCK), *payloads), percent), "links")
     large = clusters.filter(F.col("n") > BLOCK).select("node", "cluster")
     if not large.isEmpty():
