@@ -21,7 +21,8 @@ are left to find at the end; none is left out.
 
 Cases: a text without words (null, empty, blank) has an empty set and links with nothing; one with fewer
 words than a shingle is one shingle; repeated rows, of one doc_id or several, share a class; an empty
-table gives an empty result; a null doc_id is reported as it is; other columns are ignored.
+table gives an empty result; a null doc_id is reported as it is, links like any other and is the smallest
+only where a component has no other (kept is null for it then); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import forest, pairs, whole_groups
@@ -90,8 +91,13 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def place() -> Column:
+    """Where a text is found again: a hash of doc_id and text, so that rows without doc_id are not one key."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def with_signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if it is empty), signature."""
+    """doc_id, row, place, n_shingles, digest (of the set; null if it is empty), signature."""
 
     def sign(batches):
         for part in slices(batches, "text"):
@@ -104,14 +110,16 @@ def with_signatures(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": part.column("doc_id"),
+                    "row": part.column("row"),
+                    "place": part.column("place"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "digest": pa.array(nodes, pa.binary()),
                     "signature": pa.array(signs, pa.list_(pa.int32())),
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        sign, "doc_id long, n_shingles long, digest binary, signature array<int>"
+    return docs.select(F.col("doc_id").cast("long"), "row", place().alias("place"), "text").mapInArrow(
+        sign, "doc_id long, row binary, place long, n_shingles long, digest binary, signature array<int>"
     )
 
 
@@ -322,26 +330,26 @@ def _placed(rows: DataFrame, members: DataFrame) -> DataFrame:
     return rows.join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _among(docs: DataFrame, ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids(wanted)``; the ids are broadcast up to ``bound`` of them."""
-    small = ids.limit(bound + 1).count() <= bound
-    return docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("wanted"), "left_semi")
+def _among(docs: DataFrame, places: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of ``docs`` whose place is in ``places(wanted)``; the places are broadcast up to ``bound`` of them."""
+    small = places.limit(bound + 1).count() <= bound
+    return docs.join(F.broadcast(places) if small else places, place() == F.col("wanted"), "left_semi")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select("doc_id", "text")
+def components(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs(doc_id, text, row)``: doc_id, row, n_shingles, component (null for an empty set), component_id."""
+    docs = docs.select("doc_id", "text", "row")
     signed = materialize(with_signatures(docs, width), "signed")
     classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+        F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
     )
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     clusters, partners = clusters_of(materialize(postings(classes), "posted"), classes, percent)
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("cluster", "_cluster")
     clusters = materialize(clusters.join(sizes, F.col("cluster") == F.col("_cluster")).drop("_cluster"), "clusters")
 
-    own = classes.select("node", "digest", "doc_id").join(clusters.select("node"), "node", "left_semi")
-    wanted = materialize(own.select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
+    own = classes.select("node", "digest", "place").join(clusters.select("node"), "node", "left_semi")
+    wanted = materialize(own.select(F.col("place").alias("wanted")).distinct(), "wanted")
     sets = _sets(_among(docs, wanted), width).withColumnRenamed("digest", "of")
     sets = materialize(own.join(sets, F.col("digest") == F.col("of")).select("node", "shingles"), "sets")
     payloads = (partners, sets)
@@ -354,11 +362,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
 
     named = _placed(classes.select("node", "digest", "doc_id"), members)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "c")
-    named = named.join(smallest, F.col("component") == F.col("c")).select(F.col("digest").alias("d"), "component_id")
-    rows = signed.select("doc_id", "n_shingles", "digest")
-    found = rows.filter("digest IS NOT NULL").join(named, F.col("digest") == F.col("d")).select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    named = named.join(smallest, F.col("component") == F.col("c")).select(F.col("digest").alias("d"), "component", "component_id")
+    rows = signed.select("doc_id", "row", "n_shingles", "digest")
+    columns = ("doc_id", "row", "n_shingles", "component", "component_id")
+    found = rows.filter("digest IS NOT NULL").join(named, F.col("digest") == F.col("d")).select(*columns)
+    alone = rows.filter("digest IS NULL").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    return found.unionByName(alone.select(*columns))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept."""
+    rows = components(docs.select("doc_id", "text", F.lit(None).cast("binary").alias("row")), width, percent)
+    return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def one_per_component(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` per component, whole: that of the smallest doc_id, null last, then of a hash of the text.
+
+    Rows are told apart by a hash of doc_id and text. A text without words is a component of its own; of
+    rows that repeat doc_id and text one stays.
+    """
+    own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.when(F.col("text").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), "text")))
+    keyed = docs.withColumn("_row", F.unhex(F.md5(own)))
+    rows = components(keyed.select("doc_id", "text", F.col("_row").alias("row")), width, percent)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))["row"]
+    first = rows.filter("component IS NOT NULL").groupBy("component").agg(least.alias("_kept")).select("_kept")
+    alone = rows.filter("component IS NULL").select(F.col("row").alias("_kept"))
+    unique = keyed.dropDuplicates(["_row"])
+    return unique.join(first.unionByName(alone), F.col("_row") == F.col("_kept"), "left_semi").select(docs.columns)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:

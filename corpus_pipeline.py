@@ -6,8 +6,10 @@ result as Parquet to the cluster's shared folder and reads it again.
 
 1. language: documents without letters, and those whose language is hardly better than a guess, go.
 2. quality: documents that the quality classifier predicts to be of label 0 go.
-3. near_duplicates: of each group of near copies (shingles of five words, similarity 0.8) the document with
-   the smallest doc_id stays, and of rows that repeat doc_id and text one.
+3. near_duplicates: of each group of near copies (shingles of five words, similarity 0.8) one row stays, that
+   with the smallest doc_id. A null doc_id comes after all others: a document without doc_id stays if no
+   near copy has one, and of several near copies without doc_id one does. Of rows of one doc_id with other
+   texts each group keeps its own; of rows that repeat doc_id and text one stays.
 4. decontamination: documents that hold a benchmark window go.
 5. mix: every document's place and share in the training mix.
 
@@ -43,9 +45,7 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    unique = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").withColumn("_text", F.md5("text"))
-    return unique.dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    return minhash.one_per_component(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

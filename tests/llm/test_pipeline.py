@@ -73,3 +73,16 @@ def test_empty_documents(spark, folder, tmp_path):
 def test_repeated_rows_leave_one(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 10")
     assert pipeline.drop_near_duplicates(spark, docs.unionAll(docs), folder).count() == docs.count()
+
+
+def test_rows_without_doc_id_and_repeated_doc_ids(spark, folder):
+    text = lambda name, *more: " ".join([*(f"{name}{k}" for k in range(40)), *more])
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("b", "end")), (None, text("b", "stop")), (None, text("c")), (7, text("c", "end")),
+        (3, text("d")), (5, text("d", "end")), (5, text("e")), (6, text("f")), (6, text("f", "end")), (None, text("g")), (None, text("g")), (None, None), (8, ""),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.drop_near_duplicates(spark, docs, folder)
+    assert got.columns == COLUMNS
+    kept = [(r["doc_id"], (r["text"] or "")[:1]) for r in got.collect()]
+    assert sorted(kept, key=repr) == sorted([(None, "a"), (None, "b"), (7, "c"), (3, "d"), (5, "e"), (6, "f"), (None, "g"), (None, ""), (8, "")], key=repr)
