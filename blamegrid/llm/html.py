@@ -11,7 +11,8 @@ given whose markup tells (an ``article`` or ``main`` element, apart from parts w
 
 Cases: a null or empty page has no blocks and the text ""; unclosed tags, a page that breaks off inside a
 tag or an entity, stray end tags and nesting of any depth are read as browsers do, roughly; script, style
-and other elements that are not text never become blocks; repeated rows are extracted one by one; an
+and other elements that are not text never become blocks, but elements whose names only begin like theirs
+(svg-icon) are markup; a self-closing svg is empty; the text of math is text; repeated rows are extracted one by one; an
 empty table gives an empty result; other columns stay out.
 """
 
@@ -34,7 +35,8 @@ CHAIN = 48  # longer pages are cut into chains of so many blocks, for training o
 L2, STEPS = 0.02, 150
 
 _TOKEN = re.compile(
-    r"<(?P<raw>script|style|template|title|textarea|select|iframe|svg|math|canvas|object)\b(?:\"[^\"]*\"|'[^']*'|[^\"'>])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^\"'>])*/>"
+    r"|<(?P<raw>script|style|template|title|textarea|select|iframe|svg|canvas|object)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^\"'>])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\"'>])*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",

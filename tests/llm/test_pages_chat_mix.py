@@ -42,6 +42,19 @@ def test_known_pages(model, page):
     assert [b.text for b, y in zip(blocks, model.decode(model.scores(blocks, {}))) if y] == CASES[page]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>a</p><svg-icon name='x'></svg-icon><p>b</p><title-bar>c</title-bar><select-box></select-box><object-view/><p>d</p><svg><text>no</text></svg></article>", ["a", "b", "c", "d"]),
+        ("<article><p>a<svg/>b <SVG viewBox='0 > 0' />c<svg width=1><path d='m'/><text>no</text></svg>d</p><p>e</p></article>", ["ab cd", "e"]),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><math/><p>f</p></article>", ["so x=2 holds", "f"]),
+        ("<article><p>a</p><script\n>'<p>no'</script><style/>no</style ><p>b</p></article>", ["a", "b"]),
+    ],
+)
+def test_names_that_begin_like_elements_without_text(page, want):
+    assert [b.text for b in html.leaf_blocks(page)] == want
+
+
 def test_labelled_pages_are_learnt(model):
     for page, labels in html.labelled_pages():
         assert model.decode(model.scores(html.leaf_blocks(page), {})) == labels
