@@ -5,10 +5,14 @@ the participant's turns get the assistant's header and are trained on, the turns
 turns of named users, system turns stay as they are; both are masked. A participant is a distinct
 speaker (the role) other than the system's.
 
-A dialogue comes in parts of ``part_turns`` turn numbers, so that a conversation of any length is never in
-one row or task; the parts of one rendering, in order, make up the whole text. Offsets count code points
-from the start of the part. Everything is built in: one aggregation per part, the list of participants
-per conversation from a distinct.
+A dialogue comes in parts of ``part_turns`` turn numbers. Where more rows than that have such numbers
+(turns are null or repeat, or there is no conv_id), these are cut by position into parts of ``part_turns``
+rows, and the parts after them are numbered on. So no part has more rows than that, a conversation of any
+length is never in one row, and the parts of one rendering, in order, make up the whole text. OP2_SQL has
+parts by turn numbers only; the two agree where none has more rows. Offsets count code points from the
+start of the part. Everything is built in: one aggregation per part, the list of participants per
+conversation from a distinct; positions come from running counts inside sorted ranges (equal rows are one
+row with a count) and the sums of ranges.
 
 Cases: a null text is an empty one; a null role is a speaker named ``unknown``; a null turn belongs to
 part 0 and comes first; turns of equal number are ordered by role and text, repeated rows stay; a
@@ -19,11 +23,15 @@ conversation; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 PART_TURNS = 512
+RANGE_ROWS, MOST_RANGES = 8192, 2048
+PREFIX = 256  # code points of a text that tell its range; what a range holds is sorted by whole texts
+BROADCAST_PARTS = 100_000
 SYSTEM, UNKNOWN = "system", "unknown"
 
 
@@ -35,6 +43,51 @@ def header(speaker: Column, viewer: Column) -> Column:
 END, GAP = "<|im_end|>", "\n"
 
 
+def _same_part() -> Column:
+    return F.col("conv_id").eqNullSafe(F.col("of_conv")) & (F.col("part") == F.col("of_part"))
+
+
+def _cut(rows: DataFrame, part_turns: int) -> DataFrame:
+    """``rows(conv_id, part, turn, speaker, said)`` of overfull parts, cut by position: conv_id, part, piece, turns."""
+    distinct = materialize(rows.groupBy("conv_id", "part", "turn", "speaker", "said").agg(F.count(F.lit(1)).alias("n")), "turns")
+    ranges = min(MOST_RANGES, distinct.count() // RANGE_ROWS + 1)
+    dealt = distinct.repartitionByRange(ranges, "conv_id", "part", "turn", "speaker", F.substring("said", 1, PREFIX))
+    dealt = materialize(dealt.withColumn("range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("conv_id", "part", "range").agg(F.sum("n").alias("n"))
+    before = W.partitionBy("conv_id", "part").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(
+        F.col("conv_id").alias("of_conv"), F.col("part").alias("of_part"), F.col("range").alias("of_range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
+    )
+    inside = W.partitionBy("conv_id", "part", "range").orderBy("turn", "speaker", "said").rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    placed = placed.join(offsets, _same_part() & (F.col("range") == F.col("of_range"))).withColumn("low", F.col("offset") + F.col("inside"))
+    first, last = (F.floor(x / part_turns).cast("long") for x in (F.col("low"), F.col("low") + F.col("n") - 1))
+    pieces = placed.withColumn("piece", F.explode(F.sequence(first, last)))
+    start = F.col("piece") * part_turns
+    copies = F.least(F.col("low") + F.col("n"), start + part_turns) - F.greatest(F.col("low"), start)
+    listed = pieces.groupBy("conv_id", "part", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "said", copies.cast("int").alias("n")))).alias("turns"))
+    repeated = F.transform("turns", lambda t: F.array_repeat(F.struct(t["turn"].alias("turn"), t["speaker"].alias("speaker"), t["said"].alias("said")), t["n"]))
+    return listed.withColumn("turns", F.flatten(repeated))
+
+
+def _parts(rows: DataFrame, part_turns: int) -> DataFrame:
+    """(conv_id, part, turns): parts of ``part_turns`` rows at most."""
+    sizes = rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    names = (F.col("conv_id").alias("of_conv"), F.col("part").alias("of_part"))
+    full = materialize(sizes.filter(F.col("n") > part_turns).select(*names), "overfull")
+    listed = F.sort_array(F.collect_list(F.struct("turn", "speaker", "said"))).alias("turns")
+    count = full.limit(BROADCAST_PARTS + 1).count()
+    if not count:
+        return rows.groupBy("conv_id", "part").agg(listed)
+    small = F.broadcast(full) if count <= BROADCAST_PARTS else full
+    others = rows.join(small, _same_part(), "left_anti").groupBy("conv_id", "part").agg(listed).withColumn("piece", F.lit(0).cast("long"))
+    parts = others.unionByName(_cut(rows.join(small, _same_part(), "left_semi"), part_turns))
+    before = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum(F.ceil(F.col("n") / part_turns) - 1).over(before), F.lit(0)).alias("shift")
+    shifts = sizes.select(*names, shift).filter("shift > 0")
+    return parts.join(shifts, _same_part(), "left").select("conv_id", (F.col("part") + F.coalesce("shift", F.lit(0)) + F.col("piece")).alias("part"), "turns")
+
+
 def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """Per conversation, participant and part of ``turns(conv_id, turn, role, text)``: the rendering.
 
@@ -49,8 +102,7 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("said"),
     )
     viewers = rows.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("participant")).distinct()
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "said"))).alias("turns"))
-    seen = parts.join(viewers, F.col("conv_id").eqNullSafe(F.col("of")))
+    seen = _parts(rows, part_turns).join(viewers, F.col("conv_id").eqNullSafe(F.col("of")))
     viewer = F.col("participant")
     pieces = F.transform(
         "turns",

@@ -137,6 +137,26 @@ def test_rotation(spark):
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_parts_are_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RANGE_ROWS", 5)
+    monkeypatch.setattr(chat, "PREFIX", 2)
+    rng = random.Random(5)
+    rows = [(None, rng.choice([None, 0, 1, 9]), rng.choice(["ann", "bob", None]), rng.choice(["x", "xyz", "xyzz", None, "é"])) for _ in range(60)]
+    rows += [(None, 2, "ann", "same")] * 23 + [(1, k, "ann", f"t{k}") for k in range(10)] + [(2, None, "bob", f"n{k}") for k in range(9)] + [(2, 4, "system", "late")]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_turns=4).collect()
+    assert max(r["n_turns"] for r in got) == 4 and len({(r["conv_id"], r["participant"], r["part"]) for r in got}) == len(got)
+    assert sorted(r["part"] for r in got if r["conv_id"] == 1) == [0, 1, 2] and sorted(r["part"] for r in got if r["conv_id"] == 2) == [0, 1, 2, 3]
+    for conv, viewer in {(r["conv_id"], r["participant"]) for r in got}:
+        part_of = lambda t: 0 if t is None else t // 4
+        own = sorted((part_of(t), t is not None, t or 0, s or "unknown", x or "") for c, t, s, x in rows if c == conv)
+        named = lambda s: "assistant" if s == viewer else s if s == "system" else f"user name={s}"
+        want = "".join(f"<|im_start|>{named(s)}\n{x}<|im_end|>\n" for *_, s, x in own)
+        parts = sorted((r for r in got if (r["conv_id"], r["participant"]) == (conv, viewer)), key=lambda r: r["part"])
+        assert "".join(r["text"] for r in parts) == want
+        assert all(r["text"][s["start"] : s["end"]].endswith("<|im_end|>") for r in parts for s in r["spans"])
+        assert sum(r["n_turns"] for r in parts) == len(own) and sum(r["n_trained"] for r in parts) == sum(s == viewer for *_, s, _ in own)
+
+
 # --- mixing ---
 
 
