@@ -4,7 +4,11 @@ The loss of an event is the log-sum-exp of its candidates' scores less the root'
 added once. With a positive L2 factor the objective is strictly convex, so damped Newton steps from zero
 reach its one optimum. Each iteration is one pass over the persisted events: every partition returns its
 part of loss, gradient and Hessian for all folds at once, the driver adds them up in the order of
-partitions and steps. The driver holds folds x (1 + d + d²) numbers, whatever the size of the data.
+partitions and steps. A case is stored once: the models of all folds but its own learn from it. The driver
+holds folds x (1 + d + d²) numbers, whatever the size of the data.
+
+The same events give the same bits. The scaler's means come from sums in the order of a shuffle, so
+fits of the same table agree to about 1e-15, well inside of the tolerance of a replay (1e-12).
 """
 
 from __future__ import annotations
@@ -18,10 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import FEATURE_DIGEST, FEATURE_NAMES
-from .ranking import ranked
+from ..sources.scratch import materialize
+from .contracts import integrity_verdict, model_violations
+from .ranking import case_metrics, metric_diff, metric_groups, prediction_diff, ranked
 
 #: A feature whose spread is below this share of its size counts as constant.
 CONSTANT = 1e-12
+#: Numbers of candidates' vectors in a partition: 16 MB.
+CELLS = 2_000_000
+FAN_IN = 64
 
 
 def scaler_stats(vectors: DataFrame, folds: DataFrame) -> DataFrame:
@@ -39,74 +48,111 @@ def training_cases(folds: DataFrame) -> DataFrame:
     return spread.filter(F.col("fold") != F.col("own")).select("fold", "case_id")
 
 
-def training_events(vectors: DataFrame, labels: DataFrame, folds: DataFrame, stats: DataFrame) -> DataFrame:
-    """One row per (fold, training case): scaled candidate matrix and the root's place in it."""
-    scale = stats.groupBy("fold").agg(F.sort_array(F.collect_list(F.struct("ix", "mean", "scale"))).alias("stats"))
-    scaled = F.zip_with("features", "stats", lambda x, s: (x - s["mean"]) / s["scale"])
-    rows = vectors.join(training_cases(folds), "case_id").join(scale, "fold").select("fold", "case_id", "service", scaled.alias("x"))
-    events = rows.groupBy("fold", "case_id").agg(F.sort_array(F.collect_list(F.struct("service", "x"))).alias("own"))
-    joined = events.join(labels.select("case_id", "root"), "case_id", "left")
+def event_parts(vectors: DataFrame, cells: int = CELLS) -> int:
+    """Partitions for a fit: as many as the vectors' numbers ask for, ``cells`` of them each."""
+    return (vectors.agg(F.sum(F.size("features"))).first()[0] or 0) // cells + 1
+
+
+def event_table(vectors: DataFrame, labels: DataFrame, folds: DataFrame, parts: int = 1) -> DataFrame:
+    """One row per case: case_id, fold (its own), x (the candidates' numbers, one after the other), n and root (a place among them).
+
+    Cases are dealt into ``parts`` partitions, always in the same way.
+    """
+    own = vectors.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("service", "features"))).alias("own"))  # one case's candidates
+    rows = own.join(labels.select("case_id", "root"), "case_id", "left").join(folds.select("case_id", "fold"), "case_id")
     names = F.transform("own", lambda o: o["service"])
-    return joined.select(
-        "fold", "case_id", F.flatten(F.transform("own", lambda o: o["x"])).alias("x"), F.size("own").alias("n"), (F.array_position(names, F.col("root")) - 1).cast("int").alias("root")
+    events = rows.select(
+        "case_id", "fold", F.flatten(F.transform("own", lambda o: o["features"])).alias("x"), F.size("own").alias("n"), (F.array_position(names, F.col("root")) - 1).cast("int").alias("root")
     )
+    return events.repartition(parts, "case_id").sortWithinPartitions("case_id")
 
 
 PART = "part int, fold int, loss double, gradient array<double>, hessian array<double>"
 
 
 def _parts(weights: dict[int, np.ndarray]):
-    """Sums of loss, gradient and Hessian of a partition's events, by fold, at the given weights."""
+    """Sums of loss, gradient and Hessian of a partition's events, for each fold over the events of all others.
+
+    Numbers are as stored, held against the root's row (an event's softmax doesn't heed a common offset);
+    ``weights`` are for numbers as stored.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        total: dict[int, list] = {}
+        total = {f: [0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))] for f, w in weights.items()}
+        seen = set()
         for batch in batches:
-            for fold, flat, n, root in zip(batch["fold"], batch["x"], batch["n"], batch["root"]):
-                w = weights[int(fold)]
-                x = np.asarray(flat, float).reshape(int(n), len(w))
+            for own, flat, n, root in zip(batch["fold"], batch["x"], batch["n"], batch["root"]):
                 if not 0 <= root < n:
                     raise ValueError("the root isn't among the candidates")
-                score = x @ w
-                top = score.max()
-                p = np.exp(score - top)
-                mass = p.sum()
-                p /= mass
-                mean = p @ x
-                around = x - mean
-                sums = total.setdefault(int(fold), [0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))])
-                sums[0] += top + np.log(mass) - score[root]
-                sums[1] += mean - x[root]
-                sums[2] += around.T @ (p[:, None] * around)
-        rows = [(part, fold, s[0], s[1].tolist(), s[2].ravel().tolist()) for fold, s in sorted(total.items())]
+                x = np.asarray(flat, float).reshape(int(n), -1)
+                x = x - x[int(root)]
+                for fold, w in weights.items():
+                    if fold == own:
+                        continue
+                    seen.add(fold)
+                    score = x @ w
+                    top = score.max()
+                    p = np.exp(score - top)
+                    mass = p.sum()
+                    p /= mass
+                    mean = p @ x
+                    around = x - mean
+                    sums = total[fold]
+                    sums[0] += top + np.log(mass)
+                    sums[1] += mean
+                    sums[2] += around.T @ (p[:, None] * around)
+        rows = [(part, fold, total[fold][0], total[fold][1].tolist(), total[fold][2].ravel().tolist()) for fold in sorted(seen)]
         yield pd.DataFrame(rows, columns=["part", "fold", "loss", "gradient", "hessian"])
 
     return run
 
 
-def evaluate(events: DataFrame, weights: dict[int, np.ndarray], l2: float) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Loss, gradient and Hessian by fold; one job, added up in a fixed order."""
+def _added_up(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("part")
+    sums = [np.sum(np.stack(rows[c].to_numpy()), axis=0).tolist() for c in ("gradient", "hessian")]
+    return pd.DataFrame({"part": [rows["part"].iloc[0] // FAN_IN], "fold": [rows["fold"].iloc[0]], "loss": [rows["loss"].sum()], "gradient": [sums[0]], "hessian": [sums[1]]})
+
+
+def evaluate(events: DataFrame, weights: dict[int, np.ndarray], scales: dict[int, np.ndarray], l2: float, parts: int = 1) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Loss, gradient and Hessian by fold, of weights for scaled numbers; one job, added up in a fixed order.
+
+    Sums of many ``parts`` are first added up FAN_IN by FAN_IN in tasks: the driver receives FAN_IN of them at most.
+    """
     found = {f: (0.5 * l2 * float(w @ w), l2 * w, l2 * np.eye(len(w))) for f, w in weights.items()}
-    for r in sorted(events.mapInPandas(_parts(weights), PART).collect(), key=lambda r: (r["fold"], r["part"])):
+    stored = {f: w / scales[f] for f, w in weights.items()}
+    sums = events.mapInPandas(_parts(stored), PART)
+    while parts > FAN_IN:
+        sums = sums.groupBy("fold", F.floor(F.col("part") / FAN_IN)).applyInPandas(_added_up, PART)
+        parts = -(-parts // FAN_IN)
+    for r in sorted(sums.collect(), key=lambda r: (r["fold"], r["part"])):
         loss, gradient, hessian = found[r["fold"]]
-        found[r["fold"]] = (loss + r["loss"], gradient + np.array(r["gradient"]), hessian + np.array(r["hessian"]).reshape(hessian.shape))
+        s = scales[r["fold"]]
+        found[r["fold"]] = (loss + r["loss"], gradient + np.array(r["gradient"]) / s, hessian + np.array(r["hessian"]).reshape(hessian.shape) / np.outer(s, s))
     return found
 
 
-def fit(events: DataFrame, l2: float = 1.0, tolerance: float = 1e-8, max_iter: int = 50, partitions: int = 8) -> list[dict]:
-    """Fits all folds of ``events`` side by side; one dict per fold.
+def fold_scales(stats: DataFrame) -> dict[int, np.ndarray]:
+    """The scales of ``scaler_stats`` by fold, on the driver: folds x d numbers."""
+    found: dict[int, dict[int, float]] = {}
+    for r in stats.select("fold", "ix", "scale").collect():
+        found.setdefault(r["fold"], {})[r["ix"]] = r["scale"]
+    return {f: np.array([own[k] for k in range(len(own))]) for f, own in sorted(found.items())}
+
+
+def fit(events: DataFrame, scales: dict[int, np.ndarray], l2: float = 1.0, tolerance: float = 1e-8, max_iter: int = 50, parts: int = 1) -> list[dict]:
+    """Fits the models of all folds of ``events`` side by side, each on the cases of the other folds; one dict per fold.
 
     Keys: fold, weights, initial_loss, final_loss, gradient_norm (largest component), iterations, converged.
     """
-    held = events.repartition(partitions, "case_id").sortWithinPartitions("fold", "case_id").persist(StorageLevel.MEMORY_AND_DISK)
+    if not scales:
+        raise ValueError("no training events")
+    held = events.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        sizes = {r["fold"]: r["d"] for r in held.groupBy("fold").agg(F.max(F.size("x") / F.col("n")).cast("int").alias("d")).collect()}
-        if not sizes:
-            raise ValueError("no training events")
-        weights = {f: np.zeros(d) for f, d in sorted(sizes.items())}
-        now = evaluate(held, weights, l2)
+        weights = {f: np.zeros(len(s)) for f, s in sorted(scales.items())}
+        now = evaluate(held, weights, scales, l2, parts)
         first = {f: v[0] for f, v in now.items()}
         steps, size, iterations = {}, dict.fromkeys(weights, 1.0), dict.fromkeys(weights, 0)
         open_ = {f for f, v in now.items() if np.abs(v[1]).max() > tolerance}
@@ -115,8 +161,8 @@ def fit(events: DataFrame, l2: float = 1.0, tolerance: float = 1e-8, max_iter: i
         for _ in range(max_iter):
             if not open_:
                 break
-            tried = {f: weights[f] - size[f] * steps[f] if f in open_ else weights[f] for f in weights}
-            new = evaluate(held, tried, l2)
+            tried = {f: weights[f] - size[f] * steps[f] for f in sorted(open_)}
+            new = evaluate(held, tried, scales, l2, parts)
             for f in list(open_):
                 slack = 8 * np.spacing(abs(now[f][0]))
                 nearer = np.abs(new[f][1]).max() < np.abs(now[f][1]).max()
@@ -179,22 +225,20 @@ def unscored(folds: DataFrame, weights: DataFrame) -> DataFrame:
 
 def fit_out_of_fold(vectors: DataFrame, labels: DataFrame, folds: DataFrame, l2: float = 1.0):
     """(predictions, weights, fits): models of all folds, and the held-out cases ranked by them."""
-    stats = scaler_stats(vectors, folds)
-    fits = fit(training_events(vectors, labels, folds, stats), l2)
     spark = vectors.sparkSession
+    vectors = materialize(vectors.select("case_id", "service", "features"), "vectors")
+    stats = materialize(scaler_stats(vectors, folds), "scaler")
+    parts = event_parts(vectors)
+    fits = fit(event_table(vectors, labels, folds, parts), fold_scales(stats), l2, parts=parts)
     weights = weight_table(spark, fits, stats)
     return predict(vectors, folds, weights), weights, fit_table(spark, fits)
 
 
-def loss_at_zero(vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    """(ix, gradient, loss): closed form at zero weights, where all candidates are equally likely."""
-    events = vectors.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
-    total = events.agg(F.sum(F.log("n")).alias("loss"))
-    long = vectors.join(labels.select("case_id", "root"), "case_id").join(events, "case_id").select(
-        "case_id", "n", (F.col("service") == F.col("root")).cast("double").alias("is_root"), F.posexplode("features").alias("ix", "value")
-    )
-    gradient = long.groupBy("ix").agg(F.sum(F.col("value") / F.col("n") - F.col("value") * F.col("is_root")).alias("gradient"))
-    return gradient.join(F.broadcast(total))  # one row: the loss
+def replay_verdict(vectors: DataFrame, labels: DataFrame, fresh: DataFrame, stored: DataFrame, fits: DataFrame) -> DataFrame:
+    """One row: do predictions from ``stored`` weights agree with ``fresh`` ones, in ranks, scores and all metrics?"""
+    again = predict(vectors, labels, stored)
+    groups = [metric_groups(case_metrics(p, labels.select("case_id", "root", "fault", "fold"))) for p in (fresh, again)]
+    return integrity_verdict(prediction_diff(fresh, again), metric_diff(*groups), fits)
 
 
 def save_model(weights: DataFrame, fits: DataFrame, path: str) -> None:
@@ -205,8 +249,6 @@ def save_model(weights: DataFrame, fits: DataFrame, path: str) -> None:
 
 def load_model(spark, path: str, names: Sequence[str] = FEATURE_NAMES) -> tuple[DataFrame, DataFrame]:
     """(weights, fits) as saved; raises if dimension, names, digest or numbers aren't what they must be."""
-    from .contracts import model_violations
-
     weights, fits = spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/fits")
     wrong = [tuple(r) for r in model_violations(weights, names).collect()]  # a row or two per fold
     wrong += [(r["fold"], "digest") for r in weights.filter(F.col("digest") != FEATURE_DIGEST).select("fold").distinct().collect()]

@@ -81,3 +81,17 @@ def prediction_diff(left: DataFrame, right: DataFrame) -> DataFrame:
         F.max(F.abs(F.col("score_l") - F.col("score_r"))).alias("max_score_diff"),
         F.coalesce(F.bool_and(F.col("rank_l").eqNullSafe(F.col("rank_r"))), F.lit(True)).alias("same_ranks"),
     )
+
+
+def metric_diff(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(grouping, value, diff): greatest difference of any metric of two ``metric_groups``; infinite for a group on one side."""
+    keys = ["grouping", "value"]
+    sides = [d.select(*keys, *(F.col(f"`{m}`").alias(f"{s}{k}") for k, m in enumerate(METRICS))) for d, s in ((left, "l"), (right, "r"))]
+    both = sides[0].join(sides[1], keys, "full_outer")
+    diffs = [F.coalesce(F.abs(F.col(f"l{k}") - F.col(f"r{k}")), F.lit(float("inf"))) for k in range(len(METRICS))]
+    return both.select(*keys, F.greatest(*diffs).alias("diff"))
+
+
+def canonical_order(rows: DataFrame) -> DataFrame:
+    """Predictions or splits in their order for output: by case, then by rank where there is one (a range sort)."""
+    return rows.orderBy(*(c for c in ("case_id", "fold", "rank", "service") if c in rows.columns))

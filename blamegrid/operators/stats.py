@@ -7,6 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+from .positions import sums_before
+
+SLICE, BROADCAST_CASES = 4096, 200_000
+
 
 def paired_deltas(left: DataFrame, right: DataFrame, metric: str = "Avg@5") -> DataFrame:
     """(case_id, fault, delta) of two tables of case metrics; cases on one side have a null delta."""
@@ -21,22 +26,28 @@ def mean_deltas(deltas: DataFrame) -> DataFrame:
     return rows.groupBy("fault").agg(F.count("delta").alias("n"), F.avg("delta").alias("mean_delta"))
 
 
-def bootstrap_ci(deltas: DataFrame, resamples: int = 1000, seed: int = 7) -> DataFrame:
+def bootstrap_ci(deltas: DataFrame, resamples: int = 10_000, seed: int = 7) -> DataFrame:
     """One row: n, point, low, high: 95 % percentile interval of the mean over stratified resamples.
 
     Each resample draws every fault's number of cases from that fault, with replacement; a draw is a hash
-    of (seed, resample, fault, slot), so reruns agree whatever the partitioning.
+    of (seed, resample, fault, slot), so reruns agree whatever the partitioning. Cases are numbered inside
+    their fault, draws are made in slices of SLICE slots all over the cluster, meet the cases by number and
+    are summed by resample before they are shuffled: no task holds a fault's cases.
     """
-    cases = deltas.filter("delta IS NOT NULL")
-    pools = cases.groupBy("fault").agg(F.array_sort(F.collect_list(F.struct("case_id", "delta"))).alias("pool"))  # cases of one fault
-    slots = pools.select("fault", F.transform("pool", lambda p: p["delta"]).alias("pool")).withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    n = F.size("pool")
-    draws = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda k: F.get("pool", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("resample"), F.col("fault"), k)), 1, 8), 16, 10).cast("long") % n).cast("int")),
+    cases = materialize(deltas.filter("delta IS NOT NULL").select("fault", "case_id", "delta"), "deltas")
+    numbered = materialize(sums_before(cases, ["fault"], ["case_id", "delta"], F.lit(1), "place"), "numbered").withColumnRenamed("fault", "of")
+    sizes = cases.groupBy("fault").agg(F.count(F.lit(1)).alias("size"))
+    slices = sizes.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn(
+        "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(SLICE).cast("long")))
     )
-    sums = slots.select("resample", n.alias("n"), F.aggregate(draws, F.lit(0.0), lambda a, x: a + x).alias("total"))
-    means = sums.groupBy("resample").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    slots = slices.repartition("resample", "first").withColumn("slot", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + SLICE, F.col("size")) - 1)))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("resample"), F.col("fault"), F.col("slot")))
+    draws = slots.select("resample", "fault", (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.col("size")).alias("drawn"))
+    side = numbered.select("of", "place", "delta")
+    if cases.count() <= BROADCAST_CASES:
+        side = F.broadcast(side)
+    met = draws.join(side, F.col("fault").eqNullSafe(F.col("of")) & (F.col("drawn") == F.col("place")))
+    means = met.groupBy("resample").agg(F.avg("delta").alias("mean"))
     ends = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
     interval = means.agg(F.get(ends, F.lit(0)).alias("low"), F.get(ends, F.lit(1)).alias("high"))
     return cases.agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("point")).join(F.broadcast(interval))  # one row each

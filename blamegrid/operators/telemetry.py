@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.grid import GridSpec, finite
 from ..functions.names import trace_alias
 
+BROADCAST_CASES, SALTS = 100_000, 32
+
 
 def wide_to_long(wide: DataFrame, ids: Sequence[str], time: str, indicators: Sequence[str] | None = None) -> DataFrame:
     """``ids``, ts, indicator, value: one row per cell; cells that are no numbers become null."""
@@ -40,17 +42,26 @@ def indicator_services(indicators: DataFrame, candidates: DataFrame) -> DataFram
     return found.groupBy("case_id", "channel", "indicator").agg(F.max_by("service", F.length("service")).alias("service"))
 
 
-def case_windows(rows: DataFrame, cases: DataFrame, spec: GridSpec) -> DataFrame:
+def case_windows(rows: DataFrame, cases: DataFrame, spec: GridSpec, broadcast_cases: int = BROADCAST_CASES) -> DataFrame:
     """``rows(ts, ...)`` of a shared stream in each case's window, with case_id and bin; anchors lie anywhere.
 
     Time is cut into stretches as long as a window: a case touches two or three of them, which makes the
-    range join an equi-join with a residual condition.
+    range join an equi-join with a residual condition. Up to ``broadcast_cases`` cases go to every task;
+    beyond that the rows of a stretch are dealt over SALTS keys, so that a busy stretch is no single task.
     """
     length = spec.bins * spec.bin_seconds
     start = F.col("anchor") - spec.pre_bins * spec.bin_seconds
     spread = cases.select("case_id", "anchor", F.explode(F.sequence(F.floor(start / length), F.floor((start + length) / length))).alias("stretch"))
     timed = rows.filter(finite(F.col("ts"))).withColumn("stretch", F.floor(F.col("ts") / length))
-    return timed.join(spread, "stretch").withColumn("bin", spec.bin_of(F.col("ts"), F.col("anchor"))).filter("bin IS NOT NULL").drop("stretch", "anchor")
+    keys = ["stretch"]
+    if cases.limit(broadcast_cases + 1).count() <= broadcast_cases:
+        spread = F.broadcast(spread)
+    else:
+        keys.append("salt")
+        timed = timed.withColumn("salt", F.pmod(F.xxhash64("ts", *(c for c in rows.columns if c != "ts")), F.lit(SALTS)).cast("int"))
+        spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = timed.join(spread, keys).withColumn("bin", spec.bin_of(F.col("ts"), F.col("anchor")))
+    return joined.filter("bin IS NOT NULL").drop("anchor", *keys)
 
 
 def bin_sums(rows: DataFrame, keys: Sequence[str], spec: GridSpec) -> DataFrame:

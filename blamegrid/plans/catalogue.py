@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..functions.grid import BASE, FEATURE_DIGEST, MORPHOLOGY
+from ..functions.grid import BASE, FEATURE_DIGEST, FEATURE_NAMES, MORPHOLOGY
 from ..operators import condlogit, contracts, features, normalize, ranking, relative, report, splits, stats, telemetry
 from ..sources import ingest
+from ..sources.scratch import materialize, scratch_path
 from . import fixtures as fx
 from . import incident_sql as sql
 
@@ -132,7 +134,7 @@ def shipment_magnitude_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = fx.event_profile(spark, sf_dir).persist()
+    profile = materialize(fx.event_profile(spark, sf_dir), "profile")  # read twice
     dense = features.densified(features.cell_features(profile, fx.GRID_A), fx.candidate_rows(fx.event_cases(spark)))
     return features.trajectories(profile, dense, fx.GRID_A)
 
@@ -168,6 +170,17 @@ def z2_vector_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.long_view(features.feature_vectors(fx.event_features(spark, sf_dir))), "value")
 
 
+@query(
+    A + f""" SELECT case_id, service, 'z0' AS variant, 0 AS ix, {sql.rounded('a').replace('AS a', 'AS value')} FROM magnitudes
+    UNION ALL SELECT case_id, service, 'z1', CAST(channel_ix * 8 + k AS INT), round([{', '.join(BASE)}][k + 1], 6) + 0.0 FROM dense, range(8) t(k)"""
+)
+def small_vectors_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two small variants, of 1 and 32 numbers."""
+    dense = materialize(fx.event_features(spark, sf_dir), "dense")  # read twice
+    sides = [features.long_view(features.feature_vectors(dense, v)).select("case_id", "service", F.lit(v).alias("variant"), "ix", "value") for v in ("z0", "z1")]
+    return rounded(sides[0].unionByName(sides[1]), "value")
+
+
 @query(
     A + _Z + f""", moved AS (
     SELECT case_id, CAST(k AS INT) AS old, CAST(row_number() OVER (PARTITION BY case_id ORDER BY sha256('shuffle:' || case_id || ':' || k)) - 1 AS INT) AS bin FROM cases, range(80) r(k))
@@ -197,6 +210,17 @@ def within_event_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(relative.within_event_percentiles(features.long_view(_vectors(spark, sf_dir)).drop("name")), "pct")
 
 
+@query(
+    A + _LONG + f""", placed AS (
+    SELECT *, (rank() OVER (PARTITION BY case_id, ix ORDER BY value) + (count(*) OVER (PARTITION BY case_id, ix, value) - 1) / 2.0::DOUBLE - 1)
+              / (count(*) OVER (PARTITION BY case_id, ix) - 1) AS pct FROM flat)
+    SELECT case_id, service, ix, {sql.rounded('value')} FROM placed UNION ALL SELECT case_id, service, ix + 68, round(pct, 6) + 0.0 FROM placed"""
+)
+def relative_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors followed by their percentiles inside the event, number by number."""
+    return rounded(features.long_view(relative.representation(_vectors(spark, sf_dir), True)).drop("name"), "value")
+
+
 @query(
     A + _LONG + f""" SELECT v.case_id, m.context_id, v.service, v.ix, v.value,
     round((sum(CASE WHEN c.value < v.value THEN 1 ELSE 0 END) + 0.5 * sum(CASE WHEN c.value = v.value THEN 1 ELSE 0 END)) / count(*)::DOUBLE, 6) + 0.0 AS pct
@@ -463,36 +487,147 @@ def scaler_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     A + sql.LABELS + _LONG + """, sizes AS (SELECT case_id, count(DISTINCT service) AS n FROM flat GROUP BY case_id)
-    SELECT v.ix, round(sum(v.value / s.n - CASE WHEN v.service = l.root THEN v.value ELSE 0 END), 3) + 0.0 AS gradient, (SELECT round(sum(ln(n)), 6) FROM sizes) AS loss
+    SELECT v.ix, round(sum(v.value / s.n - CASE WHEN v.service = l.root THEN v.value ELSE 0 END), 6) + 0.0 AS gradient, (SELECT round(sum(ln(n)), 6) FROM sizes) AS loss
     FROM flat v JOIN labels l ON l.case_id = v.case_id JOIN sizes s ON s.case_id = v.case_id GROUP BY v.ix"""
 )
 def loss_gradient_at_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = condlogit.loss_at_zero(_vectors(spark, sf_dir), fx.event_labels(spark, sf_dir))
-    return found.select("ix", tidy("gradient", 3).alias("gradient"), tidy("loss").alias("loss"))
+    """The fit's own sums at zero weights over all cases, where the closed form is known: all candidates are equally likely."""
+    events = condlogit.event_table(_vectors(spark, sf_dir), *[fx.event_labels(spark, sf_dir)] * 2)
+    flat = {-1: np.zeros(len(FEATURE_NAMES))}  # a fold that no case is of
+    loss, gradient, _ = condlogit.evaluate(events, flat, {-1: np.ones(len(FEATURE_NAMES))}, 1.0)[-1]
+    found = spark.createDataFrame([(k, float(g), loss) for k, g in enumerate(gradient)], "ix int, gradient double, loss double")
+    return rounded(found, "gradient", "loss")
+
+
+_SCALED = A + sql.LABELS + _LONG + """, stats AS (
+  SELECT fold, ix, mean, CASE WHEN sd <= 1e-12 * greatest(abs(mean), 1) THEN 1 ELSE sd END AS scale FROM (
+    SELECT f.fold, v.ix, avg(v.value) AS mean, stddev_pop(v.value) AS sd
+    FROM flat v JOIN labels l ON l.case_id = v.case_id JOIN (SELECT DISTINCT fold FROM labels) f ON f.fold <> l.fold GROUP BY f.fold, v.ix)),
+standard AS (
+  SELECT s.fold, l.fold AS own, v.case_id, v.service, v.service = l.root AS is_root, v.ix, (v.value - s.mean) / s.scale AS z, ((v.ix * 7) % 11 - 5) / 50.0::DOUBLE AS weight
+  FROM flat v JOIN labels l ON l.case_id = v.case_id JOIN stats s ON s.ix = v.ix),
+scores AS (SELECT fold, own, case_id, service, is_root, sum(z * weight) AS score FROM standard GROUP BY ALL)"""
+_SHARES = _SCALED + """, shares AS (
+  SELECT *, exp(score - top) / sum(exp(score - top)) OVER w AS p, top + ln(sum(exp(score - top)) OVER w) AS mass
+  FROM (SELECT *, max(score) OVER (PARTITION BY fold, case_id) AS top FROM scores WHERE fold <> own) WINDOW w AS (PARTITION BY fold, case_id)),
+norm AS (SELECT sum(weight * weight) / 2 AS half FROM (SELECT DISTINCT ix, weight FROM standard))"""
+
+
+def _given_weights(count: int) -> np.ndarray:
+    return np.array([((k * 7) % 11 - 5) / 50.0 for k in range(count)])
+
+
+def _sums_at_given_weights(spark: SparkSession, sf_dir: str):
+    """The fit's sums by fold at weights that the SQL knows."""
+    vectors, labels = materialize(_vectors(spark, sf_dir), "vectors"), fx.event_labels(spark, sf_dir)
+    scales = condlogit.fold_scales(condlogit.scaler_stats(vectors, labels))
+    return condlogit.evaluate(condlogit.event_table(vectors, labels, labels), {f: _given_weights(len(s)) for f, s in scales.items()}, scales, 1.0)
+
+
+@query(
+    _SHARES + """ SELECT g.fold, g.ix, round(g.gradient, 6) + 0.0 AS gradient, round(l.loss + norm.half, 6) + 0.0 AS loss FROM norm,
+    (SELECT z.fold, z.ix, sum(s.p * z.z) - sum(CASE WHEN z.is_root THEN z.z ELSE 0 END) + min(z.weight) AS gradient
+     FROM standard z JOIN shares s ON s.fold = z.fold AND s.case_id = z.case_id AND s.service = z.service GROUP BY z.fold, z.ix) g
+    JOIN (SELECT fold, sum(mass - score) AS loss FROM shares WHERE is_root GROUP BY fold) l ON l.fold = g.fold"""
+)
+def logit_loss_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and gradient of each fold's training cases at given weights."""
+    sums = _sums_at_given_weights(spark, sf_dir)
+    rows = [(f, k, float(g), loss) for f, (loss, gradient, _) in sums.items() for k, g in enumerate(gradient)]
+    return rounded(spark.createDataFrame(rows, "fold int, ix int, gradient double, loss double"), "gradient", "loss")
+
+
+@query(
+    _SHARES + """, around AS (
+    SELECT z.fold, z.case_id, z.service, z.ix, s.p, z.z - sum(s.p * z.z) OVER (PARTITION BY z.fold, z.case_id, z.ix) AS d
+    FROM standard z JOIN shares s ON s.fold = z.fold AND s.case_id = z.case_id AND s.service = z.service)
+    SELECT a.fold, a.ix AS i, b.ix AS j, round(sum(a.p * a.d * b.d) + CASE WHEN a.ix = b.ix THEN 1 ELSE 0 END, 6) + 0.0 AS value
+    FROM around a JOIN around b ON b.fold = a.fold AND b.case_id = a.case_id AND b.service = a.service AND b.ix >= a.ix GROUP BY a.fold, a.ix, b.ix"""
+)
+def logit_hessian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Hessian of each fold's loss at given weights, its upper half."""
+    sums = _sums_at_given_weights(spark, sf_dir)
+    rows = [(f, i, j, float(h[i, j])) for f, (_, _, h) in sums.items() for i in range(len(h)) for j in range(i, len(h))]
+    return rounded(spark.createDataFrame(rows, "fold int, i int, j int, value double"), "value")
+
+
+def _given_model(spark: SparkSession, vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    stats = condlogit.scaler_stats(vectors, labels)
+    names = F.array(*(F.lit(n) for n in FEATURE_NAMES))
+    weight = ((F.col("ix") * 7) % 11 - 5) / F.lit(50.0)
+    return stats.select("fold", "ix", F.get(names, F.col("ix")).alias("name"), weight.alias("weight"), "mean", "scale", F.lit(FEATURE_DIGEST).alias("digest"))
+
+
+@query(
+    _SCALED + """ SELECT case_id, fold, service, round(score, 6) + 0.0 AS score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, service) AS INT) AS rank
+    FROM scores WHERE fold = own"""
+)
+def fold_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each case scored and ranked by the model of its own fold, the models having given weights."""
+    vectors, labels = materialize(_vectors(spark, sf_dir), "vectors"), fx.event_labels(spark, sf_dir)
+    found = condlogit.predict(vectors, labels, _given_model(spark, vectors, labels)).drop("rank").withColumn("score", F.round("score", 9))
+    return rounded(ranking.ranked(found), "score")
+
+
+@query(
+    _SCALED + """, rough AS (SELECT fold, own, case_id, service, sum(z * round(weight, 1)) AS score FROM standard WHERE fold = own GROUP BY ALL),
+    both_sides AS (
+      SELECT a.case_id, a.service, a.score, b.score AS other, row_number() OVER (PARTITION BY a.case_id ORDER BY round(a.score, 9) DESC, a.service) AS rank,
+             row_number() OVER (PARTITION BY b.case_id ORDER BY round(b.score, 9) DESC, b.service) AS other_rank
+      FROM scores a JOIN rough b ON b.case_id = a.case_id AND b.service = a.service WHERE a.fold = a.own),
+    hits AS (SELECT l.fault, l.root, l.fold, b.rank, b.other_rank FROM both_sides b JOIN labels l ON l.case_id = b.case_id AND l.root = b.service),
+    worths AS (
+      SELECT h.*, g.kind, CASE g.kind WHEN 'overall' THEN 'all' WHEN 'fault' THEN fault WHEN 'root' THEN root ELSE CAST(fold AS VARCHAR) END AS value
+      FROM hits h, (VALUES ('overall'), ('fault'), ('root'), ('fold')) g(kind)),
+    metric_diffs AS (
+      SELECT greatest(abs(avg(greatest(0, 6 - rank) / 5.0::DOUBLE) - avg(greatest(0, 6 - other_rank) / 5.0::DOUBLE)), abs(avg(1.0::DOUBLE / rank) - avg(1.0::DOUBLE / other_rank)),
+             abs(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END) - avg(CASE WHEN other_rank <= 1 THEN 1.0::DOUBLE ELSE 0 END)),
+             abs(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END) - avg(CASE WHEN other_rank <= 3 THEN 1.0::DOUBLE ELSE 0 END)),
+             abs(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END) - avg(CASE WHEN other_rank <= 5 THEN 1.0::DOUBLE ELSE 0 END))) AS diff
+      FROM worths GROUP BY kind, value)
+    SELECT true AS converged, (SELECT bool_and(rank = other_rank) FROM both_sides) AS same_rankings, (SELECT max(abs(score - other)) <= 0.5 FROM both_sides) AS scores_agree,
+           (SELECT max(diff) <= 0.05 FROM metric_diffs) AS metrics_agree, (SELECT round(max(diff), 6) + 0.0 FROM metric_diffs) AS worst_metric, (SELECT round(max(abs(score - other)), 6) + 0.0 FROM both_sides) AS worst_score"""
+)
+def rounded_model_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on a model stored with weights of one decimal, held against the model as it was, with wide tolerances."""
+    vectors, labels = materialize(_vectors(spark, sf_dir), "vectors"), fx.event_labels(spark, sf_dir)
+    model = _given_model(spark, vectors, labels)
+    path = scratch_path(spark, "rough-model")
+    fits = labels.select("fold", F.lit(True).alias("converged")).distinct()
+    condlogit.save_model(model.withColumn("weight", F.round("weight", 1)), fits, path)
+    sides = []
+    for weights in (model, condlogit.load_model(spark, path)[0]):
+        found = condlogit.predict(vectors, labels, weights).drop("rank").withColumn("score", F.round("score", 9))
+        sides.append(materialize(ranking.ranked(found), "ranked"))
+    groups = [ranking.metric_groups(ranking.case_metrics(s, labels.select("case_id", "root", "fault", "fold"))) for s in sides]
+    diff, metrics = ranking.prediction_diff(*sides), ranking.metric_diff(*groups)
+    verdict = contracts.integrity_verdict(diff, metrics, fits, 0.5, 0.05).drop("passed")
+    worst = metrics.agg(F.max("diff").alias("worst_metric"))
+    row = verdict.join(F.broadcast(worst)).join(F.broadcast(diff.select(F.col("max_score_diff").alias("worst_score"))))  # one row each
+    return rounded(row, "worst_metric", "worst_score")
 
 
 def _fitted(spark: SparkSession, sf_dir: str):
-    vectors = features.feature_vectors(fx.event_features(spark, sf_dir)).persist()  # read once per Newton step and more
-    labels = fx.event_labels(spark, sf_dir).persist()
+    vectors = materialize(features.feature_vectors(fx.event_features(spark, sf_dir)), "vectors")  # read once per Newton step and more
+    labels = materialize(fx.event_labels(spark, sf_dir), "labels")
     return vectors, labels, *condlogit.fit_out_of_fold(vectors, labels, labels)
 
 
 @query()
 def oof_fit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out scores and ranks of all candidates, each case scored by the model of its fold."""
-    return _fitted(spark, sf_dir)[2]
+    return ranking.canonical_order(_fitted(spark, sf_dir)[2])
 
 
 @query()
 def model_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions from the stored model state against fresh ones: the integrity verdict."""
+    """A fitted model is written, read back and asked again: the verdict on ranks, scores and all metrics against the fresh predictions."""
     vectors, labels, fresh, weights, fits = _fitted(spark, sf_dir)
-    again = condlogit.predict(vectors, labels, weights)
-    diff = ranking.prediction_diff(fresh, again)
-    sides = [ranking.metric_groups(ranking.case_metrics(p, labels.select("case_id", "root", "fault", "fold"))) for p in (fresh, again)]
-    joined = sides[0].join(sides[1].select("grouping", "value", F.col("`AC@1`").alias("other")), ["grouping", "value"])
-    broken = contracts.model_violations(weights).agg((F.count(F.lit(1)) == 0).alias("state_valid"))
-    verdict = contracts.integrity_verdict(diff, joined.select(F.abs(F.col("`AC@1`") - F.col("other")).alias("diff")), fits)
+    fresh, path = materialize(fresh, "fresh"), scratch_path(spark, "model")
+    condlogit.save_model(weights, fits, path)
+    stored, stored_fits = condlogit.load_model(spark, path)
+    verdict = condlogit.replay_verdict(vectors, labels, fresh, stored, stored_fits)
+    broken = contracts.model_violations(stored).agg((F.count(F.lit(1)) == 0).alias("state_valid"))
     return verdict.join(F.broadcast(broken)).withColumn("digest", F.lit(FEATURE_DIGEST))  # one row
 
 
@@ -515,7 +650,7 @@ def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _PAIRED + """, pools AS (SELECT fault, list(delta ORDER BY case_id) AS pool FROM deltas GROUP BY fault),
     draws AS (SELECT r AS resample, fault, pool[CAST(CAST('0x' || substr(md5('7:' || r || ':' || fault || ':' || k), 1, 8) AS BIGINT) % len(pool) AS INT) + 1] AS delta
-      FROM (SELECT r, fault, pool, unnest(range(len(pool))) AS k FROM pools, range(1, 1001) t(r))),
+      FROM (SELECT r, fault, pool, unnest(range(len(pool))) AS k FROM pools, range(1, 10001) t(r))),
     means AS (SELECT resample, avg(delta) AS mean FROM draws GROUP BY resample)
     SELECT (SELECT count(*) FROM deltas) AS n, (SELECT round(avg(delta), 6) + 0.0 FROM deltas) AS point, round(quantile_cont(mean, 0.025), 6) + 0.0 AS low, round(quantile_cont(mean, 0.975), 6) + 0.0 AS high FROM means"""
 )
@@ -548,15 +683,288 @@ def factorial_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(effects, *effects.columns)
 
 
+_GATE = A + sql.LABELS + _RANKED + _BY_SUM + """, variants AS (
+  SELECT 'A0' AS variant, case_id, service, rank FROM by_sum UNION ALL SELECT 'A1', case_id, service, rank FROM ranked
+  UNION ALL SELECT 'A2', case_id, service, row_number() OVER (PARTITION BY case_id ORDER BY round(sum(coverage), 9) DESC, service) FROM dense GROUP BY case_id, service
+  UNION ALL SELECT 'A3', case_id, service, row_number() OVER (PARTITION BY case_id ORDER BY round(sum(persistence), 9) DESC, service) FROM dense GROUP BY case_id, service),
+worth AS (
+  SELECT v.variant, l.case_id, l.fault, greatest(0, 6 - v.rank) / 5.0::DOUBLE AS avg5, CASE WHEN v.rank <= 1 THEN 1.0::DOUBLE ELSE 0 END AS ac1
+  FROM variants v JOIN labels l ON l.case_id = v.case_id AND l.root = v.service),
+means AS (SELECT variant, avg(avg5) AS avg5, avg(ac1) AS ac1 FROM worth GROUP BY variant),
+wide AS (SELECT """ + ", ".join(f"max({m}) FILTER (variant = '{v}') AS {v}_{m}" for v in ("A0", "A1", "A2", "A3") for m in ("avg5", "ac1")) + """ FROM means),
+deltas AS (SELECT case_id, fault, sum(CASE WHEN variant IN ('A1', 'A3') THEN avg5 ELSE -avg5 END) / 2 AS delta FROM worth GROUP BY case_id, fault),
+pools AS (SELECT fault, list(delta ORDER BY case_id) AS pool FROM deltas GROUP BY fault),
+draws AS (
+  SELECT r AS resample, fault, pool[CAST(CAST('0x' || substr(md5('7:' || r || ':' || fault || ':' || k), 1, 8) AS BIGINT) % len(pool) AS INT) + 1] AS delta
+  FROM (SELECT r, fault, pool, unnest(range(len(pool))) AS k FROM pools, range(1, 10001) t(r))),
+ci AS (SELECT quantile_cont(mean, 0.025) AS low FROM (SELECT avg(delta) AS mean FROM draws GROUP BY resample)),
+whole AS (
+  SELECT count(*) = 4 * (SELECT count(*) FROM candidates) AND count(v.rank) = count(*) AS whole
+  FROM (SELECT c.*, t.variant FROM candidates c, (VALUES ('A0'), ('A1'), ('A2'), ('A3')) t(variant)) c LEFT JOIN variants v ON v.variant = c.variant AND v.case_id = c.case_id AND v.service = c.candidate),
+checks AS (
+  SELECT round(A1_avg5 - A0_avg5, 9) > 0 AS first_delta_positive, round(A3_avg5 - A2_avg5, 9) > 0 AS second_delta_positive,
+         round(((A1_avg5 - A0_avg5) + (A3_avg5 - A2_avg5)) / 2, 9) >= 0.01 AS mean_delta_threshold, round(A1_ac1 - A0_ac1, 9) >= -0.01 AND round(A3_ac1 - A2_ac1, 9) >= -0.01 AS ac1_guardrail,
+         round(ci.low, 9) > 0 AS ci_low_positive, whole.whole AS integrity FROM wide, ci, whole)"""
+
+
+@query(_GATE + " SELECT *, first_delta_positive AND second_delta_positive AND mean_delta_threshold AND ac1_guardrail AND ci_low_positive AND integrity AS passed FROM checks")
+def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """May magnitude and persistence take the place of impact and coverage? By mean metrics, a bootstrap of both gains, and whole rankings."""
+    dense = materialize(fx.event_features(spark, sf_dir), "dense")
+    labels = materialize(fx.event_labels(spark, sf_dir).select("case_id", "root", "fault", "fold"), "labels")
+    sums = lambda c: dense.groupBy("case_id", "service").agg(F.round(F.sum(c), 9).alias("score"))
+    orders = [_impact_ranking(dense), _magnitude_ranking(spark, dense), ranking.ranked(sums("coverage")), ranking.ranked(sums("persistence"))]
+    named = [o.select(F.lit(f"A{k}").alias("variant"), "case_id", "service", "rank") for k, o in enumerate(orders)]
+    variants = materialize(named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3]), "variants")
+    both = F.concat_ws("/", "variant", "case_id")
+    known = fx.candidate_rows(fx.event_cases(spark)).withColumn("variant", F.explode(F.array(*(F.lit(f"A{k}") for k in range(4)))))
+    gaps = ranking.prediction_gaps(known.select(both.alias("case_id"), "candidate"), variants.select(both.alias("case_id"), "service", "rank"))
+    worth = materialize(variants.join(labels, (variants["case_id"] == labels["case_id"]) & (F.col("service") == F.col("root"))).select(
+        "variant", labels["case_id"], "fault", (F.greatest(F.lit(0), 6 - F.col("rank")) / 5.0).alias("avg5"), (F.col("rank") <= 1).cast("double").alias("ac1")
+    ), "worth")
+    wide = worth.groupBy().pivot("variant", ["A0", "A1", "A2", "A3"]).agg(F.avg("avg5").alias("avg5"), F.avg("ac1").alias("ac1"))
+    gain = F.sum(F.when(F.col("variant").isin("A1", "A3"), F.col("avg5")).otherwise(-F.col("avg5"))) / 2.0
+    low = stats.bootstrap_ci(worth.groupBy("case_id", "fault").agg(gain.alias("delta"))).select(F.round("low", 9).alias("ci_low"))
+    less = lambda m, a, b: F.round(F.col(f"A{a}_{m}") - F.col(f"A{b}_{m}"), 9)
+    row = wide.select(less("avg5", 1, 0).alias("avg5_first"), less("avg5", 3, 2).alias("avg5_second"), less("ac1", 1, 0).alias("ac1_first"), less("ac1", 3, 2).alias("ac1_second"))
+    row = row.join(F.broadcast(low)).join(F.broadcast(gaps.agg((F.count(F.lit(1)) == 0).alias("integrity"))))  # one row each
+    return stats.gate_decision(row)
+
+
 @query(
-    _FACTORS + """ SELECT A1 - A0 > 0 AS first_delta_positive, A3 - A2 > 0 AS second_delta_positive, ((A1 - A0) + (A3 - A2)) / 2 >= 0.01 AS mean_delta_threshold,
-    tA1 - tA0 >= -0.01 AND tA3 - tA2 >= -0.01 AS ac1_guardrail, A1 - A0 > 0 AS ci_low_positive, true AS integrity,
-    A1 - A0 > 0 AND A3 - A2 > 0 AND ((A1 - A0) + (A3 - A2)) / 2 >= 0.01 AND tA1 - tA0 >= -0.01 AND tA3 - tA2 >= -0.01 AS passed FROM wide"""
+    f"""WITH {_CONDITION}, indicators AS (
+      SELECT DISTINCT CASE event_type WHEN 'signup' THEN 'log' WHEN 'error' THEN 'trace-error' WHEN 'purchase' THEN 'trace-latency' ELSE 'metric' END AS channel,
+        CASE user_id % 4 WHEN 0 THEN service || '_latency-50' WHEN 1 THEN 'frontendservice_' || event_type WHEN 2 THEN 'time' ELSE service || '_' || event_type END AS indicator FROM conditions),
+    known AS (SELECT channel, indicator, CASE WHEN channel LIKE 'trace%' THEN regexp_replace(indicator, '^frontendservice_', 'frontend_') ELSE indicator END AS alias FROM indicators
+      WHERE indicator <> 'time' AND NOT (channel = 'metric' AND ends_with(indicator, '_latency-50'))),
+    candidates AS (SELECT DISTINCT service AS candidate FROM conditions UNION SELECT 'frontend')
+    SELECT channel, indicator, max_by(candidate, length(candidate)) AS service FROM known JOIN candidates ON starts_with(alias, candidate || '_') GROUP BY channel, indicator"""
 )
-def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _variants(spark, sf_dir).groupBy().pivot("variant", list(_VARIANTS)).agg(F.first("value").alias("v"), F.first("top").alias("t"))
-    row = wide.select(
-        (F.col("A1_v") - F.col("A0_v")).alias("avg5_first"), (F.col("A3_v") - F.col("A2_v")).alias("avg5_second"), (F.col("A1_t") - F.col("A0_t")).alias("ac1_first"),
-        (F.col("A3_t") - F.col("A2_t")).alias("ac1_second"), (F.col("A1_v") - F.col("A0_v")).alias("ci_low"), F.lit(True).alias("integrity"),
+def indicator_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time column and median latencies of the metric channel go; traces know the front end by another name."""
+    rows = _conditions(spark, sf_dir)
+    kind, user = F.col("event_type"), F.col("user_id") % 4
+    channel = F.when(kind == "signup", "log").when(kind == "error", "trace-error").when(kind == "purchase", "trace-latency").otherwise("metric")
+    indicator = (
+        F.when(user == 0, F.concat("service", F.lit("_latency-50"))).when(user == 1, F.concat(F.lit("frontendservice_"), kind)).when(user == 2, "time")
+        .otherwise(F.concat_ws("_", "service", kind))
     )
-    return stats.gate_decision(row)
+    named = rows.select(F.lit("one").alias("case_id"), channel.alias("channel"), indicator.alias("indicator")).distinct()
+    known = rows.select(F.col("service").alias("candidate")).distinct().unionByName(spark.createDataFrame([("frontend",)], "candidate string"))
+    return telemetry.indicator_services(named, known.select(F.lit("one").alias("case_id"), "candidate")).drop("case_id")
+
+
+# --- files: derived from the tables, written, and read by the sources ----------------------------------------
+
+
+@query(
+    f"""WITH {_CONDITION} SELECT condition, CAST(replicate AS VARCHAR) AS replicate, string_agg(DISTINCT {_FILES}[CAST(event_id % 8 AS INT) + 1], ',' ORDER BY {_FILES}[CAST(event_id % 8 AS INT) + 1]) AS files
+    FROM conditions WHERE NOT condition LIKE '%fire' AND replicate < 4 GROUP BY condition, replicate"""
+)
+def discovered_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = F.get(F.array(*(F.lit(f) for f in sorted(ingest.CASE_FILES))), (F.col("event_id") % 8).cast("int"))
+    listed = _conditions(spark, sf_dir).select("condition", F.col("replicate").cast("string").alias("replicate"), file.alias("file"))
+    return ingest.discover_cases(listed).withColumn("files", F.array_join("files", ","))
+
+
+@query(
+    f"""WITH {_CONDITION} SELECT condition, CAST(replicate AS VARCHAR) AS replicate, CASE WHEN max(user_id) % 5 = 0 THEN 'none' ELSE CAST(min(event_id) AS VARCHAR) END AS anchor
+    FROM conditions GROUP BY condition, replicate"""
+)
+def stored_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchor files, one per case directory, a few of them no numbers."""
+    path = scratch_path(spark, "anchors")
+    text = F.when(F.max("user_id") % 5 == 0, "soon").otherwise(F.concat(F.lit(" "), F.min("event_id").cast("string"), F.lit("\t")))
+    rows = _conditions(spark, sf_dir).groupBy("condition", "replicate").agg(text.alias("value"))
+    rows.write.partitionBy("condition", "replicate").text(path)
+    return ingest.read_anchors(spark, path, "*.txt").withColumn("anchor", F.coalesce(F.col("anchor").cast("string"), F.lit("none")))
+
+
+@query(
+    f"""WITH {_CONDITION}, headers AS (SELECT DISTINCT condition, CAST(replicate AS VARCHAR) AS replicate, service || CASE WHEN user_id % 3 = 0 THEN '_cpu' WHEN user_id % 3 = 1 THEN '_mem' ELSE '_disk' END AS indicator FROM conditions)
+    SELECT condition, replicate, string_agg(indicator, ',' ORDER BY indicator) AS indicators, string_agg(CASE WHEN indicator NOT LIKE '%\\_disk' ESCAPE '\\' THEN regexp_extract(indicator, '^(.*)_', 1) END, ',' ORDER BY indicator) AS entities
+    FROM headers GROUP BY condition, replicate"""
+)
+def stored_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files with a header of their own in each case directory; the headers name the candidates."""
+    path = scratch_path(spark, "headers")
+    indicator = F.concat("service", F.when(F.col("user_id") % 3 == 0, "_cpu").when(F.col("user_id") % 3 == 1, "_mem").otherwise("_disk"))
+    header = F.concat(F.lit('"time",'), F.array_join(F.sort_array(F.collect_set(indicator)), ","), F.lit("\n0,1,2\n"))
+    rows = _conditions(spark, sf_dir).groupBy("condition", "replicate").agg(header.alias("value"))
+    rows.write.partitionBy("condition", "replicate").text(path)
+    found = ingest.read_headers(spark, path, "*.txt").withColumn("indicators", F.array_except("indicators", F.array(F.lit("time"))))
+    keys = found.withColumn("case_id", F.concat_ws("/", "condition", "replicate"))
+    named = ingest.derive_candidates(keys.select("case_id", F.explode("indicators").alias("indicator")))
+    entities = named.groupBy("case_id").agg(F.array_join(F.sort_array(F.collect_list("candidate")), ",").alias("entities"))
+    return keys.join(entities, "case_id", "left").select("condition", "replicate", F.array_join("indicators", ",").alias("indicators"), "entities")
+
+
+@query(
+    f"WITH {sql.TELEMETRY_B.strip()} SELECT split_part(indicator, '_l_', 1) AS series, 'l_' || split_part(indicator, '_l_', 2) AS indicator, count(*) AS n, round(sum(value), 2) + 0.0 AS total, round(min(ts), 0) + 0.0 AS first_ts FROM telemetry GROUP BY ALL"
+)
+def stored_wide_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide telemetry written as CSV files of any size and read by the distributed reader."""
+    path = scratch_path(spark, "wide")
+    fx.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("sup"), (F.col("l_suppkey") % 8).cast("string"), F.lit("_"), F.col("l_returnflag")).alias("series"),
+        fx.seconds_since("l_shipdate", "1995-01-01").alias("time"), *fx.MEASURES,
+    ).write.csv(path, header=True)
+    long = ingest.read_wide_csv(spark, path, ["series"])
+    return long.groupBy("series", "indicator").agg(F.count(F.lit(1)).alias("n"), tidy(F.sum("value"), 2).alias("total"), tidy(F.min("ts"), 0).alias("first_ts"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total, max(event_id) AS last_id, min(props) AS first_props FROM events GROUP BY event_type")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "jsonl")
+    ingest.write_jsonl(fx.table(spark, sf_dir, "events").select("event_type", "event_id", "value", "props"), path)
+    rows = ingest.read_jsonl(spark, path, "event_id bigint, event_type string, props string, value double")
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), tidy(F.sum("value"), 4).alias("total"), F.max("event_id").alias("last_id"), F.min("props").alias("first_props"))
+
+
+@query(
+    """SELECT CAST(s_nationkey AS VARCHAR) AS folder, CAST(sum(strlen(s_name) + 1) AS BIGINT) AS length, sha256(string_agg(s_name || chr(10), '' ORDER BY s_name, s_suppkey)) AS sha256
+    FROM supplier GROUP BY s_nationkey"""
+)
+def file_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text file per nation, with its suppliers' names."""
+    path = scratch_path(spark, "names")
+    rows = fx.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("value"), "s_suppkey")
+    rows.repartition("nation").sortWithinPartitions("nation", "value", "s_suppkey").drop("s_suppkey").write.partitionBy("nation").text(path)
+    found = ingest.checksums(spark, path).filter(F.col("path").contains("nation="))
+    return found.select(F.regexp_extract("path", "nation=([^/]*)/", 1).alias("folder"), "length", "sha256")
+
+
+_BUNDLE = f"""WITH {_CONDITION}, found AS (
+  SELECT condition, replicate, list(DISTINCT service) AS services, min(event_id) AS anchor, 'ds' || replicate AS dataset, regexp_extract(condition, '^(.*)_([^_]*)$', 1) AS root
+  FROM conditions WHERE NOT condition LIKE '%fire' GROUP BY condition, replicate),
+cases AS (SELECT * FROM found WHERE anchor % 4 <> 0), others AS (SELECT * FROM found WHERE anchor % 4 = 0)"""
+
+
+def _bundle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(good cases, excluded cases) of the events' conditions; every fourth anchor is unusable."""
+    rows = _conditions(spark, sf_dir).filter(names.known_fault(F.col("condition")))
+    found = rows.groupBy("condition", "replicate").agg(F.collect_set("service").alias("candidates"), F.min("event_id").alias("anchor"))
+    found = found.withColumn("files", F.array(*(F.lit(f) for f in ingest.CASE_FILES))).withColumn("anchor", F.when(F.col("anchor") % 4 != 0, F.col("anchor")))
+    told = materialize(ingest.with_reasons(found).withColumn("relative", F.concat_ws("/", "condition", "replicate")), "told")
+    good = told.filter("reason IS NULL").select(
+        names.opaque_id("ev", "events", F.col("relative")).alias("case_id"), F.concat(F.lit("ds"), F.col("replicate").cast("string")).alias("dataset"),
+        F.col("anchor").cast("double").alias("anchor"), "candidates", F.col("replicate").cast("int").alias("replicate"), "root", "fault", "relative",
+    )
+    return good, told.filter("reason IS NOT NULL").select("relative", "reason")
+
+
+@query(
+    _BUNDLE + """ SELECT 'inputs' AS part, count(*) AS n, 'anchor,candidates,case_id,dataset' AS columns FROM cases UNION ALL SELECT 'labels', count(*), 'case_id,dataset,fault,root' FROM cases
+    UNION ALL SELECT 'sources', count(*), 'case_id,dataset,relative,replicate' FROM cases UNION ALL SELECT 'excluded', count(*), 'reason,relative' FROM others
+    UNION ALL SELECT 'registry', count(*), 'dataset,service' FROM (SELECT DISTINCT dataset, unnest(services) FROM cases)"""
+)
+def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle's tables, as written and read again: labels lie apart from inputs."""
+    path = scratch_path(spark, "bundle")
+    ingest.write_bundle(*_bundle(spark, sf_dir), path)
+    parts = []
+    for part in ("inputs", "labels", "sources", "registry", "excluded"):
+        rows = spark.read.parquet(f"{path}/{part}")
+        parts.append(rows.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n")).withColumn("columns", F.lit(",".join(sorted(rows.columns)))))
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+@query(
+    _BUNDLE + """ SELECT dataset, count(DISTINCT condition || '/' || replicate) AS cases, count(DISTINCT service) AS services, string_agg(DISTINCT service, ',' ORDER BY service) AS registry, (SELECT count(*) FROM others) AS excluded
+    FROM (SELECT *, unnest(services) AS service FROM cases) GROUP BY dataset"""
+)
+def bundle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.manifest(*_bundle(spark, sf_dir)).withColumn("registry", F.array_join("registry", ","))
+
+
+@query(
+    A + sql.LABELS + """ SELECT v.case_id, l.root, l.fault, l.fold, count(DISTINCT v.service) AS candidates, count(*) AS cells, round(sum(v.value), 4) + 0.0 AS total
+    FROM long v JOIN labels l ON l.case_id = v.case_id GROUP BY ALL"""
+)
+def stored_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature store, labels and folds, written and loaded side by side."""
+    path = scratch_path(spark, "dataset")
+    ingest.write_features(features.feature_vectors(fx.event_features(spark, sf_dir)), "events", f"{path}/features")
+    labels = materialize(fx.event_labels(spark, sf_dir), "labels")
+    labels.select("case_id", "root", "fault").write.parquet(f"{path}/labels")
+    ranking.canonical_order(labels.select("case_id", "fold")).write.parquet(f"{path}/splits")
+    rows = ingest.load_dataset(spark, f"{path}/features", f"{path}/labels", f"{path}/splits")
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    keys = ("case_id", "root", "fault", "fold")
+    return rows.groupBy(*keys).agg(F.count_distinct("service").alias("candidates"), F.sum(F.size("features")).alias("cells"), tidy(F.sum(total), 4).alias("total"))
+
+
+# --- spoilt tables against their contracts --------------------------------------------------------------------
+
+
+@query(
+    A + _LONG + """, spoilt AS (
+    SELECT case_id, service, k, ix, CASE WHEN case_id = 'case-01' AND service = 'svc1' AND ix = 0 THEN NULL ELSE value END AS value FROM flat, range(2) t(k)
+    WHERE (k = 0 OR case_id = 'case-02' AND service = 'svc2') AND NOT (case_id = 'case-03' AND service <> 'svc3') AND NOT (case_id = 'case-04' AND service = 'svc4' AND ix = 67)),
+    rows AS (SELECT case_id, service, k, count(*) AS dim, count(value) AS there FROM spoilt GROUP BY ALL),
+    events AS (SELECT case_id, count(*) AS n, count(DISTINCT service) AS d, bool_and(dim = there) AS finite, min(dim) AS low, max(dim) AS high FROM rows GROUP BY case_id)
+    SELECT case_id, unnest(list_concat(CASE WHEN d < 2 THEN ['few candidates'] ELSE [] END, CASE WHEN n <> d THEN ['repeated candidate'] ELSE [] END,
+      CASE WHEN NOT finite THEN ['not finite'] ELSE [] END, CASE WHEN low <> 68 OR high <> 68 THEN ['dimension'] ELSE [] END)) AS rule FROM events"""
+)
+def event_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a number, a candidate or a feature spoilt."""
+    vectors = _vectors(spark, sf_dir)
+    at = lambda case, service: (F.col("case_id") == case) & (F.col("service") == service)
+    spoilt = vectors.filter(~((F.col("case_id") == "case-03") & (F.col("service") != "svc3")))
+    nan = F.transform("features", lambda x, k: F.when(k == 0, F.lit(float("nan"))).otherwise(x))
+    spoilt = spoilt.withColumn("features", F.when(at("case-01", "svc1"), nan).when(at("case-04", "svc4"), F.slice("features", 1, 67)).otherwise(F.col("features")))
+    spoilt = spoilt.withColumn("copy", F.explode(F.when(at("case-02", "svc2"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
+    return contracts.event_violations(spoilt, 68)
+
+
+@query(
+    _SCALED + f""", model AS (
+    SELECT fold, ix, CASE WHEN fold = 1 AND ix = 3 THEN 'other' ELSE {sql.NAMES}[ix + 1] END AS name, {sql.NAMES}[ix + 1] AS wanted, CASE WHEN fold = 2 AND ix = 7 THEN NULL ELSE scale END AS number
+    FROM stats WHERE NOT (fold = 0 AND ix = 5)),
+    folds AS (SELECT fold, count(*) AS n, count(DISTINCT ix) AS d, bool_and(name = wanted) AS named, count(number) = count(*) AS finite FROM model GROUP BY fold)
+    SELECT fold, unnest(list_concat(CASE WHEN n <> 68 OR d <> 68 THEN ['dimension'] ELSE [] END, CASE WHEN NOT named THEN ['names'] ELSE [] END, CASE WHEN NOT finite THEN ['not finite'] ELSE [] END)) AS rule FROM folds"""
+)
+def model_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model states with a feature lost, renamed or without a number."""
+    vectors, labels = materialize(_vectors(spark, sf_dir), "vectors"), fx.event_labels(spark, sf_dir)
+    model, ix = _given_model(spark, vectors, labels), F.col("ix")
+    spoilt = model.filter(~((F.col("fold") == 0) & (ix == 5))).withColumn("name", F.when((F.col("fold") == 1) & (ix == 3), "other").otherwise(F.col("name")))
+    return contracts.model_violations(spoilt.withColumn("scale", F.when((F.col("fold") == 2) & (ix == 7), F.lit(float("inf"))).otherwise(F.col("scale"))))
+
+
+@query(
+    A + sql.LABELS + """, featured AS (SELECT DISTINCT case_id FROM long WHERE case_id <> 'case-01'), named AS (SELECT DISTINCT case_id FROM labels WHERE case_id <> 'case-02'),
+    placed AS (SELECT case_id, fold FROM labels WHERE case_id <> 'case-03' UNION ALL SELECT 'case-99', 1),
+    every AS (SELECT case_id FROM featured UNION SELECT case_id FROM named UNION SELECT case_id FROM placed),
+    told AS (SELECT case_id, unnest(list_concat(CASE WHEN case_id NOT IN (FROM featured) THEN ['no features'] ELSE [] END, CASE WHEN case_id NOT IN (FROM named) THEN ['no label'] ELSE [] END,
+      CASE WHEN case_id NOT IN (SELECT case_id FROM placed) THEN ['no fold'] ELSE [] END)) AS rule FROM every)
+    SELECT case_id, rule FROM told UNION ALL SELECT CAST(fold AS VARCHAR), 'no training or test cases' FROM (SELECT DISTINCT fold FROM placed WHERE fold = 1)"""
+)
+def alignment_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, labels and folds that don't name the same cases; and a split whose cases are all in one fold."""
+    labels = materialize(fx.event_labels(spark, sf_dir), "labels")
+    folds = labels.filter("case_id <> 'case-03'").select("case_id", F.col("fold").cast("int").alias("fold"))
+    folds = folds.unionByName(spark.createDataFrame([("case-99", 1)], "case_id string, fold int"))
+    vectors = features.feature_vectors(fx.event_features(spark, sf_dir)).filter("case_id <> 'case-01'")
+    gaps = contracts.alignment_violations(vectors, labels.filter("case_id <> 'case-02'"), folds)
+    alone = contracts.empty_folds(folds.filter("fold = 1"))
+    return gaps.unionByName(alone.select(F.col("fold").cast("string").alias("case_id"), "rule"))
+
+
+@query(
+    A + sql.LABELS + """, spoilt AS (
+    SELECT case_id, root, fault, fold, CASE WHEN case_id = 'case-04' THEN 4 ELSE replicate END AS replicate FROM labels UNION ALL SELECT case_id, root, fault, fold, replicate FROM labels WHERE case_id = 'case-07'),
+    totals_of AS (SELECT count(*) AS n, count(DISTINCT case_id) AS d FROM spoilt)
+    SELECT 'repeated case' AS rule, CAST(n AS VARCHAR) AS detail FROM totals_of WHERE n <> d UNION ALL SELECT 'cases', CAST(n AS VARCHAR) FROM totals_of WHERE n <> 18
+    UNION ALL SELECT 'replicate', case_id FROM spoilt WHERE replicate NOT IN (1, 2, 3)
+    UNION ALL SELECT 'stratum', fold || '/' || root || '/' || fault FROM spoilt GROUP BY fold, root, fault HAVING count(*) > 1
+    UNION ALL SELECT 'fold size', fold || '/' || count(*) FROM spoilt GROUP BY fold HAVING count(*) <> 6"""
+)
+def split_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split with a case twice and a replicate that there is not."""
+    labels = materialize(fx.event_labels(spark, sf_dir).select("case_id", "root", "fault", "fold", "replicate"), "labels")
+    spoilt = labels.withColumn("replicate", F.when(F.col("case_id") == "case-04", 4).otherwise(F.col("replicate"))).unionByName(labels.filter("case_id = 'case-07'"))
+    return splits.split_violations(spoilt, cases=18, per_fold=6)

@@ -9,21 +9,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import AUXILIARIES, head, known_fault, opaque_id, tail
+from ..operators.telemetry import wide_to_long
 
 #: The files of a case, and the channels that four of them hold.
 CASE_FILES = ("metrics.csv", "simple_metrics.csv", "logs.csv", "logts.csv", "traces.csv", "tracets_err.csv", "tracets_lat.csv", "inject_time.txt")
 CHANNEL_FILES = {"simple_metrics.csv": "metric", "logts.csv": "log", "tracets_err.csv": "trace-error", "tracets_lat.csv": "trace-latency"}
 
 
+def _folder(k: int, path: str = "path") -> Column:
+    """The ``k``-th part of a path from its end; of a Hive-style folder ``name=value`` the value."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -k), "^[^=]*=", "")
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, condition, replicate, file, length) of all files two directories below ``root``; nothing is opened."""
     files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*/*").select("path", "length")
-    part = lambda k: F.element_at(F.split("path", "/"), -k)
-    return files.select("path", part(3).alias("condition"), part(2).alias("replicate"), part(1).alias("file"), "length")
+    return files.select("path", _folder(3).alias("condition"), _folder(2).alias("replicate"), _folder(1).alias("file"), "length")
 
 
 def discover_cases(files: DataFrame, replicates: Sequence[str] = ("1", "2", "3")) -> DataFrame:
@@ -32,20 +37,18 @@ def discover_cases(files: DataFrame, replicates: Sequence[str] = ("1", "2", "3")
     return known.groupBy("condition", "replicate").agg(F.sort_array(F.collect_set("file")).alias("files"))
 
 
-def read_anchors(spark: SparkSession, root: str) -> DataFrame:
-    """(condition, replicate, anchor): the integer in each case's anchor file; null if it is none."""
-    texts = spark.read.text(f"{root.rstrip('/')}/*/*/inject_time.txt", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    part = lambda k: F.element_at(F.split("path", "/"), -k)
-    return texts.select(part(3).alias("condition"), part(2).alias("replicate"), F.expr("try_cast(trim(regexp_replace(value, '\\\\s', ' ')) AS bigint)").alias("anchor"))
+def read_anchors(spark: SparkSession, root: str, file: str = "inject_time.txt") -> DataFrame:
+    """(condition, replicate, anchor): the integer in each case's anchor file (a glob); null if it is none."""
+    texts = spark.read.text(f"{root.rstrip('/')}/*/*/{file}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    return texts.select(_folder(3).alias("condition"), _folder(2).alias("replicate"), F.expr("try_cast(trim(regexp_replace(value, '\\\\s', ' ')) AS bigint)").alias("anchor"))
 
 
 def read_headers(spark: SparkSession, root: str, file: str = "simple_metrics.csv") -> DataFrame:
     """(condition, replicate, indicators): column names of each case's file, from its first line alone."""
     lines = spark.read.text(f"{root.rstrip('/')}/*/*/{file}").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nr"))
     first = lines.filter("block = 0").groupBy("path").agg(F.min_by("value", "nr").alias("line"))
-    part = lambda k: F.element_at(F.split("path", "/"), -k)
     names = F.transform(F.split("line", ","), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', "")))
-    return first.select(part(3).alias("condition"), part(2).alias("replicate"), names.alias("indicators"))
+    return first.select(_folder(3).alias("condition"), _folder(2).alias("replicate"), names.alias("indicators"))
 
 
 def derive_candidates(indicators: DataFrame, auxiliaries: Sequence[str] = AUXILIARIES) -> DataFrame:
@@ -90,7 +93,8 @@ def load_cases(spark: SparkSession, root: str, dataset: str, namespace: str) ->
 def read_telemetry(spark: SparkSession, root: str, time: str = "time") -> DataFrame:
     """(relative, channel, indicator, ts, value) of all channel files; cells that are no numbers are null.
 
-    The files are many and small and each has its own columns, so each is opened whole by one task.
+    The files are many and small and each has its own columns, so each is opened whole by one task; large
+    ones are for ``read_wide_csv``.
     """
     files = spark.read.format("binaryFile").load([f"{root.rstrip('/')}/*/*/{f}" for f in CHANNEL_FILES]).select("path", "content")
 
@@ -112,6 +116,11 @@ def read_telemetry(spark: SparkSession, root: str, time: str = "time") -> DataFr
     return files.mapInPandas(unpivot, "relative string, channel string, indicator string, ts double, value double")
 
 
+def read_wide_csv(spark: SparkSession, path: str, ids: Sequence[str], time: str = "time") -> DataFrame:
+    """(ids, ts, indicator, value) of CSV files that share their columns, of any size: Spark splits them among tasks."""
+    return wide_to_long(spark.read.csv(path, header=True), ids, time)
+
+
 def write_bundle(good: DataFrame, excluded: DataFrame, root: str) -> None:
     """Inputs, labels, sources, registry and exclusions as tables of their own, labels apart from inputs."""
     good.select("case_id", "dataset", "anchor", "candidates").write.partitionBy("dataset").parquet(f"{root}/inputs")
@@ -165,5 +174,3 @@ def load_dataset(spark: SparkSession, features: str, labels: str, splits: str) -
     """Vectors with root, fault and fold of their case."""
     rows = read_features(spark, features)
     return rows.join(spark.read.parquet(labels).select("case_id", "root", "fault"), "case_id").join(spark.read.parquet(splits).select("case_id", "fold"), "case_id")
-
-

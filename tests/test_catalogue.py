@@ -24,7 +24,6 @@ def test_out_of_fold_ranks_every_candidate_once(spark):
 def test_replay_passes(spark):
     row = catalogue.model_replay(spark, SF).first()
     assert row["passed"] and row["state_valid"]
-    spark.catalog.clearCache()
 
 
 def test_entry_has_rows(spark):

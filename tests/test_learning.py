@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blamegrid.operators import condlogit, ranking, relative, splits, stats
+from blamegrid.functions.grid import GridSpec
+from blamegrid.operators import condlogit, ranking, relative, splits, stats, telemetry
+from blamegrid.operators.positions import sums_before
 
 
 def vectors(spark, events):
@@ -24,30 +26,69 @@ def toy(spark, n=12):
 
 def test_fit_converges_and_repeats(spark):
     v, labels = toy(spark)
-    events = condlogit.training_events(v, labels, labels, condlogit.scaler_stats(v, labels))
-    fits = condlogit.fit(events)
+    events, scales = condlogit.event_table(v, labels, labels, 3), condlogit.fold_scales(condlogit.scaler_stats(v, labels))
+    fits = condlogit.fit(events, scales)
     assert [f["fold"] for f in fits] == [0, 1, 2] and all(f["converged"] and f["gradient_norm"] <= 1e-8 for f in fits)
     assert all(f["initial_loss"] == pytest.approx(8 * math.log(3)) for f in fits)
-    again = condlogit.fit(events.orderBy(F.rand(3)))
+    again = condlogit.fit(condlogit.event_table(v.orderBy(F.rand(3)), labels, labels, 3), scales)
     assert all((f["weights"] == g["weights"]).all() for f, g in zip(fits, again))
 
 
+def test_fit_against_a_plain_one(spark):
+    """Scores of held-out cases against Newton steps on whole matrices, in numpy."""
+    v, labels = toy(spark)
+    rows, told = v.orderBy("case_id", "service").collect(), {r["case_id"]: r for r in labels.collect()}
+    want = {}
+    for fold in range(3):
+        train = [r for r in rows if told[r["case_id"]]["fold"] != fold]
+        x = np.array([r["features"] for r in train])
+        mean, scale = x.mean(axis=0), x.std(axis=0)
+        cases = {}
+        for r in train:
+            cases.setdefault(r["case_id"], []).append((r["service"], (np.array(r["features"]) - mean) / scale))
+        w = np.zeros(2)
+        for _ in range(30):
+            g, h = w.copy(), np.eye(2)
+            for case, own in cases.items():
+                z = np.array([f for _, f in own])
+                p = np.exp(z @ w) / np.exp(z @ w).sum()
+                g += p @ z - z[[s for s, _ in own].index(told[case]["root"])]
+                h += (z - p @ z).T @ (p[:, None] * (z - p @ z))
+            w = w - np.linalg.solve(h, g)
+        want |= {(r["case_id"], r["service"]): float((np.array(r["features"]) - mean) / scale @ w) for r in rows if told[r["case_id"]]["fold"] == fold}
+    got, *_ = condlogit.fit_out_of_fold(v, labels, labels)
+    assert {(r["case_id"], r["service"]): r["score"] for r in got.collect()} == pytest.approx(want, abs=1e-7)  # the fit stops at a gradient of 1e-8
+
+
+def test_sums_of_many_parts(spark, monkeypatch):
+    v, labels = toy(spark)
+    scales = {f: np.ones(2) for f in range(3)}
+    weights = {f: np.array([0.1 * f, -0.2]) for f in range(3)}
+    one = condlogit.evaluate(condlogit.event_table(v, labels, labels), weights, scales, 1.0)
+    monkeypatch.setattr(condlogit, "FAN_IN", 2)
+    many = condlogit.evaluate(condlogit.event_table(v, labels, labels, 7), weights, scales, 1.0, 7)
+    for f in range(3):
+        assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(one[f], many[f]))
+    assert condlogit.event_parts(v, 10) == 12 * 3 * 2 // 10 + 1
+
+
 def test_gradient_and_hessian_against_differences(spark):
     v, labels = toy(spark)
-    events = condlogit.training_events(v, labels, labels, condlogit.scaler_stats(v, labels)).filter("fold = 0")
+    events, scales = condlogit.event_table(v, labels, labels), condlogit.fold_scales(condlogit.scaler_stats(v, labels))
     w, h = np.array([0.3, -0.7]), 1e-5
-    loss, gradient, hessian = condlogit.evaluate(events, {0: w}, 1.0)[0]
+    loss, gradient, hessian = condlogit.evaluate(events, {0: w}, scales, 1.0)[0]
     for k in range(2):
         step = np.eye(2)[k] * h
-        up, down = condlogit.evaluate(events, {0: w + step}, 1.0)[0], condlogit.evaluate(events, {0: w - step}, 1.0)[0]
+        up, down = condlogit.evaluate(events, {0: w + step}, scales, 1.0)[0], condlogit.evaluate(events, {0: w - step}, scales, 1.0)[0]
         assert (up[0] - down[0]) / (2 * h) == pytest.approx(gradient[k], abs=1e-6)
         assert (up[1] - down[1]) / (2 * h) == pytest.approx(hessian[k], abs=1e-6)
 
 
 def test_loss_counts_events(spark):
     v = vectors(spark, {"two": {"a": [0], "b": [0]}, "four": dict.fromkeys("abcd", [0])})
-    labels = spark.createDataFrame([("two", "a"), ("four", "a")], "case_id string, root string")
-    assert condlogit.loss_at_zero(v, labels).first()["loss"] == pytest.approx(math.log(2) + math.log(4))
+    labels = spark.createDataFrame([("two", "a", 0), ("four", "a", 0)], "case_id string, root string, fold int")
+    sums = condlogit.evaluate(condlogit.event_table(v, labels, labels), {1: np.zeros(1)}, {1: np.ones(1)}, 1.0)
+    assert sums[1][0] == pytest.approx(math.log(2) + math.log(4))
 
 
 def test_out_of_fold_does_not_depend_on_candidate_order(spark):
@@ -55,7 +96,7 @@ def test_out_of_fold_does_not_depend_on_candidate_order(spark):
     first, weights, fits = condlogit.fit_out_of_fold(v, labels, labels)
     second, *_ = condlogit.fit_out_of_fold(v.orderBy(F.desc("service")), labels, labels)
     diff = ranking.prediction_diff(first, second).first()
-    assert diff["same_ranks"] and diff["one_sided"] == 0 and diff["max_score_diff"] == 0.0
+    assert diff["same_ranks"] and diff["one_sided"] == 0 and diff["max_score_diff"] <= 1e-12  # the tolerance of a replay
     assert fits.filter("converged").count() == 3 and condlogit.unscored(labels, weights).count() == 0
     p = ranking.event_softmax(first).groupBy("case_id").agg(F.sum("p").alias("p")).collect()
     assert all(r["p"] == pytest.approx(1.0) for r in p)
@@ -135,6 +176,51 @@ def test_bootstrap_repeats_and_brackets(spark):
     assert one["high"] - one["low"] == pytest.approx(2 * 1.96 * np.std([r[2] for r in rows]) / math.sqrt(30), rel=0.35)
 
 
+def test_bootstrap_against_draws_by_hand(spark, monkeypatch):
+    import hashlib
+
+    rows = [(f"c{k:02}", f"f{k % 3}", (k * 7 % 11) / 10) for k in range(23)]
+    monkeypatch.setattr(stats, "SLICE", 3)
+    pools = {}
+    for case, fault, delta in sorted(rows):
+        pools.setdefault(fault, []).append(delta)
+    means = []
+    for r in range(1, 51):
+        drawn = [own[int(hashlib.md5(f"7:{r}:{fault}:{k}".encode()).hexdigest()[:8], 16) % len(own)] for fault, own in pools.items() for k in range(len(own))]
+        means.append(np.mean(drawn))
+    for bound in (0, 100):
+        monkeypatch.setattr(stats, "BROADCAST_CASES", bound)
+        got = stats.bootstrap_ci(spark.createDataFrame(rows + [("x", "f0", None)], "case_id string, fault string, delta double"), 50).first()
+        assert (got["n"], got["low"], got["high"]) == (23, pytest.approx(np.quantile(means, 0.025)), pytest.approx(np.quantile(means, 0.975)))
+
+
+def test_sums_before(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if k % 4 == 0 else f"g{k % 3}", int(rng.integers(0, 30)), k, int(rng.integers(0, 9))) for k in range(400)]
+    got = sums_before(spark.createDataFrame(rows, "g string, o int, tie int, v int"), ["g"], ["o", "tie"], F.col("v"), "before", 20).collect()
+    assert len(got) == 400
+    for r in got:
+        assert r["before"] == sum(v for g, o, tie, v in rows if g == r["g"] and (o, tie) < (r["o"], r["tie"]))
+    assert sums_before(spark.createDataFrame([], "g string, o int"), ["g"], ["o"], F.lit(1), "before").count() == 0
+
+
+def test_windows_by_broadcast_and_by_salt(spark):
+    spec = GridSpec(bin_seconds=10.0, pre_bins=2, post_bins=3)
+    cases = spark.createDataFrame([("a", 100.0), ("b", 107.0), ("c", -3.0)], "case_id string, anchor double")
+    rows = spark.createDataFrame([(float(t), k % 3) for k, t in enumerate([*range(60, 160, 3), 100, 100, *range(-30, 40, 7)])] + [(float("nan"), 1), (None, 1)], "ts double, value int")
+    want = sorted((c, int((t - (a - 20)) // 10), t) for c, a in (("a", 100.0), ("b", 107.0), ("c", -3.0)) for t, in rows.select("ts").collect() if t == t and t is not None and a - 20 <= t < a + 30)
+    for bound in (10, 0):
+        got = telemetry.case_windows(rows, cases, spec, bound)
+        assert got.columns == ["ts", "value", "case_id", "bin"]
+        assert sorted((r["case_id"], r["bin"], r["ts"]) for r in got.collect()) == want
+
+
+def test_metric_diff_sees_every_metric_and_lost_groups(spark):
+    groups = spark.createDataFrame([("overall", "all", 1.0, 1.0, 1.0, 1.0, 0.5), ("fold", "0", 1.0, 1.0, 1.0, 1.0, 0.5)], 'grouping string, value string, `AC@1` double, `AC@3` double, `AC@5` double, `Avg@5` double, MRR double')
+    other = groups.filter("value = 'all'").withColumn("MRR", F.lit(0.25))
+    assert {r["value"]: r["diff"] for r in ranking.metric_diff(groups, other).collect()} == {"all": 0.25, "0": float("inf")}
+
+
 def test_effects_and_gate(spark):
     effects = stats.factorial_effects(spark.createDataFrame([("A0", 1.0), ("A1", 2.0), ("A2", 4.0), ("A3", 8.0)], "variant string, value double")).first()
     assert tuple(effects) == (1.0, 4.0, 3.0, 6.0, 3.0)

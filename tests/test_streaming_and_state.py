@@ -39,3 +39,31 @@ def test_saved_model_predicts_the_same(spark, tmp_path):
         condlogit.load_model(spark, str(tmp_path / "model"), ("a", "b"))
     with pytest.raises(Exception):
         condlogit.save_model(weights, fits, str(tmp_path / "model"))
+
+
+def test_replay_fails_on_a_changed_weight(spark, tmp_path):
+    v, labels = toy(spark)
+    fresh, weights, fits = condlogit.fit_out_of_fold(v, labels, labels)
+    path = str(tmp_path / "model")
+    condlogit.save_model(weights, fits, path)
+    stored, told = condlogit.load_model(spark, path, ("metric.magnitude", "metric.mean_impact"))
+    good = condlogit.replay_verdict(v, labels, fresh, stored, told).first()
+    assert good["passed"] and good["metrics_agree"]
+    changed = stored.withColumn("weight", F.col("weight") + F.when((F.col("fold") == 1) & (F.col("ix") == 0), 1e-9).otherwise(0.0))
+    bad = condlogit.replay_verdict(v, labels, fresh, changed, told).first()
+    assert not bad["passed"] and not bad["scores_agree"] and bad["same_rankings"]
+    turned = stored.withColumn("weight", -F.col("weight"))
+    bad = condlogit.replay_verdict(v, labels, fresh, turned, told).first()
+    assert not bad["same_rankings"] and not bad["metrics_agree"]
+
+
+def test_scratch_tables(spark):
+    from blamegrid.sources.scratch import discard, materialize
+
+    kept = materialize(spark.range(5), "numbers")
+    assert kept.count() == 5
+    files = kept.inputFiles()
+    discard(kept, spark.range(1))
+    discard(kept)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(files[0].rsplit("/", 1)[0])
