@@ -37,27 +37,32 @@ def in_blocks(rows: DataFrame, keys: list[str], row_id: str, block: int = BLOCK)
     return dealt.withColumn("bucket", name).withColumn("side", side).drop("_own", "_with", "_blocks", *(f"_{k}" for k in keys))
 
 
-def whole_groups(batches: Iterable[pa.RecordBatch], rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of about ``rows`` rows that hold whole groups, and where each group starts (and the end)."""
+def whole_groups(batches: Iterable[pa.RecordBatch], rows: int = 4096, most: int = 64 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about ``rows`` rows, or ``most`` bytes if less, that hold whole groups, and where each group starts (and the end).
+
+    Spark sends batches of 64 MB at most. A group alone may have more bytes: its rows must be bounded before.
+    """
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = size = 0
 
     def cut(last: bool):
-        nonlocal held, count
+        nonlocal held, count, size
         whole = pa.Table.from_batches(held).combine_chunks()
         bucket = whole.column("bucket").chunk(0)
         change = np.flatnonzero(pc.not_equal(bucket.slice(1), bucket.slice(0, len(bucket) - 1)).to_numpy(zero_copy_only=False)) + 1
         end = len(bucket) if last else int(change[-1]) if len(change) else 0
         held = whole.slice(end).to_batches() if end < len(bucket) else []
-        count = len(bucket) - end
+        count, size = len(bucket) - end, sum(h.nbytes for h in held)
         starts = np.concatenate([[0], change[change < end], [end]]) if end else None
         return (whole.slice(0, end).combine_chunks(), starts) if end else None
 
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            held.append(part := batch.slice(at, rows))
+        step = max(1, min(rows, batch.num_rows * most // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            held.append(part := batch.slice(at, step))
             count += part.num_rows
-            if count >= rows and (found := cut(False)):
+            size += part.nbytes
+            if (count >= rows or size >= most) and (found := cut(False)):
                 yield found
     if count:
         yield cut(True)

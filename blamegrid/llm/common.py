@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, materialize, scratch_dir  # noqa: F401  (shared with the operators)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Regular expressions of words, as the contracts give them.
@@ -30,26 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); one of our own only where none is set."""
-    context = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="blamegrid-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        context.setCheckpointDir(where)
-        where = context.getCheckpointDir()
-    return where
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/blamegrid-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

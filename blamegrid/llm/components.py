@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _hand_over(edges: DataFrame, symmetric: bool) -> DataFrame:
@@ -39,6 +39,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     kept = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     now = materialize(kept.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _is_star(now):
-        now = materialize(_hand_over(_hand_over(now, True), False), "edges")
+        before, now = now, materialize(_hand_over(_hand_over(now, True), False), "edges")
+        discard(before)
     members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

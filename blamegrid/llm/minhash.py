@@ -9,8 +9,8 @@
 3. Skip merging: in each posting list the classes are first held against the smallest one only. Lists
    whose members are connected by then are skipped. In the others all that isn't connected is counted
    inside tasks, block against block. What agrees often enough, directly or by way of others, is a cluster.
-4. The full sets confirm links inside clusters. A cluster of up to ``BLOCK`` classes is one group; a larger
-   one is cut into blocks, each of which meets itself and the first block, and then whatever isn't linked
+4. The full sets confirm links inside clusters. A cluster of up to ``BLOCK`` classes and ``SET_BYTES`` of sets is
+   one group; a larger one is cut into blocks, each of which meets itself and the first block, and then whatever isn't linked
    with the cluster's main component yet meets all other blocks. Pairs go from most agreement to least,
    and pairs that are linked already, directly or by way of others, are skipped.
 5. Connected components over the links; each row gets the smallest doc_id of its component.
@@ -36,12 +36,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import forest, pairs, whole_groups
-from .common import materialize, slices, table, texts
+from .common import discard, materialize, slices, table, texts
 from .components import connected_components
 
 SIZE, MATCHES = 64, 36
 PERCENT = 80
 BLOCK = 512
+SET_BYTES = 32 << 20  # of full sets in a block; a set that is larger by itself is in a block of few
 BROADCAST_IDS = 500_000
 
 _MULTIPLIERS = np.random.default_rng(41).integers(0, 1 << 31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -153,18 +154,23 @@ def agreeing(candidates: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return both.select("a", "b", "sign_a", "sign_b").mapInArrow(count, "a long, b long")
 
 
-def main_and_rest(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """``rows(key, node, component)`` dealt into groups in which the main component of a key meets the rest.
+def load() -> Column:
+    """The part of a block that a class takes up, by rows and by the bytes of its set."""
+    return F.lit(1.0 / BLOCK) + F.col("n_shingles") * 8.0 / SET_BYTES
+
+
+def main_and_rest(rows: DataFrame, key: str) -> DataFrame:
+    """``rows(key, node, component, load)`` dealt into groups in which the main component of a key meets the rest.
 
     Of each key, the rows of the component that comes most often meet only the other rows; both parts are
-    cut into blocks. Adds bucket and side, as in blocks.py.
+    cut into blocks, by the sum of their loads. Adds bucket and side, as in blocks.py.
     """
-    sizes = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"))
-    lists = sizes.groupBy(key).agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).select(
+    sizes = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"), F.sum("load").alias("load"))
+    lists = sizes.groupBy(key).agg(F.max(F.struct("n", "component", "load")).alias("main"), F.sum("n").alias("all"), F.sum("load").alias("loads")).select(
         F.col(key).alias("of"),
         F.col("main.component").alias("main"),
-        F.ceil(F.col("main.n") / block).cast("int").alias("main_blocks"),
-        F.ceil((F.col("all") - F.col("main.n")) / block).cast("int").alias("rest_blocks"),
+        F.ceil("main.load").cast("int").alias("main_blocks"),
+        F.when(F.col("all") > F.col("main.n"), F.greatest(F.ceil(F.col("loads") - F.col("main.load")), F.lit(1))).otherwise(0).cast("int").alias("rest_blocks"),
     )
     rows = rows.join(lists.filter("rest_blocks > 0"), F.col(key) == F.col("of"))
     is_main = F.col("component") == F.col("main")
@@ -203,7 +209,7 @@ class _Group:
         self.node = np.asarray(whole.column("node"))
         self.side = np.asarray(whole.column("side").fill_null(-1))
         self.sizes = np.asarray(whole.column("n_shingles"))
-        self.sign = np.asarray(whole.column("signature").chunk(0).flatten()).reshape(-1, SIZE)
+        self.sign = np.asarray(whole.column("signature").combine_chunks().flatten()).reshape(-1, SIZE)
         self.percent = percent
         component = np.asarray(whole.column("component"))
         self.names, first, self.component = np.unique(component, return_index=True, return_inverse=True)
@@ -212,7 +218,7 @@ class _Group:
             self.names, place = self.names[order], np.argsort(order)
             self.component = place[self.component]
         if "shingles" in whole.column_names:
-            self.sets = [np.frombuffer(x, np.uint64) for x in whole.column("shingles").chunk(0).to_pylist()]
+            self.sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in whole.column("shingles").chunks for x in chunk]
             self.maps = np.zeros((len(self.sets), 64), np.uint64)
             for row, own in zip(self.maps, self.sets):
                 seen = np.zeros(4096, bool)
@@ -292,10 +298,9 @@ def confirmed_links(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def first_blocks(clusters: DataFrame, block: int) -> DataFrame:
-    """``clusters(node, cluster, n)`` dealt into blocks; each meets itself and the cluster's first block."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    rows = clusters.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def first_blocks(clusters: DataFrame) -> DataFrame:
+    """``clusters(node, cluster, blocks)`` dealt into blocks; each meets itself and the cluster's first block."""
+    rows = clusters.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     places = F.when(
         F.col("own") == 0,
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("at"), F.when(k == 0, F.lit(2)).otherwise(F.lit(0)).alias("side"))),
@@ -321,8 +326,9 @@ def clusters_of(posted: DataFrame, classes: DataFrame, percent: int) -> tuple[Da
     placed = _placed(lists.select("node", "token"), _labels(links))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("token").alias("of"))
     open_ = materialize(placed.join(mixed, F.col("token") == F.col("of"), "left_semi"), "open")
-    more = open_list_links(in_groups(main_and_rest(open_, "token", BLOCK), signed), percent)
-    clusters = connected_components(links.unionByName(materialize(more, "more"))).withColumnRenamed("component", "cluster")
+    more = materialize(open_list_links(in_groups(main_and_rest(open_.withColumn("load", F.lit(1.0 / BLOCK)), "token"), signed), percent), "more")
+    clusters = connected_components(links.unionByName(more)).withColumnRenamed("component", "cluster")
+    discard(lists, links, open_, more)
     return clusters, signed
 
 
@@ -344,21 +350,28 @@ def components(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataF
         F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
     )
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    clusters, partners = clusters_of(materialize(postings(classes), "posted"), classes, percent)
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("cluster", "_cluster")
+    posted = materialize(postings(classes), "posted")
+    clusters, partners = clusters_of(posted, classes, percent)
+    clusters = clusters.join(partners.select(F.col("node").alias("_node"), load().alias("load")), F.col("node") == F.col("_node")).drop("_node")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.sum("load")).cast("int").alias("blocks")).withColumnRenamed("cluster", "_cluster")
     clusters = materialize(clusters.join(sizes, F.col("cluster") == F.col("_cluster")).drop("_cluster"), "clusters")
+    discard(posted)
 
     own = classes.select("node", "digest", "place").join(clusters.select("node"), "node", "left_semi")
     wanted = materialize(own.select(F.col("place").alias("wanted")).distinct(), "wanted")
     sets = _sets(_among(docs, wanted), width).withColumnRenamed("digest", "of")
     sets = materialize(own.join(sets, F.col("digest") == F.col("of")).select("node", "shingles"), "sets")
     payloads = (partners, sets)
-    links = materialize(confirmed_links(in_groups(first_blocks(clusters, BLOCK), *payloads), percent), "links")
-    large = clusters.filter(F.col("n") > BLOCK).select("node", "cluster")
+    links = materialize(confirmed_links(in_groups(first_blocks(clusters), *payloads), percent), "links")
+    found = [links]
+    large = clusters.filter("blocks > 1").select("node", "cluster", "load")
     if not large.isEmpty():
-        rest = materialize(main_and_rest(_placed(large, _labels(links)), "cluster", BLOCK), "rest")
-        links = links.unionByName(materialize(confirmed_links(in_groups(rest, *payloads), percent), "links"))
+        rest = materialize(main_and_rest(_placed(large, _labels(links)), "cluster"), "rest")
+        found.append(materialize(confirmed_links(in_groups(rest, *payloads), percent), "links"))
+        links = links.unionByName(found[1])
+        discard(rest)
     members = connected_components(links)
+    discard(partners, sets, wanted, clusters, *found)
 
     named = _placed(classes.select("node", "digest", "doc_id"), members)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "c")

@@ -33,13 +33,14 @@ def brute(rows, width, percent=80):
                 parent[root(i)] = root(j)
     least = {}
     for i, (d, *_) in enumerate(rows):
-        least[root(i)] = min(least.get(root(i), d), d)
-    return sorted((d, len(sets[i]), least[root(i)], d == least[root(i)]) for i, (d, *_) in enumerate(rows))
+        least[root(i)] = min([x for x in (least.get(root(i)), d) if x is not None], default=None)
+    kept = lambda d, least: None if None in (d, least) else d == least
+    return sorted(((d, len(sets[i]), least[root(i)], kept(d, least[root(i)])) for i, (d, *_) in enumerate(rows)), key=repr)
 
 
 def result(spark, rows, width=2, schema=SCHEMA):
     got = minhash.near_duplicates(spark.createDataFrame(rows, schema), width).collect()
-    return sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got)
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=repr)
 
 
 def corpus(seed, n=120):
@@ -79,6 +80,25 @@ def test_large_clusters_are_cut_into_blocks(spark, monkeypatch):
     assert len({r[2] for r in got}) > 1
 
 
+def test_null_and_repeated_ids_lose_no_link(spark):
+    """Components bridged by rows without doc_id, and one doc_id with texts of several components."""
+    words = [f"w{k}" for k in range(60)]
+    a, b, c = words, [*words[:54], *(f"x{k}" for k in range(4))], [*(f"y{k}" for k in range(4)), *words[5:54], *(f"x{k}" for k in range(4))]
+    far = [f"z{k}" for k in range(40)]
+    rows = [(1, a), (None, b), (3, c), (3, far), (9, [*far, "end"]), (None, ["no", "body"]), (None, ["no", "body"]), (None, [])]
+    rows = [(d, " ".join(x), "x") for d, x in rows]
+    want = brute(rows, 2)
+    assert (3, len(c) - 1, 1, False) in want and (None, len(b) - 1, 1, None) in want and (3, 39, 3, True) in want
+    assert not any(r == (3, len(c) - 1, 3, True) for r in want)
+    assert result(spark, rows) == want
+
+
+def test_blocks_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SET_BYTES", 2000)
+    rows = corpus(9, 80)
+    assert result(spark, rows) == brute(rows, 2)
+
+
 def test_edges(spark):
     rows = [
         (9, None, "x"), (8, "", "x"), (7, " \t\n ", "x"), (6, "One", "x"), (5, "one", "x"), (4, "one two", "x"), (3, "a b c d e f g h i j", "x"),
