@@ -6,8 +6,10 @@ id and role) and of its text (length, links, stops, typical words). A linear-cha
 trained by maximum likelihood on labelled pages, and Viterbi decoding labels the blocks of a page; those
 labelled main are the text.
 
-Labelled pages: LABELLED (built from parts whose label is known) and a bounded hash sample of the pages
-given whose markup tells (an ``article`` or ``main`` element, apart from parts with boilerplate hints).
+Labelled pages: LABELLED (built from parts whose label is known) and a hash sample of the pages
+given whose markup tells (an ``article`` or ``main`` element, apart from parts with boilerplate hints). The sample
+is of about SAMPLE_PAGES pages; of their chains of CHAIN blocks those of the smallest hashes are learnt from,
+SAMPLE_CHAINS at most, so what the driver receives is bounded whatever the length of pages.
 
 Cases: a null or empty page has no blocks and the text ""; unclosed tags, a page that breaks off inside a
 tag or an entity, stray end tags and nesting of any depth are read as browsers do, roughly; script, style
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-SAMPLE_PAGES = 300
+SAMPLE_PAGES, SAMPLE_CHAINS = 300, 600
 CHAIN = 48  # longer pages are cut into chains of so many blocks, for training only
 L2, STEPS = 0.02, 150
 
@@ -315,8 +317,8 @@ def train(pages: list[tuple[list[list[str]], list[int]]], l2: float = L2, steps:
     return ChainField(names, theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> ChainField:
-    """Trains on LABELLED and a hash sample of about ``sample_pages`` pages whose markup tells."""
+def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_chains: int = SAMPLE_CHAINS) -> ChainField:
+    """Trains on LABELLED and a hash sample of about ``sample_pages`` pages whose markup tells, of ``sample_chains`` chains at most."""
     total = max(pages.count(), 1)
     part = pages.filter(F.pmod(F.xxhash64(F.col("page_id").cast("string"), F.lit(3)), F.lit(1 << 20)) < sample_pages / total * (1 << 20))
 
@@ -326,11 +328,12 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> ChainField:
             for page in batch.column("html").to_pylist():
                 blocks = leaf_blocks(page or "")
                 labels = markup_labels(blocks)
-                if labels is not None:
-                    rows.append({"rows": features(blocks), "labels": labels})
+                for k in range(0, len(blocks) if labels is not None else 0, CHAIN):
+                    rows.append({"rows": features(blocks[k : k + CHAIN]), "labels": labels[k : k + CHAIN]})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("rows", pa.list_(pa.list_(pa.string()))), ("labels", pa.list_(pa.int32()))]))
 
-    known = part.select("html").mapInArrow(label, "rows array<array<string>>, labels array<int>").collect()
+    chains = part.select("html").mapInArrow(label, "rows array<array<string>>, labels array<int>")
+    known = chains.orderBy(F.xxhash64("rows", "labels"), "rows", "labels").limit(sample_chains).collect()
     own = [(features(leaf_blocks(page)), labels) for page, labels in labelled_pages()]
     return train(own + sorted((r["rows"], r["labels"]) for r in known))
 

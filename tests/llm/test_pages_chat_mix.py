@@ -77,6 +77,29 @@ def test_html_edges(spark, model):
     assert html.fit(spark.createDataFrame([], "page_id long, url string, html string")).weights
 
 
+def test_training_sample_is_bounded_in_blocks(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(html, "train", lambda pages: sizes.extend(len(y) for _, y in pages))
+    pages = spark.createDataFrame([(k, "u", "<article>" + "<p>x y.</p>" * 5000) for k in range(5)], "page_id long, url string, html string")
+    html.fit(pages, sample_chains=7)
+    own = [len(labels) for _, labels in html.labelled_pages()]
+    assert sizes[: len(own)] == own and len(sizes) == len(own) + 7 and max(sizes[len(own) :]) <= html.CHAIN
+
+
+def test_extract_against_features_by_hand(spark, model):
+    """The whole query on pages of other kinds, against scores added up by hand and all labelings tried."""
+    from itertools import product
+
+    pages = ["<div><p>One.</p><nav><a href=x>Two</a></nav></div><article><h1>T</h1><p>Three, four.</p></article>", "<main><p>a b c.<aside>d</aside></main><footer>e</footer>", "<p>lone</p>", None]
+    rows = html.extract(spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "page_id long, url string, html string"), model).collect()
+    for r in rows:
+        blocks = html.leaf_blocks(pages[r["page_id"]] or "")
+        score = [sum(model.weights.get(f, 0.0) for f in own) for own in html.features(blocks)]
+        value = lambda y: sum(s for s, v in zip(score, y) if v) + sum(model.moves[a][b] for a, b in zip(y, y[1:]))
+        best = max(product((0, 1), repeat=len(blocks)), key=value)
+        assert r["text"] == "\n\n".join(b.text for b, v in zip(blocks, best) if v) and r["n_blocks"] == len(blocks)
+
+
 def test_viterbi_against_brute_force():
     from itertools import product
 

@@ -189,7 +189,7 @@ def brute_hits(docs, items, n=10):
     return sorted(rows)
 
 
-@pytest.mark.parametrize("block_bytes", (1 << 20, 60))
+@pytest.mark.parametrize("block_bytes", (1 << 20, 30))
 def test_hits_against_brute_force(spark, block_bytes):
     rng = random.Random(5)
     text = lambda n: " ".join(rng.choice("ab") for _ in range(n))
@@ -200,6 +200,30 @@ def test_hits_against_brute_force(spark, block_bytes):
     assert sorted((r["doc_id"], r["n_words"], sum(b - a for a, b in r["hit_spans"]), r["item_ids"]) for r in got) == brute_hits(docs, items)
 
 
+def test_long_items_are_cut_without_loss(spark):
+    rng = random.Random(6)
+    long = " ".join(rng.choice("abcdef") for _ in range(300))
+    bench = spark.createDataFrame([("long", long), ("short", "x y"), (None, "p " * 11), ("none", "...")], "item_id string, text string")
+    rows = decontaminate.pieces(bench, 10, 50).collect()
+    own = [bytes(r["words"]).decode().split() for r in rows if r["name"] == "long"]
+    grams = lambda w: [tuple(w[i : i + 10]) for i in range(len(w) - 9)]
+    assert len(own) > 5 and sorted(g for w in own for g in grams(w)) == sorted(grams(long.split()))
+    assert max(len(r["words"]) for r in rows) <= 52 and sorted({r["name"] for r in rows}) == ["", "long", "short"]
+    docs = [(k, long[at : at + 60]) for k, at in enumerate(range(0, 500, 7))]
+    got = decontaminate.scan_benchmark(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_bytes=50).collect()
+    assert sorted((r["doc_id"], r["n_words"], sum(b - a for a, b in r["hit_spans"]), r["item_ids"]) for r in got) == brute_hits(docs, [("long", long), ("short", "x y"), ("", "p " * 11)])
+
+
+def test_windows_of_one_hash(monkeypatch):
+    """Windows that share their hash are told apart by their words."""
+    plain = decontaminate.window_hashes
+    monkeypatch.setattr(decontaminate, "window_hashes", lambda ids, starts, length, radix: plain(ids, starts, length, radix) * np.uint64(radix != decontaminate.RADIX[0]))
+    block = decontaminate.TestWindows([("a", b"one two three"), ("b", b"two three four"), ("c", b"one two three")], 3)
+    sizes, hits, items = block.scan([b"one two three four".split(), b"two three one".split(), []])
+    assert sizes.tolist() == [4, 3, 0] and [h.tolist() for h in hits] == [[True] * 4, [False] * 3, []]
+    assert [[block.names[i] for i in own] for own in items] == [["a", "b", "c"], [], []]
+
+
 def test_actions(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     passage = "One two, three four five six seven eight nine TEN"
