@@ -7,13 +7,15 @@ documents of a source lie one after the other on its token axis, in a pseudo-ran
 the target asks, and the inverse of the demand turns a document's place on that axis into a training
 position. Sorting all documents by position (a range sort) gives the order of training.
 
-Only DataFrame functions are used. A source is never gathered in one task: its documents are dealt into
-hash ranges whose number follows the source's row count; sums of ranges give each range's offset, and
-only inside a range is a running sum taken.
+Only DataFrame functions are used. A source is never gathered in one task: all documents are dealt into
+sorted ranges of (source, key, doc_id, size and, for rows that are alike in these, their place in the table);
+sums of ranges give each range's offset, and only inside a range is a running sum taken
+(operators.positions). Sources are numbered in the same way, and the level of the targets is found by sums
+over all sources, a few times over.
 
 Cases: a null text has size 0; a null source is a source of its own, last in the order of sources; a
-document of size 0 takes nothing and has no position; repeated rows count as documents of their own
-(among equal rows it is open which one is cut short); an empty table gives an empty result; other columns
+document of size 0 takes nothing and has no position; repeated rows, and rows without doc_id, count as documents
+of their own (among equal rows it is open which one is cut short); an empty table gives an empty result; other columns
 of the input are ignored.
 """
 
@@ -22,16 +24,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.positions import sums_before
 from .common import SPACE_WORD, materialize, table
 
 #: Weight over time, (t, factor) knots for the first, second and third weight class: the integral of each is 1.
 CURRICULUM = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (1.0, 0.5)))
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
-RANGE_ROWS = 2000
+RANGE_ROWS = 8192
 KEY_BITS = 48
 
 
@@ -74,35 +76,29 @@ def inverse_demand(share: Column, pieces: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float], max_repeat: int) -> DataFrame:
-    """One row per source: its rows, size, weight class and target.
+    """One row per source: its size, weight class and target.
 
-    The windows run over one row per source. Ordered by how soon a source meets its cap, the first source
-    that stays below it when all before it are capped fixes the level for it and all that follow.
+    Sources whose share at the present level is above their cap are capped, the level of the others rises by what
+    that leaves over, until no more are capped; each step is a sum over all sources.
     """
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("klass", (F.row_number().over(order) - 1) % len(weights)).withColumn(
-        "weight", F.get(F.array(*(F.lit(float(w)) for w in weights)), F.col("klass"))
-    )
-    cap = F.col("source_size") * float(max_repeat)
-    soon = W.orderBy(F.col("source_size") / F.col("weight"), "klass", F.col("source").asc_nulls_last())
-    levels = (
-        ranked.withColumn("cap", cap)
-        .withColumn("step", F.row_number().over(soon))
-        .withColumn("total", F.sum("source_size").over(W.partitionBy()))
-        .withColumn("capped", F.coalesce(F.sum("cap").over(soon.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(soon.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("level", (F.col("total") - F.col("capped")) / F.col("open"))
-        .withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
-    )
-    level = F.min(F.when(F.col("fits"), F.struct("step", "level"))).over(W.partitionBy())["level"]
-    return levels.withColumn("found", level).select(
-        "source",
-        "source_size",
-        "n",
-        "klass",
-        F.least(F.col("cap"), F.coalesce(F.col("found") * F.col("weight"), F.col("cap"))).alias("target"),
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("last", F.col("source").isNull())
+    numbered = sums_before(sources, [], ["last", "source"], F.lit(1), "number").withColumn("klass", F.col("number") % len(weights))
+    ranked = materialize(
+        numbered.select(
+            "source", "source_size", "klass", F.get(F.array(*(F.lit(float(w)) for w in weights)), F.col("klass")).alias("weight"), (F.col("source_size") * float(max_repeat)).alias("cap")
+        ),
+        "sources",
     )
+    level, before = float("-inf"), -1
+    while True:
+        over = F.col("weight") * F.lit(level) > F.col("cap")
+        row = ranked.agg(
+            F.sum("source_size").alias("total"), F.count(F.when(over, 1)).alias("n"), F.sum(F.when(over, F.col("cap")).otherwise(0.0)).alias("capped"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("open")
+        ).first()
+        if row["n"] == before or not row["open"]:
+            break
+        level, before = (row["total"] - row["capped"]) / row["open"], row["n"]
+    return ranked.select("source", "source_size", "klass", F.least(F.col("cap"), F.col("weight") * F.lit(level)).alias("target"))
 
 
 def mix_sources(
@@ -123,24 +119,10 @@ def mix_sources(
         docs.select("doc_id", "source", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), key.cast("long").alias("key")),
         "sizes",
     )
-    targets = materialize(
-        source_targets(sized, weights, max_repeat).withColumn("pieces", schedule_column(F.col("klass"), schedules)), "targets"
-    ).withColumnRenamed("source", "of")
-    ranges = F.ceil(F.col("n") / range_rows)
-    dealt = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn(
-        "part", F.floor(F.col("key") / float(1 << KEY_BITS) * ranges)
-    )
-    sums = dealt.groupBy("source", "part").agg(F.sum("size").alias("words"))
-    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(
-        F.col("source").alias("of_source"), F.col("part").alias("of_part"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset")
-    )
-    inside = W.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = (
-        dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(offsets, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("part") == F.col("of_part")))
-        .withColumn("start", F.col("offset") + F.col("inside"))
-    )
+    targets = source_targets(sized, weights, max_repeat).withColumn("pieces", schedule_column(F.col("klass"), schedules)).withColumnRenamed("source", "of")
+    tied = sized.withColumn("tie", F.monotonically_increasing_id())
+    placed = sums_before(tied, ["source"], ["key", "doc_id", "size", "tie"], F.col("size"), "start", range_rows)
+    placed = placed.join(targets, F.col("source").eqNullSafe(F.col("of")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
     taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("start")))

@@ -6,7 +6,8 @@ further edges given, make urls aliases of each other: the connected components o
 graph. A url without a rule of its own is blocked if one of its aliases is blocked, unless an alias is
 explicitly allowed: allow takes precedence. Without either it has the default verdict.
 
-Nodes of the graph are host and path; scheme, query and fragment don't tell urls apart. Only urls with an
+Nodes of the graph are host, path and query; scheme and fragment don't tell urls apart, and variants of a page
+that differ in their query are aliases only where a link says so. Only urls with an
 edge enter the graph. Rules are matched by equality of host suffixes with a small literal table.
 
 Cases: a null url, or one without ``://``, has an empty host and path and never fits a rule; relative
@@ -42,6 +43,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def query_of(url: Column) -> Column:
+    """The query with its question mark; empty without one."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1), F.lit(""))
+
+
+def node_of(url: Column) -> Column:
+    return F.concat(host_of(url), path_of(url), query_of(url))
+
+
 def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Struct (rule, action) of the longest rule that fits, or null."""
     found = F.lit(None).cast("struct<rule:string,action:string>")
@@ -90,12 +100,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges: Dat
     """Per row of ``pages(page_id, url, html)``: page_id, host, path, rule, verdict, alias_of.
 
     ``edges(source, target)`` are known redirects beside those that the pages declare. alias_of is the
-    smallest host and path of the url's component, null if it has no alias.
+    smallest host, path and query of the url's component, null if it has no alias.
     """
     known = page_edges(pages)
     if edges is not None:
         known = known.unionByName(edges.select("source", "target"))
-    node = {c: F.concat(host_of(F.col(c)), path_of(F.col(c))) for c in ("source", "target")}
+    node = {c: node_of(F.col(c)) for c in ("source", "target")}
     known = materialize(
         known.filter((host_of(F.col("source")) != "") & (host_of(F.col("target")) != "")).select(
             *(node[c].alias(n) for c, n in (("source", "a"), ("target", "b")))
@@ -103,16 +113,16 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges: Dat
         "aliases",
     )
     members = connected_components(known)
-    at = (F.regexp_extract("node", r"(?s)^([^/]*)", 1), F.regexp_extract("node", r"(?s)^[^/]*(.*)$", 1))
+    at = (F.regexp_extract("node", r"(?s)^([^/?]*)", 1), F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1))
     action = best_rule(*at, rules)["action"]
     spread = members.withColumn("action", action).groupBy("component").agg(
         F.coalesce(F.bool_or(F.col("action") == "allow"), F.lit(False)).alias("allowed"),
         F.coalesce(F.bool_or(F.col("action") == "block"), F.lit(False)).alias("blocked"),
     )
     aliases = members.join(spread.withColumnRenamed("component", "c"), F.col("component") == F.col("c")).select("node", "component", "allowed", "blocked")
-    judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), query_of(F.col("url")).alias("query"))
     judged = judged.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
-    joined = judged.join(aliases, F.when(F.col("host") != "", F.concat("host", "path")) == F.col("node"), "left")
+    joined = judged.join(aliases, F.when(F.col("host") != "", F.concat("host", "path", "query")) == F.col("node"), "left")
     passed = F.when(F.col("allowed"), F.lit("allow")).when(F.col("blocked"), F.lit("block")).otherwise(F.lit(default))
     return joined.select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", passed).alias("verdict"), F.col("component").alias("alias_of")
@@ -124,7 +134,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PARTS = r"""translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path"""
+  regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract({u}, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1) AS query"""
 OP5_SQL = rf"""
 WITH RECURSIVE rules(rule, action) AS (
   VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
@@ -144,15 +154,15 @@ whole AS (
     ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*/(?:[^?#]*/)?)', 1) || target END AS target
   FROM (SELECT url, replace(trim(target), '&amp;', '&') AS target FROM targets) WHERE target <> ''),
 arcs AS (
-  SELECT s.host || s.path AS a, t.host || t.path AS b
+  SELECT s.host || s.path || s.query AS a, t.host || t.path || t.query AS b
   FROM (SELECT url, target, {_PARTS.format(u="url")} FROM whole) s JOIN (SELECT url, target, {_PARTS.format(u="target")} FROM whole) t
     ON s.url = t.url AND s.target = t.target
-  WHERE s.host <> '' AND t.host <> '' AND s.host || s.path <> t.host || t.path),
+  WHERE s.host <> '' AND t.host <> '' AND s.host || s.path || s.query <> t.host || t.path || t.query),
 both_ways AS (SELECT a, b FROM arcs UNION SELECT b, a FROM arcs),
 reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON r.other = w.a),
 fits AS (
   SELECT DISTINCT node, arg_max(action, length(rule)) OVER (PARTITION BY node) AS action
-  FROM (SELECT node, regexp_extract(node, '^([^/]*)', 1) AS host, regexp_extract(node, '(?s)^[^/]*(.*)$', 1) AS path FROM (SELECT DISTINCT node FROM reach)), rules
+  FROM (SELECT node, regexp_extract(node, '(?s)^([^/?]*)', 1) AS host, regexp_extract(node, '(?s)^[^/?]*([^?]*)', 1) AS path FROM (SELECT DISTINCT node FROM reach)), rules
   WHERE ('.' || host) LIKE '%.' || split_part(rule, '/', 1) AND starts_with(path, substr(rule, strpos(rule, '/')))),
 spread AS (
   SELECT r.node, min(r.other) AS alias_of, coalesce(bool_or(f.action = 'allow'), false) AS allowed, coalesce(bool_or(f.action = 'block'), false) AS blocked
@@ -162,5 +172,5 @@ best AS (
   WHERE ('.' || host) LIKE '%.' || split_part(rule, '/', 1) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY nr)
 SELECT n.page_id, n.host, n.path, b.rule,
        coalesce(b.action, CASE WHEN s.allowed THEN 'allow' WHEN s.blocked THEN 'block' ELSE 'allow' END) AS verdict, s.alias_of
-FROM named n LEFT JOIN best b ON n.nr = b.nr LEFT JOIN spread s ON n.host <> '' AND n.host || n.path = s.node
+FROM named n LEFT JOIN best b ON n.nr = b.nr LEFT JOIN spread s ON n.host <> '' AND n.host || n.path || n.query = s.node
 """

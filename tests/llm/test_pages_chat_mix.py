@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,15 +133,22 @@ def test_rules(spark):
     }
 
 
-def test_redirects_spread_blocks_but_allow_wins(spark):
+def test_redirects_spread_blocks_but_allow_wins(spark, tmp_path):
     canonical = '<html><LINK REL="canonical" href="{}">'
     rows = [
         (1, "http://a.net/1", canonical.format("http://x.com/de/1"), ""), (2, "http://b.net/2", '<meta content="0; url=http://a.net/1?s=2" http-equiv=refresh>', ""),
         (3, "http://c.net/3", canonical.format("http://x.com/de/2"), ""), (4, "http://d.org/4", canonical.format("http://c.net/3"), ""), (5, "http://e.net/d/5", canonical.format("6"), ""),
         (6, "http://e.net/d/6", "", ""), (7, "http://x.com/de/1", "", ""), (8, "http://a.net/1#again", "", ""),
+        (9, "http://a.net/1?s=2#x", canonical.format("/1"), ""), (10, "http://a.net/1?s=3", "", ""), (11, "http://f.net?id=1", canonical.format("http://x.com/de/?id=1"), ""), (12, "http://f.net?id=2", "", ""),
     ]
     got = judged(spark, rows)
-    assert {k: v[3] for k, v in got.items()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "block"}
+    assert {k: v[3] for k, v in got.items()} == {
+        1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "block", 9: "block", 10: "allow", 11: "block", 12: "allow"
+    }
+    spark.createDataFrame(rows, "page_id long, url string, html string, verdict string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert {r[0]: r[4] for r in con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({urls.OP5_SQL})").fetchall()} == {k: v[3] for k, v in got.items()}
     more = spark.createDataFrame([("http://e.net/d/6", "http://y.com/de/"), ("http://e.net/d/6", None)], "source string, target string")
     assert judged(spark, rows, edges=more)[5][3] == "block"
     assert judged(spark, []) == {}
@@ -242,6 +250,40 @@ def test_mix_edges(spark):
     assert same[same.source == "a"].taken.sum() == 45 or abs(same[same.source == "a"].taken.sum() - same[same.source == "a"].target.iloc[0]) <= 1
 
 
+def test_rows_without_doc_id_are_no_one_key(spark):
+    """A third of the rows alike in every column: dealt over many ranges, and the mix is what it is by hand."""
+    rows = [(None, "a", 5, "")] * 300 + [(k, "a", 1 + k % 9, "") for k in range(300)] + [(k, "b", 700, "") for k in range(3)]
+    got = mixed(spark, rows, range_rows=20).toPandas()
+    own = got[got.source == "a"]
+    assert len(own) == 600 and own.doc_id.isna().sum() == 300
+    assert (own.taken <= 3 * own["size"]).all() and int(own.taken.sum()) == int(own.target.iloc[0])
+    partly = own[(own.taken % own["size"]) > 0]
+    assert len(partly) <= 1
+
+
+def test_many_sources_are_filled_like_water(spark, monkeypatch):
+    from blamegrid.operators import positions
+
+    monkeypatch.setattr(positions, "RANGE_ROWS", 7)
+    rng = random.Random(3)
+    sizes = {f"s{k:03}": int(rng.paretovariate(0.6) * 3) for k in range(150)} | {None: 40}
+    got = {r["source"]: r["target"] for r in mixed(spark, [(k, s, n, "") for k, (s, n) in enumerate(sizes.items())]).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}
+    low, high = 0.0, 1e9
+    for _ in range(200):  # the level by bisection
+        level = (low + high) / 2
+        filled = sum(min(3 * n, weight[s] * level) for s, n in sizes.items())
+        low, high = (level, high) if filled < sum(sizes.values()) else (low, level)
+    assert got == {s: pytest.approx(min(3 * n, weight[s] * low), rel=1e-9) for s, n in sizes.items()}
+
+
+def test_chat_columns_that_clash(spark):
+    rows = [(1, 0, "ann", "hi", "p", 1, [2]), (1, 1, "bob", "ho", "p", 1, [2])]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string, participant int, turns array<int>")).collect()
+    assert sorted((r["participant"], r["part"], r["n_turns"]) for r in got) == [("ann", 0, 2), ("bob", 0, 2)]
+
+
 def test_spans_of_masks_round_trip():
     import numpy as np
 
