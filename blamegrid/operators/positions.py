@@ -13,7 +13,7 @@ from ..sources.scratch import materialize
 RANGE_ROWS, MOST_RANGES = 8192, 4096
 
 
-def sums_before(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+def sums_before(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str, range_rows: int | None = None) -> DataFrame:
     """``rows`` with ``name``: the sum of the whole number ``value`` over the rows of the group before it in ``order``.
 
     All rows are dealt into sorted ranges; sums of ranges give each range's offset, and only inside a range is a
@@ -21,7 +21,7 @@ def sums_before(rows: DataFrame, group: Sequence[str], order: Sequence[str], val
     can be many. A window over a group sees one row per range, of which there are at most MOST_RANGES.
     """
     found = materialize(rows.withColumn("_value", value), "rows")
-    ranges = max(1, min(MOST_RANGES, found.count() // range_rows + 1))
+    ranges = max(1, min(MOST_RANGES, found.count() // (range_rows or RANGE_ROWS) + 1))
     dealt = materialize(found.repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     sums = dealt.groupBy(*group, "_range").agg(F.sum("_value").alias("_sum"))
     before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
