@@ -8,8 +8,12 @@ bounded, and the chain that covers most words of the template gives its coverage
 enough gives its label. Phrases are found in the same pass: one ends where the state, or a state on its
 suffix links, is that phrase.
 
-Only runs of words whose neighbouring pairs all stand in a template reach the automaton: no match of two
-words or more lies outside them, so nothing is lost. Each task works on whole texts; nothing is shuffled.
+Only runs of words whose neighbouring pairs all stand in a template (told by a table of their hashes, which lets a
+few others pass) reach the automaton: no match of two words or more lies outside them, so nothing is lost.
+Each task works on whole texts; nothing is shuffled.
+
+Templates are whole short licences, the notices that files of longer ones carry (licence_texts.py), and typical
+passages; ``read_templates`` adds a folder of licence texts, one file each, of any length.
 
 Cases: null and empty texts have no words, no labels and score 0; repeated rows are judged one by one; an
 empty table gives an empty result; other columns of the input are ignored.
@@ -25,40 +29,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ALNUM_TABLE, slices, table, texts
+from .licence_texts import LICENCES, PASSAGES
+
+def ascii_words(text: str) -> list[str]:
+    return text.encode().translate(ALNUM_TABLE).decode().split()
+
 
 #: Phrases whose every place counts, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Passages that are typical of a licence, and their labels.
-TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl", "licensed under the gnu general public license version 3"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("all-rights-reserved", "all rights reserved no part of this publication may be reproduced"),
-)
+#: (label, words): whole licences and notices first, then passages.
+TEMPLATES = (*((label, " ".join(ascii_words(text))) for label, text in LICENCES), *PASSAGES)
 MIN_MATCH = 3
 MIN_COVER = 0.8
 MAX_GAP = 8
+PAIR_TABLE = 1 << 20
 
 
 class SuffixAutomaton:
@@ -141,6 +126,11 @@ def chain_cover(matches: list[tuple[int, int, int]], max_gap: int) -> tuple[int,
     return top
 
 
+def _pair(ids: np.ndarray) -> np.ndarray:
+    """Places in the tables of pairs of each word with the next."""
+    return (ids[:-1] * 0x9E3779B1 + ids[1:] * 0x85EBCA77 >> 7) & (PAIR_TABLE - 1)
+
+
 class LicenseScanner:
     def __init__(self, phrases=PHRASES, templates=TEMPLATES, min_match=MIN_MATCH, min_cover=MIN_COVER, max_gap=MAX_GAP):
         self.min_match, self.min_cover, self.max_gap = min_match, min_cover, max_gap
@@ -153,13 +143,12 @@ class LicenseScanner:
         self.sequences = sequences
         self.labels = [label for _, label in phrases] + [label for label, _ in templates]
         self.automaton = SuffixAutomaton(sequences)
-        size = len(self.vocabulary) + 1
-        self.pairs = np.zeros((size, size), bool)
-        for s in sequences:
-            self.pairs[s[:-1], s[1:]] = True
-        self.phrase_pairs = np.zeros((size, size), bool)
-        for s in sequences[: self.first_template]:
-            self.phrase_pairs[s[:-1], s[1:]] = True
+        self.pairs, self.phrase_pairs = np.zeros(PAIR_TABLE, bool), np.zeros(PAIR_TABLE, bool)
+        for k, s in enumerate(sequences):
+            own = _pair(np.array(s, np.int64))
+            self.pairs[own] = True
+            if k < self.first_template:
+                self.phrase_pairs[own] = True
         self.phrases_at = [self._phrases(state) for state in range(len(self.automaton.length))]
 
     def _phrases(self, state: int) -> list[tuple[int, int]]:
@@ -181,9 +170,10 @@ class LicenseScanner:
         places: list[tuple[int, int]] = []  # phrase, start
         matches: dict[int, list[tuple[int, int, int]]] = {}
         if len(ids) > 1:
-            near = self.pairs[ids[:-1], ids[1:]]
+            place = _pair(ids)
+            near = self.pairs[place] & (ids[:-1] > 0) & (ids[1:] > 0)
             edges = np.flatnonzero(np.diff(np.concatenate([[0], near.astype(np.int8), [0]])))
-            base = np.concatenate([[0], np.cumsum(self.phrase_pairs[ids[:-1], ids[1:]])])
+            base = np.concatenate([[0], np.cumsum(self.phrase_pairs[place])])
             for low, high in zip(edges[::2], edges[1::2]):  # pairs low..high-1: words low..high
                 if high + 1 - low >= self.min_match or base[high] > base[low]:
                     self._run(ids[low : high + 1].tolist(), int(low), places, matches)
@@ -240,11 +230,22 @@ ARROW = pa.schema(
 )
 
 
+def read_templates(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...]:
+    """(label, words) of the licence texts in a folder: a file's name without its ending is its label.
+
+    The texts become part of the model that every task holds: some hundred of them are a few megabytes.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    known = {(r["name"].rsplit(".txt", 1)[0].lower(), " ".join(bytes(r["content"]).translate(ALNUM_TABLE).decode("utf-8", "replace").split())) for r in files.toLocalIterator()}
+    return tuple(sorted(x for x in known if x[1]))
+
+
 def scan_licenses(docs: DataFrame, scanner: LicenseScanner | None = None) -> DataFrame:
     """Per document: words, places of phrases, labels, and covered template spans (in words)."""
-    scanner = scanner or LicenseScanner()
+    shared = docs.sparkSession.sparkContext.broadcast(scanner or LicenseScanner())
 
     def scan(batches):
+        scanner = shared.value
         for part in slices(batches, "text"):
             rows = []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), texts(part, "text")):
