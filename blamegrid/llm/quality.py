@@ -3,7 +3,9 @@
 Each text becomes a short vector of transformed statistics (logs of sizes, logits of shares). For both
 classes the mean and covariance follow from sums over all labelled training rows, gathered by Spark as
 one sum per matrix cell. A covariance is shrunk towards the pooled one and then towards a multiple of
-the identity; its Cholesky factor is computed once and kept in the model. The score is the logistic
+the identity; its Cholesky factor is computed once and kept in the model. How much it is shrunk is chosen by
+cross-validation over FOLDS folds: the density of held-out rows follows from their own sums, so the sums by fold
+are all that is needed. The score is the logistic
 function of the difference of the two log densities (from Mahalanobis distances) plus the log prior odds.
 
 Cases: a null or empty text has its statistics at their lower ends and gets a score like any other; a
@@ -13,7 +15,9 @@ label 1 (0.5 without rows); repeated rows count as often as they come; other col
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 from operator import eq
 
@@ -25,7 +29,9 @@ from pyspark.sql import types as T
 
 from .common import crc_mod, materialize, slices, table, texts
 
-TO_POOLED, TO_IDENTITY = 0.1, 0.01
+#: Shrinkage that is tried: towards the pooled covariance, and towards a multiple of the identity.
+TO_POOLED, TO_IDENTITY = (0.0, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0), (0.001, 0.01, 0.03, 0.1, 0.3)
+FOLDS = 5
 
 #: Statistics in the order of the vector.
 STATISTICS = (
@@ -106,39 +112,80 @@ class Discriminant:
         return 1.0 / (1.0 + np.exp(-np.clip(odds, -500, 500)))
 
 
+CELLS = 1 + DIM + DIM * DIM
+
+
 def moments(rows: DataFrame) -> DataFrame:
-    """label, cell, total of ``rows(label, stats)``: count, sums and products, summed per task, then per cell."""
+    """fold, label, cell, total of ``rows(label, stats)``: count, sums and products, summed per task, then per cell.
+
+    A row's fold is a hash of its statistics: equal rows are in one fold.
+    """
 
     def part(batches):
-        total = np.zeros((2, 1 + DIM + DIM * DIM))
+        total = np.zeros((FOLDS, 2, CELLS))
         for batch in batches:
-            labels = np.asarray(batch.column("label"))
+            labels, folds = np.asarray(batch.column("label")), np.asarray(batch.column("fold"))
             x = np.array(batch.column("stats").to_pylist(), float).reshape(-1, DIM)
-            for k in (0, 1):
-                own = x[labels == k]
-                total[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
-        label, cell = np.indices(total.shape)
-        yield pa.RecordBatch.from_pydict({"label": label.ravel(), "cell": cell.ravel(), "total": total.ravel()})
+            for f in range(FOLDS):
+                for k in (0, 1):
+                    own = x[(labels == k) & (folds == f)]
+                    total[f, k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
+        fold, label, cell = np.indices(total.shape)
+        yield pa.RecordBatch.from_pydict({"fold": fold.ravel(), "label": label.ravel(), "cell": cell.ravel(), "total": total.ravel()})
+
+    dealt = rows.select("label", "stats", F.pmod(F.xxhash64("stats"), F.lit(FOLDS)).alias("fold"))
+    return dealt.mapInArrow(part, "fold long, label long, cell long, total double").groupBy("fold", "label", "cell").agg(F.sum("total").alias("total"))
+
+
+def _moments_of(total: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Rows, mean and mean product of (CELLS,) sums."""
+    n = max(total[0], 1.0)
+    return float(total[0]), total[1 : 1 + DIM] / n, total[1 + DIM :].reshape(DIM, DIM) / n
+
+
+def shrunk(total: np.ndarray, to_pooled: float, to_identity: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Means and shrunk covariances of both classes, of (2, CELLS) sums."""
+    parts = [_moments_of(t) for t in total]
+    means = [m for _, m, _ in parts]
+    spread = [p - np.outer(m, m) for _, m, p in parts]
+    pooled = sum(n * s for (n, _, _), s in zip(parts, spread)) / max(total[:, 0].sum(), 1.0)
+    found = []
+    for s in spread:
+        s = (1 - to_pooled) * s + to_pooled * pooled
+        level = max(np.trace(s) / DIM, 1e-6)
+        found.append((1 - to_identity) * s + to_identity * level * np.eye(DIM))
+    return means, found
 
-    return rows.mapInArrow(part, "label long, cell long, total double").groupBy("label", "cell").agg(F.sum("total").alias("total"))
 
+def held_out_density(total: np.ndarray, to_pooled: float, to_identity: float) -> float:
+    """Log density of each fold's rows under the model of the other folds, summed; of (FOLDS, 2, CELLS) sums."""
+    found = 0.0
+    for own in total:
+        means, spread = shrunk(total.sum(axis=0) - own, to_pooled, to_identity)
+        for k in (0, 1):
+            n, mean, product = _moments_of(own[k])
+            m = means[k]
+            around = product - np.outer(m, mean) - np.outer(mean, m) + np.outer(m, m)
+            found -= 0.5 * n * (np.linalg.slogdet(spread[k])[1] + np.trace(np.linalg.solve(spread[k], around)))
+    return found
 
-def fit(rows: DataFrame, to_pooled: float = TO_POOLED, to_identity: float = TO_IDENTITY) -> Discriminant:
-    """Fits the model to ``rows(label, stats)``; the driver receives 2 (1 + d + d²) numbers."""
-    total = np.zeros((2, 1 + DIM + DIM * DIM))
+
+def fit(rows: DataFrame, to_pooled: float | Sequence[float] = TO_POOLED, to_identity: float | Sequence[float] = TO_IDENTITY) -> Discriminant:
+    """Fits the model to ``rows(label, stats)``; the driver receives 2 (1 + d + d²) numbers for each fold.
+
+    Of several strengths of shrinkage those of the greatest density of held-out rows are taken.
+    """
+    total = np.zeros((FOLDS, 2, CELLS))
     for r in moments(rows).collect():
-        total[r["label"], r["cell"]] = r["total"]
-    n = total[:, 0]
+        total[r["fold"], r["label"], r["cell"]] = r["total"]
+    whole = total.sum(axis=0)
+    n = whole[:, 0]
     if not n.all():
         return Discriminant([], [], float(n[1] / n.sum()) if n.sum() else 0.5)
-    means = [total[k, 1 : 1 + DIM] / n[k] for k in (0, 1)]
-    spread = [total[k, 1 + DIM :].reshape(DIM, DIM) / n[k] - np.outer(means[k], means[k]) for k in (0, 1)]
-    pooled = (n[0] * spread[0] + n[1] * spread[1]) / n.sum()
-    factors = []
-    for s in spread:
-        s = (1 - to_pooled) * s + to_pooled * pooled
-        level = max(np.trace(s) / DIM, 1e-6)
-        factors.append(np.linalg.cholesky((1 - to_identity) * s + to_identity * level * np.eye(DIM)))
+    choices = list(itertools.product(*(np.atleast_1d(x).tolist() for x in (to_pooled, to_identity))))
+    best = max(choices, key=lambda c: held_out_density(total, *c)) if len(choices) > 1 else choices[0]
+    means, spread = shrunk(whole, *best)
+    factors = [np.linalg.cholesky(s) for s in spread]
     logdet = [2.0 * np.log(np.diag(f)).sum() for f in factors]
     return Discriminant(means, factors, float(np.log(n[1] / n[0]) + 0.5 * (logdet[0] - logdet[1])))
 

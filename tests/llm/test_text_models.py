@@ -96,6 +96,62 @@ def test_discriminant_is_the_textbook_formula(spark):
     assert model.score(x) == pytest.approx(1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500))), abs=1e-6)
 
 
+def test_held_out_density_is_what_the_rows_give(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k % 2), (rng.normal(size=quality.DIM) * (1 + k % 2) + k % 2).tolist()) for k in range(120)]
+    frame = spark.createDataFrame(rows, "label long, stats array<double>")
+    folds = {tuple(r["stats"]): r["fold"] for r in frame.selectExpr("stats", f"pmod(xxhash64(stats), {quality.FOLDS}) AS fold").collect()}
+    total = np.zeros((quality.FOLDS, 2, quality.CELLS))
+    for r in quality.moments(frame).collect():
+        total[r["fold"], r["label"], r["cell"]] = r["total"]
+    want = 0.0
+    for f in range(quality.FOLDS):
+        train = {k: np.array([x for y, x in rows if y == k and folds[tuple(x)] != f]) for k in (0, 1)}
+        pooled = sum(len(x) * np.cov(x.T, bias=True) for x in train.values()) / sum(map(len, train.values()))
+        for k, x in train.items():
+            s = 0.8 * np.cov(x.T, bias=True) + 0.2 * pooled
+            s = 0.9 * s + 0.1 * np.trace(s) / quality.DIM * np.eye(quality.DIM)
+            for d in (np.array(own) - x.mean(axis=0) for y, own in rows if y == k and folds[tuple(own)] == f):
+                want -= 0.5 * (np.linalg.slogdet(s)[1] + d @ np.linalg.solve(s, d))
+    assert quality.held_out_density(total, 0.2, 0.1) == pytest.approx(want)
+
+
+def test_whole_query_against_the_formula(spark):
+    """Scores of all documents against a plain discriminant in numpy on the same training rows."""
+    from zlib import crc32
+
+    docs, labels = (table(spark, SF, n).toPandas() for n in ("documents", "labels"))
+    x = np.array([quality.statistics((t or "").encode()) for t in docs.text])
+    known = {d: int(q) for d, q in zip(labels.doc_id, labels.quality) if q in (0, 1) and crc32(str(d).encode()) % 3 != 1}
+    model = quality.fit(quality.training_rows(quality.with_statistics(table(spark, SF, "documents")), table(spark, SF, "labels")))
+    scores = {r["doc_id"]: r["score"] for r in quality.op7_quality_classifier(spark, SF).collect()}
+    classes = [x[[known.get(d) == k for d in docs.doc_id]] for k in (0, 1)]
+    plain = [np.cov(own.T, bias=True) for own in classes]
+    pooled = sum(len(own) * s for own, s in zip(classes, plain)) / sum(map(len, classes))
+    tried = []
+    for p in quality.TO_POOLED:
+        for i in quality.TO_IDENTITY:
+            mixed = [(1 - p) * s + p * pooled for s in plain]
+            tried.append([(1 - i) * s + i * np.trace(s) / quality.DIM * np.eye(quality.DIM) for s in mixed])
+    found = [f @ f.T for f in model.factors]
+    assert any(np.allclose(found, own, atol=1e-9) for own in tried)
+    density = []
+    for k, own in enumerate(classes):
+        assert model.means[k] == pytest.approx(own.mean(axis=0))
+        d = x - own.mean(axis=0)
+        density.append(np.log(len(own)) - 0.5 * np.linalg.slogdet(found[k])[1] - 0.5 * np.einsum("ni,ij,nj->n", d, np.linalg.inv(found[k]), d))
+    want = 1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500)))
+    assert [scores[d] for d in docs.doc_id] == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_quality_columns_that_clash(spark):
+    rows = [(1, "A word.", "a", 1, 2), (2, "!!! ###", "b", 1, 2), (3, "Two words.", "c", 1, 2), (4, "??? !!!", "d", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stats string, label int, score int")
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "x"), (3, 1, "x"), (4, 0, "x"), (None, 1, "x")], "doc_id long, quality int, stats string")
+    rows = quality.training_rows(quality.with_statistics(docs), labels)
+    assert rows.columns == ["label", "stats"] and quality.score_texts(docs, quality.fit(rows)).count() == 4
+
+
 # --- licences ---
 
 
@@ -132,7 +188,7 @@ def test_base_places_against_brute_force(spark):
 
 def test_license_chains():
     scan = licenses.LicenseScanner().scan
-    mit = licenses.TEMPLATES[0][1].split()
+    mit = licenses.PASSAGES[0][1].split()
     broken = mit[:20] + ["oddly"] * 3 + mit[20:40] + mit[41:]
     got = scan(" ".join(["x"] * 10 + broken + ["y"]).encode())
     assert got["labels"] == ["mit"] and got["spans"][0]["first"] == 10 and got["spans"][0]["past"] == 10 + len(broken) and 0.9 < got["score"] < 1
@@ -143,6 +199,40 @@ def test_license_chains():
     assert scan(b"Licensed under CC BY-NC 4.0.")["labels"] == ["cc-by-nc"]
 
 
+def test_whole_licences(spark, tmp_path):
+    scanner = licenses.LicenseScanner()
+    for label, text in licenses.LICENCES:
+        got = scanner.scan(f"Copyright 2024 someone\n{text}\nint main() {{}}".encode())
+        assert label in got["labels"] and got["score"] == 1.0
+        whole = [s for s in got["spans"] if s["label"] == label and s["cover"] == 1.0 and s["past"] - s["first"] >= len(licenses.ascii_words(text))]
+        assert whole
+    words = [f"w{k}" for k in range(900)]
+    (tmp_path / "Own-1.0.txt").write_text(" ".join(words))
+    (tmp_path / "empty").write_text(" ... ")
+    own = licenses.read_templates(spark, str(tmp_path))
+    assert own == (("own-1.0", " ".join(words)),)
+    broken = words[:300] + ["x"] * 5 + words[310:700] + words[705:]
+    got = licenses.LicenseScanner(templates=licenses.TEMPLATES + own).scan(" ".join(broken).encode())
+    assert got["labels"] == ["own-1.0"] and got["score"] == pytest.approx(885 / 900)
+
+
+def test_matching_statistics_of_texts_against_brute_force():
+    """Labels and spans of random texts made of pieces of templates: coverage as a plain search over the text finds it."""
+    rng = random.Random(7)
+    scanner = licenses.LicenseScanner()
+    for _ in range(30):
+        label, words = rng.choice(licenses.PASSAGES)
+        words = words.split()
+        cut = rng.randrange(3, len(words)) if len(words) > 4 else len(words)
+        text = ["qq"] * rng.randrange(5) + words[:cut] + ["zz"] * rng.randrange(3) + (words[cut:] if rng.random() < 0.5 else [])
+        got = scanner.scan(" ".join(text).encode())
+        if "zz" not in text and len(text) >= len(words) and words == text[-len(words):]:
+            assert label in got["labels"] and got["score"] == 1.0
+        longest = max((n for i in range(len(text)) for n in range(len(text) - i, 0, -1) if any(text[i : i + n] == words[j : j + n] for j in range(len(words) - n + 1))), default=0)
+        if longest >= licenses.MIN_MATCH:
+            assert got["score"] >= longest / len(words) - 1e-12
+
+
 def test_chain_cover_against_brute_force():
     from itertools import combinations
 
