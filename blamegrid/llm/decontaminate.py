@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, discard, materialize, slices, table, texts
+from .common import ALNUM_TABLE, aside, discard, materialize, slices, table, texts
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -236,10 +236,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     """
     if action not in {"documents", "spans"}:
         raise ValueError("action is 'documents' or 'spans'")
+    docs, moved = aside(docs, "n_words", "hit_spans", "item_ids")
     schema, names = docs.schema, docs.columns
     report = scan_benchmark(docs, benchmark, n)
     if action == "documents":
-        return report.filter(F.size("hit_spans") == 0).select(names)
+        return report.filter(F.size("hit_spans") == 0).select(names).withColumnsRenamed(moved)
 
     def cut(batches):
         for part in slices(batches, "text"):
@@ -251,7 +252,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     while not report.filter(F.size("hit_spans") > 0).isEmpty():
         before, report = report, materialize(scan_benchmark(report.mapInArrow(cut, schema), benchmark, n), "scanned")
         discard(before)
-    return report.select(names)
+    return report.select(names).withColumnsRenamed(moved)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

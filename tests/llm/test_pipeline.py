@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from blamegrid.llm import mixing
@@ -64,6 +65,26 @@ def test_stages(spark, folder):
     assert pipeline.ORACLE_SQL is None
 
 
+def test_nulls_and_columns_that_clash(spark, folder):
+    """A null in each column, a very long text, and columns named like what the stages add: all stay as they are."""
+    known = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 160 AND doc_id % 8 <> 1 AND doc_id <> 30")
+    base = known.filter("doc_id = 2").first()["text"]
+    long = " ".join(known.orderBy("doc_id").limit(40).toPandas()["text"]) * 20
+    other = known.filter("doc_id = 4").first()["text"]
+    more = [(None, base + " Once more it was told so by others.", "en", "s1", 1), (900, other + " A word of the river and a stone of the house.", None, None, None), (901, long, "en", "s2", 3), (None, None, None, None, None)]
+    rows = known.unionByName(spark.createDataFrame(more, known.schema))
+    own = F.xxhash64("text")
+    names = ("lang_score", "lang_pred", "score", "stats", "n_words", "hit_spans", "item_ids", "component", "component_id", "row", "node", "size")
+    docs = rows.select("*", *(own.alias(n) for n in names))
+    for name, stage in pipeline.STAGES[:4]:
+        docs = pipeline.materialize(stage(spark, docs, folder), f"clash-{name}")
+        assert docs.columns == [*COLUMNS, *names]
+        assert docs.filter(~(F.expr(" AND ".join(f"{n} = xxhash64(text)" for n in names)))).count() == 0
+    got = docs.collect()
+    assert {901} <= {r["doc_id"] for r in got} and all(r["text"] for r in got)
+    assert pipeline.mix(spark, docs, folder).count() == len(got)
+
+
 def test_empty_documents(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").filter("false").write.parquet(str(tmp_path / f"{name}.parquet"))

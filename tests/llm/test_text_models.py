@@ -27,6 +27,36 @@ def test_held_out_language(spark):
     assert 150 < len(held) < 350 and (held.lang == held.lang_pred).mean() > 0.98
 
 
+def test_whole_language_query_against_a_plain_one(spark):
+    """The same steps without Spark: sample, a machine for each pair, family and language of every document."""
+    from itertools import combinations
+    from zlib import crc32
+
+    docs = table(spark, SF, "documents").toPandas()
+    texts = [(t or "").encode() for t in docs.text]
+    vectors = [language.trigrams(t) for t in texts]
+    train = sorted((d, v.tobytes(), lang) for d, v, lang in zip(docs.doc_id, vectors, docs.lang) if v is not None and lang and crc32(str(d).encode()) % 4 != 2)
+
+    def node(classes, class_of):
+        found = language.Node(classes)
+        for a, b in combinations(range(len(classes)), 2):
+            rows = [(np.frombuffer(v, np.float32), 1.0 if class_of(x) == classes[a] else -1.0) for _, v, x in train if class_of(x) in (classes[a], classes[b])]
+            x, y = np.stack([r[0] for r in rows]), np.array([r[1] for r in rows])
+            w = language.fit_svm(x, y)
+            found.pairs.append((a, b))
+            found.weights = np.vstack([*([] if found.weights is None else [found.weights]), w])
+            found.logistic = np.vstack([*([] if found.logistic is None else [found.logistic]), language.fit_logistic(x @ w[:-1] + w[-1], y)])
+        return found
+
+    langs = sorted({lang for *_, lang in train})
+    root = node(sorted({language.family(x) for x in langs}), language.family)
+    plain = language.Identifier(root, {f: node([x for x in langs if language.family(x) == f], lambda x: x) for f in root.classes})
+    want = dict(zip(docs.doc_id, zip(*plain.predict(texts))))
+    for r in language.op9_language_id(spark, SF).collect():  # the table is smaller than the sample's bound
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-6)
+
+
 def test_language_edges(spark):
     docs = table(spark, SF, "documents").select("doc_id", "text", "lang").limit(200)
     model = language.fit(docs)
@@ -323,6 +353,10 @@ def test_actions(spark):
     assert cut == {1: "Before. ! After", 2: "clean", 3: None}
     seam = spark.createDataFrame([(1, f"one two three {passage} four five six seven eight nine ten end")], "doc_id long, text string")
     assert decontaminate.decontaminate(seam, bench, "spans").first()["text"] == " end"
+    clash = docs.selectExpr("*", "7 AS n_words", "'own' AS item_ids")
+    for action, ids in (("documents", [2, 3]), ("spans", [1, 2, 3])):
+        got = decontaminate.decontaminate(clash, bench, action)
+        assert got.columns == clash.columns and sorted((r["doc_id"], r["n_words"], r["item_ids"]) for r in got.collect()) == [(d, 7, "own") for d in ids]
     assert decontaminate.decontaminate(docs, bench.filter("false")).count() == 3
     assert decontaminate.decontaminate(docs.filter("false"), bench).count() == 0
     with pytest.raises(ValueError):
