@@ -13,7 +13,14 @@ result as Parquet to the cluster's shared folder and reads it again.
 4. decontamination: documents that hold a benchmark window go.
 5. mix: every document's place and share in the training mix.
 
-Models are fitted on the stage's own input. ORACLE_SQL is None: SQL has no support vector machines; the
+Models are fitted on the stage's own input, texts are read whole, however long they are.
+
+Cases: a null or empty text has no letters and goes in the first stage; rows with a null lang, or without a label,
+are judged but not learnt from; a null source is a source of its own in the mix; rows with a null doc_id are judged
+like all others and go through all stages; an empty table gives an empty result; further columns stay as they are
+up to the mix, also those named like what a stage adds (lang_score, score, n_words, component).
+
+ORACLE_SQL is None: SQL has no support vector machines; the
 tests compare the stages with brute force.
 """
 
@@ -23,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blamegrid.llm import decontaminate, language, minhash, mixing, quality
-from blamegrid.llm.common import materialize, table
+from blamegrid.llm.common import aside, discard, materialize, table
 
 #: Documents whose language scores less are rejected; a guess between two families of two scores 0.25.
 MIN_LANGUAGE_SCORE = 0.3
@@ -31,17 +38,20 @@ MIN_QUALITY_SCORE = 0.5
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs, moved = aside(docs, "lang_pred", "lang_score")
     model = language.fit(language.training_rows(docs))
     named = language.identify(docs, model)
     kept = named.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE_SCORE))
-    return kept.select(docs.columns)
+    return kept.select(docs.columns).withColumnsRenamed(moved)
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs, moved = aside(docs, "score")
     stats = materialize(quality.with_statistics(docs), "stats")
     model = quality.fit(quality.training_rows(stats, table(spark, sf_dir, "labels")))
+    discard(stats)
     scored = quality.score_texts(docs, model)
-    return scored.filter(F.col("score") >= MIN_QUALITY_SCORE).select(docs.columns)
+    return scored.filter(F.col("score") >= MIN_QUALITY_SCORE).select(docs.columns).withColumnsRenamed(moved)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
