@@ -14,7 +14,8 @@ SAMPLE_CHAINS at most, so what the driver receives is bounded whatever the lengt
 Cases: a null or empty page has no blocks and the text ""; unclosed tags, a page that breaks off inside a
 tag or an entity, stray end tags and nesting of any depth are read as browsers do, roughly; script, style
 and other elements that are not text never become blocks, but elements whose names only begin like theirs
-(svg-icon) are markup; a self-closing svg is empty; the text of math is text; repeated rows are extracted one by one; an
+(svg-icon) are markup; a self-closing svg is empty; the text of math is text; a quote that doesn't begin a value is a
+character of its tag like others; hidden elements, noscript and buttons are blocks to be told from the text; repeated rows are extracted one by one; an
 empty table gives an empty result; other columns stay out.
 """
 
@@ -36,24 +37,27 @@ SAMPLE_PAGES, SAMPLE_CHAINS = 300, 600
 CHAIN = 48  # longer pages are cut into chains of so many blocks, for training only
 L2, STEPS = 0.02, 150
 
+#: What follows a tag's name. Quotes hold a value only after an equals sign, elsewhere they are characters like others.
+_REST = r"(?>(?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|=|[^=>]+)*)"
 _TOKEN = re.compile(
-    r"<svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^\"'>])*/>"
-    r"|<(?P<raw>script|style|template|title|textarea|select|iframe|svg|canvas|object)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^\"'>])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<svg(?=[\s/>]){_REST}(?<=/)>"
+    rf"|<(?P<raw>script|style|template|title|textarea|select|iframe|svg|canvas|object)(?=[\s/>]){_REST}(?:>|\Z).*?(?:</(?P=raw)\s*>|\Z)"
     r"|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\"'>])*)(?:>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>{_REST})(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label|style|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NAMED = re.compile(r"(?<![\w-])(class|id|role|aria-label|style|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 #: Fixed values of HTML: elements that begin and end a block, and those without content.
 BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
+    "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav noscript ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SECTIONS = frozenset("article main nav aside header footer form section dialog head noscript".split())
+SECTIONS = frozenset("article main nav aside header footer form section dialog head noscript button".split())
 
 #: Words in class, id and role that hint at what a part of a page is for.
 HINTS = {
@@ -66,7 +70,7 @@ HINTS = {
     "header": "header masthead logo banner topbar brand",
     "form": "form search login register contact",
     "share": "share sharing social follow tags",
-    "hidden": "hidden none",
+    "hidden": "hidden invisible",
     "content": "article content post entry main story body text prose",
 }
 HINT_OF = {word: kind for kind, words in HINTS.items() for word in words.split()}
@@ -85,7 +89,11 @@ def _hints(rest: str) -> frozenset:
         return frozenset()
     found = set()
     for m in _NAMED.finditer(rest):
-        value = m[1] or m[2] or m[3] or m[0]
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "style":
+            if name == "hidden" or _UNSEEN.search(value):
+                found.add("hidden")
+            continue
         found.update(HINT_OF[w] for w in _WORD.findall(value.lower()) if w in HINT_OF)
     return frozenset(found)
 
@@ -123,7 +131,7 @@ def leaf_blocks(page: str) -> list[Block]:
                         del path[k:]
                         break
             else:
-                ends = {"p"} if tag not in ("li", "dd", "dt", "td", "th", "tr") else {"p", tag}
+                ends = {"p", tag} if tag in ("li", "dd", "dt", "td", "th", "tr") else {"p"} if tag != "button" else ()
                 if path and path[-1][0] in ends:
                     path.pop()
                     if path and path[-1][0] == tag and tag in ends:
@@ -179,7 +187,7 @@ def markup_labels(blocks: list[Block]) -> list[int] | None:
     for b in blocks:
         tags = [t for t, _ in b.path]
         inner = b.path[max(k for k, t in enumerate(tags) if t in ("article", "main")) :] if {"article", "main"} & {*tags} else ()
-        bad = any(t in ("nav", "aside", "footer", "form", "dialog") or h - {"content", "header"} for t, h in inner)
+        bad = any(t in ("nav", "aside", "footer", "form", "dialog", "noscript", "button") or h - {"content", "header"} for t, h in inner)
         labels.append(int(bool(inner) and not bad))
     return labels
 
@@ -205,6 +213,7 @@ _PARTS = {
     "nav": ("<nav><ul>{}</ul></nav>", ("<li><a href='/a'>Home</a></li>", "<li><a href='/b'>News</a></li>", "<li><a href='/c'>Sport and games</a></li>")),
     "header": ("<header class='masthead'>{}</header>", ("<h1>Daily Post</h1>", "<div class='logo'>The Post</div>", "<p>All the news of the valley, every day.</p>")),
     "top": ("<header>{}</header>", ("<h1>Valley News</h1>", "<h2>Since 1890</h2>", "<p>Read by ten thousand people each day.</p>")),
+    "name": ("<header>{}</header>", ("<h1>The Valley</h1>",)),
     "ad": ("<div class='ad'>{}</div>", ("<p>Buy two shoes and pay for one, this week only.</p>", "<span>Cheap flights.</span>")),
     "promo": ("<section class='sponsored promo'>{}</section>", ("<h3>From our partners</h3>", "<p>How one trick made this woman rich in a week.</p>")),
     "aside": ("<aside class='sidebar'>{}</aside>", ("<h3>Most read</h3>", "<ul><li><a href='/x'>Storm on the way</a></li></ul>", "<p>The valley has seen many storms, and this one is no worse than others.</p>")),
@@ -212,9 +221,19 @@ _PARTS = {
     "form": ("<form action='/s'>{}</form>", ("<label>Your address</label>", "<p>Send me the letter every week.</p>")),
     "comments": ("<section id='comments' class='comments'>{}</section>", ("<h3>3 comments</h3>", "<div class='comment'><p>I have lived here all my life and I do not want this bridge.</p></div>", "<div class='comment'><p>Well said.</p></div>")),
     "share": ("<div class='share social'>{}</div>", ("<a href='/t'>Share this</a>",)),
+    "menu": ("<div id='menu'>{}</div>", ("<a href='/a'>Home</a> <a href='/d'>Valley</a>", "<ul><li><a href='/e'>Letters to the editor</a></li></ul>")),
+    "noscript": ("<noscript>{}</noscript>", ("<p>Turn on scripts in your browser to see this page in full.</p>", "This page needs a newer browser.")),
+    "hidden": ("<div style='display: none'>{}</div>", ("<p>The list is being loaded, please wait for it.</p>", "<div hidden>Nothing was found in this place.</div>")),
+    "dialog": ("<dialog open>{}</dialog>", ("<p>Before you go: read all of it for a month at half the price.</p>", "<div>No, thanks</div>")),
+    "button": ("<button type='button'>{}</button>", ("Show more of it",)),
+    "side": ("<div class='sidebar'>{}</div>", ("<a href='/x'>Storm on the way</a><br><a href='/y'>Frost</a>", "<p>The weather of the week, every morning.</p>")),
+    "foot": ("<div class='site-footer'>{}</div>", ("<p>All rights reserved.</p>", "<div>Printed in the valley on paper from the valley.</div>")),
     "footer": ("<footer>{}</footer>", ("<p>&copy; Daily Post &middot; all rights reserved.</p>", "<p>The editor answers letters on Mondays.</p>")),
 }
-_AROUND = ("<article>{}</article>", "<main>{}</main>", "<main><article class='post'>{}</article></main>", "<div class='content'>{}</div>", "<div id='story' class='entry-content'>{}</div>", "<section class='article'>{}</section>")
+#: Parts that stand alone before and after the content of short pages.
+_BEFORE = ("nav", "header", "notice", "name", "ad", "top", "menu", "name", "promo", "side", "top", "noscript", "hidden", "aside", "name", "nav")
+_AFTER = ("foot", "comments", "footer", "aside", "form", "share", "side", "dialog", "hidden", "button", "ad", "foot", "promo")
+_AROUND = ("<article>{}</article>", "<main>{}</main>", "<main><article class='post'>{}</article></main>", "<div class='content'>{}</div>", "<div id='story' class='entry-content'>{}</div>", "<section class='article'>{}</section>", "<div>{}</div>")
 
 
 def labelled_pages() -> list[tuple[str, list[int]]]:
@@ -222,16 +241,19 @@ def labelled_pages() -> list[tuple[str, list[int]]]:
     said = {*_SAID, *(b.text for more in _MORE for b in leaf_blocks(more))}
     parts = {k: around.format("".join(rows)) for k, (around, rows) in _PARTS.items()}
     pages = []
-    inside = ("", "ad", "aside", "comments", "form", "share", "footer", "notice", "promo", "nav")
+    inside = ("", "ad", "aside", "comments", "form", "share", "footer", "notice", "promo", "nav", "noscript", "hidden", "dialog", "button")
     for n, (around, inner, head) in enumerate(itertools.product(_AROUND, inside, (0, 1, 2))):
         title = f"<h1>{_SAID[3]}</h1>"
-        body = (f"<header>{title}</header>" if head else title) + f"<p>{_SAID[0]}<p>{_SAID[1]}</p>" + parts.get(inner, "")
+        body = (f"<header>{title}</header>" if head and around != "<div>{}</div>" else title) + f"<p>{_SAID[0]}<p>{_SAID[1]}</p>" + parts.get(inner, "")
         body += f"<h2>{_SAID[4]}</h2><p>{_SAID[2]}</p><blockquote>{_SAID[5]}</blockquote>" + _MORE[n % len(_MORE)] + _MORE[n // 7 % len(_MORE)]
-        page = parts["nav"] + parts["header"] + parts["notice"] + parts["ad"] + around.format(body) + parts["comments"] + parts["aside"] + parts["form"] + parts["footer"]
+        page = parts["noscript"] + parts["nav"] + parts["header"] + parts["notice"] + parts["ad"] + around.format(body) + parts["comments"] + parts["aside"] + parts["form"] + parts["footer"] + parts["hidden"]
         if head == 2:  # next to nothing: a line, a part of another kind, a line
             body = _SAID[n % len(_SAID)] + parts.get(inner, "") + ("<p>" + _SAID[n // 2 % len(_SAID)] + "</p>") * (n % 3)
-        if head:
-            page = parts["top"] + parts["nav"] + parts["promo"] + parts["aside"] + around.format(body) + parts["share"] + parts["comments"] + parts["footer"]
+        if head == 1:
+            page = parts["top"] + parts["menu"] + parts["promo"] + parts["aside"] + around.format(body) + parts["button"] + parts["share"] + parts["comments"] + parts["foot"] + parts["dialog"]
+        if head == 2:
+            lead, tail = _BEFORE[n // 3 % len(_BEFORE)], _AFTER[n // 3 % len(_AFTER)]
+            page = parts[lead] + around.format(body) + parts[tail]
         pages.append((page, [int(b.text in said) for b in leaf_blocks(page)]))
     return pages
 
