@@ -9,8 +9,7 @@ A dialogue comes in parts of ``part_turns`` turn numbers. Where more rows than t
 (turns are null or repeat, or there is no conv_id), these are cut by position into parts of ``part_turns``
 rows, and the parts after them are numbered on. So no part has more rows than that, a conversation of any
 length is never in one row, and the parts of one rendering, in order, make up the whole text. OP2_SQL has
-parts by turn numbers only; the two agree where none has more rows. Offsets count code points from the
-start of the part. Everything is built in: one aggregation per part, the list of participants per
+the same parts. Offsets count code points from the start of the part. Everything is built in: one aggregation per part, the list of participants per
 conversation from a distinct; positions come from running counts inside sorted ranges (equal rows are one
 row with a count) and the sums of ranges.
 
@@ -139,9 +138,16 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH rows AS (
-  SELECT conv_id, CAST(coalesce(floor(turn / 512.0), 0) AS BIGINT) AS part, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said
+WITH numbered AS (
+  SELECT conv_id, CAST(coalesce(floor(turn / 512.0), 0) AS BIGINT) AS stretch, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said,
+         row_number() OVER (PARTITION BY conv_id, stretch ORDER BY turn NULLS FIRST, speaker, said) - 1 AS nr
   FROM conversations),
+stretches AS (
+  SELECT conv_id, stretch, coalesce(sum(ceil(count(*) / 512.0) - 1) OVER (PARTITION BY conv_id ORDER BY stretch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift
+  FROM numbered GROUP BY conv_id, stretch),
+rows AS (
+  SELECT n.conv_id, CAST(n.stretch + s.shift + n.nr // 512 AS BIGINT) AS part, turn, speaker, said
+  FROM numbered n JOIN stretches s ON n.conv_id IS NOT DISTINCT FROM s.conv_id AND n.stretch = s.stretch),
 viewers AS (SELECT DISTINCT conv_id, speaker AS participant FROM rows WHERE speaker <> 'system'),
 pieces AS (
   SELECT r.*, v.participant, r.speaker = v.participant AS trained,

@@ -61,6 +61,30 @@ def test_labelled_pages_are_learnt(model):
         assert model.decode(model.scores(html.leaf_blocks(page), {})) == labels
 
 
+def test_pages_of_other_kinds(spark, model):
+    said = "<h1>Bees return</h1><p>Keepers on the coast count more hives than in any year since the cold winter.</p>"
+    more = "<p>Most of them thank the rain.</p><ul><li>Clover</li><li>Heather</li></ul>"
+    main = "Bees return\n\nKeepers on the coast count more hives than in any year since the cold winter.\n\nMost of them thank the rain.\n\nClover\n\nHeather"
+    parts = [
+        "<noscript>Scripts are off.</noscript>", "<div style='color:red;display:none'><p>Not to be seen by anyone.</p></div>", "<p hidden>Neither is this line.</p>",
+        "<dialog open><p>Will you join us today?</p></dialog>", "<button>More</button>", "<div class='related-links'><a href=x>Ten kinds of honey</a></div>", "<form>Go<input></form>",
+    ]
+    pages = [f"<body><article>{said}{part}{more}</article></body>" for part in parts] + [f"{part}<div id=content>{said}{more}</div>" for part in parts[:4]]
+    pages += [
+        f"<div id=menu><a href=1>Start</a> <a href=2>Us</a></div><div>{said}{more}</div><div class=page-footer><p>Copyright 2020 by us.</p></div>",
+        f"<table><tr><td class=sidebar><a href=1>Start</a><br><a href=2>News</a></td><td>{said}{more}</td></tr></table>",
+        f"<article lang=en title=it's data-n=5\" >{said}{more}</article>", f"<article>{said}{more}</article><script a='>' b=\"</script>\">x<y</script>", f"<main>{said}<svg a='/>' b>no</svg>{more}</main>",
+        f"<article style='border:none;overflow:hidden'>{said}{more}</article>",
+    ]
+    got = html.extract(spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "page_id long, url string, html string"), model).collect()
+    assert {r["page_id"]: r["text"] for r in got} == dict.fromkeys(range(len(pages)), main)
+
+
+def test_tags_take_linear_time():
+    for page in ('<svg a="b"' * 20_000, "<svg " + 'a="b" ' * 20_000 + ">x", "<p " + "a='b " * 20_000, "<script " + "='" * 20_000, "<" * 100_000, "<!--" * 20_000):
+        html.leaf_blocks(page)
+
+
 def test_pages_of_the_table(spark, model):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = html.extract(pages, model).toPandas().set_index("page_id")
@@ -188,6 +212,18 @@ def test_parts_are_bounded_by_rows(spark, monkeypatch):
         assert sum(r["n_turns"] for r in parts) == len(own) and sum(r["n_trained"] for r in parts) == sum(s == viewer for *_, s, _ in own)
 
 
+def test_long_conversations_against_sql(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(c, None if t is None else t + shift, rng.choice(["ann", "bob", "system", None]), rng.choice(["x", None, "é", "long " * 9]))
+            for c, shift, n in ((None, 0, 1300), (1, 0, 700), (1, 1024, 1100), (2, 500, 40)) for t in (rng.choice([None, 0, 3, 30]) for _ in range(n))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = chat.op2_chat_rotation(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({chat.OP2_SQL})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and max(r[3] for r in want) == 512
+
+
 # --- mixing ---
 
 
