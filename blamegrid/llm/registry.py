@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, html, language, licenses, minhash, mixing, quality, urls
+from . import chat, decontaminate, embeddings, html, language, licenses, merkle, minhash, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language_id": language.op9_language_id,
     "op10_embedding_dedup": embeddings.op10_embedding_dedup,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 #: Queries without an entry are tested against brute force in tests/llm.
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mix_sources": mixing.OP4_SQL,
     "op5_url_filter": urls.OP5_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }
