@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, html, language, licenses, merkle, minhash, mixing, quality, urls
+from . import chat, decontaminate, embeddings, html, language, licenses, merkle, minhash, mixing, quality, repair, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": language.op9_language_id,
     "op10_embedding_dedup": embeddings.op10_embedding_dedup,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
 #: Queries without an entry are tested against brute force in tests/llm.
@@ -29,4 +30,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": urls.OP5_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_conversation_repair": repair.OP13_SQL,
 }
