@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, html, language, licenses, merkle, minhash, mixing, quality, repair, urls
+from . import chat, decontaminate, embeddings, html, language, licenses, merkle, minhash, mixing, quality, repair, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language_id": language.op9_language_id,
     "op10_embedding_dedup": embeddings.op10_embedding_dedup,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_conversation_repair": repair.op13_conversation_repair,
 }
