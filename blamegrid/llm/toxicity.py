@@ -6,8 +6,8 @@ its hashed character trigrams and fivegrams, the word's ends included. Two gated
 backwards, attention weighs their states into one vector, a linear layer turns that into log odds. A text's score is that
 of its most toxic window, and all windows of all texts are scored, a long text piece by piece.
 
-Labels tell texts, not windows: training (in numpy, by Adam on gradients worked out by hand) takes each text's window that now scores highest,
-and for clean texts a random one and one that repeats a word of it all along, from a bounded sample: PER_LABEL labelled rows of each label, those least by a hash
+Labels tell texts, not windows: training (in numpy, by Adam on gradients worked out by hand) draws windows of toxic texts by their present
+odds, and takes of a clean text the most toxic one, random ones, and one that repeats a word of it all along. It sees a bounded sample: PER_LABEL labelled rows of each label, those least by a hash
 of id and text, with WINDOWS_PER_TEXT windows each, spread over the whole text. The vocabulary is of words in MIN_TEXTS texts of
 the sample or more; what is rarer is known by its characters.
 
@@ -19,6 +19,7 @@ result; other columns stay as they are.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,9 +38,13 @@ VOCABULARY, MIN_TEXTS = 20_000, 3
 WORD_DIM, CHAR_DIM, CHAR_BITS = 12, 12, 13
 HIDDEN, ATTENTION = 16, 16
 EPOCHS, BATCH, RATE, DECAY = 7, 192, 0.012, 0.02
+PICKS = 2  # windows of a text in an epoch
+DROPPED = (0.1, 0.4)  # of words' own vectors and of their characters', in training
+STEPS = 160  # at least: small samples are gone through more often
 CLEAN_WEIGHT = 0.6  # of the loss, whatever the labels' numbers
 BLOCK = 1 << 20  # bytes of text whose words are numbered together
 CHUNK = 2048  # windows that go through the network together
+_GAP = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -175,14 +180,16 @@ class Network:
             d_gates.append(summed(windows.T.ravel() + 1, d_in.reshape(-1, 3 * HIDDEN), n_words + 1)[1:])
         return grad, d_gates
 
-    def gradients(self, words: list[bytes], windows: np.ndarray, labels: np.ndarray, importance: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Weighted mean of the logistic loss of windows over ``words``, and the gradients of all parameters."""
+    def gradients(self, words: list[bytes], windows: np.ndarray, labels: np.ndarray, importance: np.ndarray, kept: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Weighted sum of the logistic loss of windows over ``words``, and the gradients of all parameters; ``kept`` scales the words' inputs."""
         x, ids, codes, first = self.inputs(words)
+        x = x if kept is None else x * kept
         odds, memory = self.forward(self.projected(x), windows, keep=True)
         chance = _sigmoid(np.clip(odds, -30, 30))
         loss = float((importance * (np.logaddexp(0, odds) - labels * odds)).sum())
         grad, d_gates = self.backward((importance * (chance - labels)).astype(np.float32), windows, memory, len(words))
         d_x = sum(d @ self.p[f"w{s}"].T for s, d in zip("fb", d_gates))
+        d_x = d_x if kept is None else d_x * kept
         for s, d in zip("fb", d_gates):
             grad[f"w{s}"], grad[f"c{s}"] = x.T @ d, d.sum(axis=0)
         grad["word"] = summed(ids, d_x[:, :WORD_DIM], len(self.p["word"]))
@@ -200,22 +207,20 @@ class Network:
         places: list[tuple[int, int, np.ndarray]] = []
         size = 0
         for nr, document in enumerate(documents):
-            start, carried, at = 0, [], 0
+            start, carried, done, at = 0, [], 0, 0  # done: windows at the front of ``carried`` that are scored already
             while True:
-                stop = min(at + BLOCK, len(document))
-                while 0 < stop < len(document) and ALNUM_TABLE[document[stop]] != 32 and stop - at < 2 * BLOCK:
-                    stop += 1
+                gap = _GAP.search(document, at + BLOCK)
+                stop = gap.start() if gap else len(document)
                 found = carried + document[at:stop].translate(ALNUM_TABLE).split()
                 size += stop - at
                 at = stop
                 last = at >= len(document)
                 numbers = np.fromiter((words.setdefault(w, len(words)) for w in found), np.int64, len(found))
                 firsts = window_starts(len(found), last)
-                if len(firsts):
-                    places += [(nr, start + f, numbers[f : f + WINDOW]) for f in firsts]
-                    carried, start = found[firsts[-1] + STRIDE :], start + firsts[-1] + STRIDE
-                else:
-                    carried = found
+                places += [(nr, start + f, numbers[f : f + WINDOW]) for f in firsts[done:]]
+                if firsts:
+                    found, start, done = found[firsts[-1] :], start + firsts[-1], 1
+                carried = found
                 if size >= BLOCK:
                     yield from self._score(words, places)
                     words, places, size = {}, [], 0
@@ -283,25 +288,31 @@ def train(samples: list[tuple[int, list[bytes]]], epochs: int = EPOCHS, seed: in
     rng = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     step = 0
+    epochs = max(epochs, -(-STEPS * BATCH // (len(labels) * (PICKS + 1))))
+    owner = np.repeat(np.arange(len(labels)), sizes)
+    clean = np.flatnonzero(labels == 0)
     for epoch in range(epochs):
-        top = first + rng.integers(0, sizes)
-        if epoch:
+        picks = [first + rng.integers(0, sizes) for _ in range(PICKS)]
+        if epoch >= epochs // 4:
             gates = network.projected(network.inputs(words)[0])
             odds = np.concatenate([network.forward(gates, windows[k : k + CHUNK]) for k in range(0, len(windows), CHUNK)])
-            top = np.array([f + odds[f : f + n].argmax() for f, n in zip(first, sizes)])
-        # a toxic text's best window is toxic; of the others the best and a random one aren't, nor one of their words over and over
-        clean = np.flatnonzero(labels == 0)
-        other = windows[first[clean] + rng.integers(0, sizes[clean])]
+            # a toxic text's windows are drawn by their odds; of a clean one the most toxic comes and the others are as they are
+            for k in range(PICKS):
+                drawn = np.lexsort((odds + rng.gumbel(size=len(odds)), owner))[first + sizes - 1]
+                picks[k] = np.where(labels == 1, drawn, picks[k])
+            picks[0] = np.where(labels == 0, np.lexsort((odds, owner))[first + sizes - 1], picks[0])
+        other = windows[picks[1][clean]]
         said = other[np.arange(len(clean)), rng.integers(0, WINDOW, len(clean)) % np.maximum((other >= 0).sum(axis=1), 1)]
-        chosen = np.concatenate([windows[top], other, np.repeat(said[:, None], WINDOW, axis=1)])
-        of = np.concatenate([np.arange(len(labels)), clean, clean])
-        weight = np.where(labels[of] == 1, share[1.0], share[0.0] / 3)
+        chosen = np.concatenate([*(windows[p] for p in picks), np.repeat(said[:, None], WINDOW, axis=1)])
+        of = np.concatenate([*(np.arange(len(labels)) for _ in picks), clean])
+        weight = np.where(labels[of] == 1, share[1.0] / PICKS, share[0.0] / (PICKS + 1))
         order = rng.permutation(len(chosen))
         for low in range(0, len(order), BATCH):
             own = order[low : low + BATCH]
             numbers, local = np.unique(chosen[own], return_inverse=True)
             beyond = int(numbers[0] == -1)
-            loss, grad = network.gradients([words[k] for k in numbers[beyond:]], local.reshape(len(own), WINDOW) - beyond, labels[of[own]], weight[own] / weight[own].sum())
+            drop = np.repeat(rng.random((len(numbers) - beyond, 2)) >= DROPPED, (WORD_DIM, CHAR_DIM), axis=1) / np.repeat(1 - np.array(DROPPED), (WORD_DIM, CHAR_DIM))
+            loss, grad = network.gradients([words[k] for k in numbers[beyond:]], local.reshape(len(own), WINDOW) - beyond, labels[of[own]], weight[own] / weight[own].sum(), drop.astype(np.float32))
             step += 1
             rate = RATE * min(1.0, 2.0 * (1 - epoch / epochs)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, g in grad.items():
