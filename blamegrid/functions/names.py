@@ -41,9 +41,3 @@ def canonical_key(key: Column) -> Column:
 def trace_alias(indicator: Column, channel: Column) -> Column:
     """Trace channels name the front end's service in two ways."""
     return F.when(channel.startswith("trace"), F.regexp_replace(indicator, "^frontendservice_", "frontend_")).otherwise(indicator)
-
-
-def metadata_keys(metadata: Column) -> Column:
-    """Canonical forms of all keys of a JSON text, at any depth."""
-    keys = F.regexp_extract_all(metadata, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), 1)
-    return F.transform(keys, canonical_key)

@@ -210,13 +210,14 @@ def weight_table(spark, fits: Sequence[dict], stats: DataFrame, names: Sequence[
 def predict(vectors: DataFrame, folds: DataFrame, weights: DataFrame) -> DataFrame:
     """(case_id, fold, service, score, rank): each case is scored by the model of its own fold.
 
-    Cases whose fold has no model are missing; ``unscored`` names them.
+    A case without a fold, or whose fold has no model, raises; ``unscored`` names the latter.
     """
     models = weights.groupBy("fold").agg(F.sort_array(F.collect_list(F.struct("ix", "weight", "mean", "scale"))).alias("model"))
     terms = F.zip_with("features", "model", lambda x, m: (x - m["mean"]) / m["scale"] * m["weight"])
     score = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
-    rows = vectors.join(folds.select("case_id", "fold"), "case_id").join(models, "fold")
-    return ranked(rows.select("case_id", "fold", "service", score.alias("score")))
+    rows = vectors.join(folds.select("case_id", "fold"), "case_id", "left").join(models, "fold", "left")
+    none = F.raise_error(F.concat(F.lit("no model for case "), F.col("case_id").cast("string"))).cast("double")
+    return ranked(rows.select("case_id", "fold", "service", F.when(F.col("model").isNull(), none).otherwise(score).alias("score")))
 
 
 def unscored(folds: DataFrame, weights: DataFrame) -> DataFrame:

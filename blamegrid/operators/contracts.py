@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.grid import FEATURE_NAMES, finite
-from ..functions.names import FORBIDDEN_KEYS, metadata_keys
+from ..functions.names import FORBIDDEN_KEYS, canonical_key
+from ..sources.scratch import materialize
+
+
+#: White space in Unicode's sense, as the inside of a character class.
+SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def not_clean(text: Column) -> Column:
-    """True for a string that is missing, empty or not trimmed."""
-    return text.isNull() | (text == "") | (text != F.regexp_replace(text, r"^\s+|\s+$", ""))
+    """True for a string that is missing, empty or not trimmed of white space of any kind."""
+    return text.isNull() | (text == "") | text.rlike(f"^[{SPACES}]|[{SPACES}]\\z")
 
 
 def _told(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -55,11 +60,36 @@ def label_violations(cases: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select("case_id", rule.alias("rule")).filter("rule IS NOT NULL").unionByName(repeated_ids(labels, "repeated label"))
 
 
+MALFORMED = "malformed json"
+
+
 def firewall_violations(cases: DataFrame, metadata: str = "metadata", forbidden: Sequence[str] = FORBIDDEN_KEYS) -> DataFrame:
-    """(case_id, key): keys of the JSON ``metadata``, at any depth, that would give a label away."""
-    keys = F.array_distinct(metadata_keys(F.coalesce(F.col(metadata), F.lit(""))))
-    bad = F.array_intersect(keys, F.array(*(F.lit(k) for k in forbidden)))
-    return cases.select("case_id", F.explode(bad).alias("key"))
+    """(case_id, key): keys of ``metadata``, at any depth, that would give a label away; each once.
+
+    ``metadata`` is JSON text, a map, a struct or an array of such. It is walked as a variant, level by level: a level's
+    objects and arrays are taken apart, forbidden keys are noted, and what holds more goes on to the next level; so keys are
+    compared as they are meant, escapes decoded. Text that is no JSON, or names a key twice in one object, is refused as MALFORMED;
+    null has no keys.
+    """
+    kind = cases.schema[metadata].dataType
+    text = isinstance(kind, T.StringType)
+    value = F.try_parse_json(F.col(metadata)) if text else F.col(metadata) if isinstance(kind, T.VariantType) else F.to_variant_object(F.col(metadata))
+    level = cases.select("case_id", F.col(metadata).isNotNull().alias("there"), value.alias("v"))
+    found = level.filter(F.col("there") & F.col("v").isNull()).select("case_id", F.lit(MALFORMED).alias("key"))
+    level = level.filter(holds_more(F.col("v"))).select("case_id", "v")
+    while not level.isEmpty():
+        parts = level.lateralJoin(cases.sparkSession.tvf.variant_explode(F.col("v").outer())).select("case_id", canonical_key(F.col("key")).alias("key"), "value")
+        told = F.when(F.col("key").isin(*forbidden), F.col("key"))
+        parts = materialize(parts.select("case_id", told.alias("key"), F.when(holds_more(F.col("value")), F.col("value")).alias("v")).filter("key IS NOT NULL OR v IS NOT NULL"), "keys")
+        found = found.unionByName(parts.filter("key IS NOT NULL").select("case_id", "key"))
+        level = parts.filter("v IS NOT NULL").select("case_id", "v")
+    return found.distinct()
+
+
+def holds_more(value: Column) -> Column:
+    """Is a variant an object or an array?"""
+    kind = F.schema_of_variant(value)
+    return F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
 
 
 def schema_firewall(schema: T.DataType, forbidden: Sequence[str] = FORBIDDEN_KEYS, path: str = "") -> list[str]:

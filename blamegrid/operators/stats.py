@@ -7,17 +7,29 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
+from ..sources.scratch import discard, materialize
 from .positions import sums_before
 
 SLICE, BROADCAST_CASES = 4096, 200_000
 
 
-def paired_deltas(left: DataFrame, right: DataFrame, metric: str = "Avg@5") -> DataFrame:
-    """(case_id, fault, delta) of two tables of case metrics; cases on one side have a null delta."""
-    sides = [d.select("case_id", F.col("fault").alias(f"fault_{s}"), F.col(f"`{metric}`").alias(s)) for d, s in ((left, "l"), (right, "r"))]
+def paired_deltas(left: DataFrame, right: DataFrame, metric: str = "Avg@5", stratum: int | None = None) -> DataFrame:
+    """(case_id, fault, delta) of two tables of case metrics; a case on one side alone, or with two faults, raises.
+
+    With ``stratum``, so does a fault that hasn't exactly that many cases.
+    """
+    sides = [d.select("case_id", F.col("fault").alias(f"fault_{s}"), F.col(f"`{metric}`").alias(s), F.lit(True).alias(f"has_{s}")) for d, s in ((left, "l"), (right, "r"))]
     both = sides[0].join(sides[1], "case_id", "full_outer")
-    return both.select("case_id", F.coalesce("fault_l", "fault_r").alias("fault"), (F.col("l") - F.col("r")).alias("delta"))
+    told = lambda why: F.raise_error(F.concat(F.lit(why), F.coalesce(F.col("case_id").cast("string"), F.lit("null")))).cast("double")
+    alone = F.col("has_l").isNull() | F.col("has_r").isNull()
+    delta = F.when(alone, told("unpaired case ")).when(~F.col("fault_l").eqNullSafe(F.col("fault_r")), told("two faults for case ")).otherwise(F.col("l") - F.col("r"))
+    found = both.select("case_id", F.col("fault_l").alias("fault"), delta.alias("delta"))
+    if stratum is None:
+        return found
+    sizes = found.groupBy("fault").agg(F.count(F.lit(1)).alias("size")).select(F.col("fault").alias("of"), "size")
+    wrong = F.raise_error(F.concat(F.lit("unequal strata: "), F.coalesce(F.col("fault"), F.lit("null")), F.lit(" has "), F.col("size").cast("string"))).cast("double")
+    met = found.join(sizes, F.col("fault").eqNullSafe(F.col("of")))
+    return met.select("case_id", "fault", F.when(F.col("size") != stratum, wrong).otherwise(F.col("delta")).alias("delta"))
 
 
 def mean_deltas(deltas: DataFrame) -> DataFrame:
@@ -35,7 +47,9 @@ def bootstrap_ci(deltas: DataFrame, resamples: int = 10_000, seed: int = 7) -> D
     are summed by resample before they are shuffled: no task holds a fault's cases.
     """
     cases = materialize(deltas.filter("delta IS NOT NULL").select("fault", "case_id", "delta"), "deltas")
-    numbered = materialize(sums_before(cases, ["fault"], ["case_id", "delta"], F.lit(1), "place"), "numbered").withColumnRenamed("fault", "of")
+    placed = sums_before(cases, ["fault"], ["case_id", "delta"], F.lit(1), "place")
+    numbered = materialize(placed, "numbered").withColumnRenamed("fault", "of")
+    discard(placed)
     sizes = cases.groupBy("fault").agg(F.count(F.lit(1)).alias("size"))
     slices = sizes.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn(
         "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(SLICE).cast("long")))
