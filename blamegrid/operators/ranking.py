@@ -62,10 +62,13 @@ def root_metrics(scores: DataFrame, labels: DataFrame, ks: Sequence[int] = (1, 3
 
 def metric_groups(cases: DataFrame, by: Sequence[str] = ("fault", "root", "fold")) -> DataFrame:
     """Averages over all cases and by each column of ``by``, in one pass over grouping sets; no cases are an error."""
-    view = cases.select(*by, *METRICS)
+    view = cases.select(*by, *METRICS, F.lit(1).alias("real"))
+    # a row that counts for nothing, so that there is an overall group to see that there are no cases
+    blank = cases.sparkSession.range(1).select(*(F.lit(None).cast(view.schema[c].dataType).alias(c) for c in (*by, *METRICS)), F.lit(0).alias("real"))
+    view = view.unionByName(blank)
     means = [F.avg(F.col(f"`{m}`")).alias(m) for m in METRICS]
     sets = [[], *([c] for c in by)]
-    grouped = view.groupingSets([[F.col(c) for c in s] for s in sets], *by).agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), *means)
+    grouped = view.groupingSets([[F.col(c) for c in s] for s in sets], *by).agg(F.grouping_id().alias("gid"), F.sum("real").alias("n"), *means)
     names = {(1 << len(by)) - 1: "overall"} | {((1 << len(by)) - 1) ^ (1 << (len(by) - 1 - k)): c for k, c in enumerate(by)}
     kind, value = F.lit(None).cast("string"), F.lit("all")
     for gid, name in names.items():
@@ -73,7 +76,8 @@ def metric_groups(cases: DataFrame, by: Sequence[str] = ("fault", "root", "fold"
         if name != "overall":
             value = F.when(F.col("gid") == gid, F.col(name).cast("string")).otherwise(value)
     n = F.when(F.col("n") == 0, F.raise_error(F.lit("no cases to average")).cast("long")).otherwise(F.col("n")).alias("n")
-    return grouped.select(kind.alias("grouping"), value.alias("value"), n, *(F.col(f"`{m}`") for m in METRICS))
+    told = grouped.filter((F.col("n") > 0) | (F.col("gid") == (1 << len(by)) - 1))
+    return told.select(kind.alias("grouping"), value.alias("value"), n, *(F.col(f"`{m}`") for m in METRICS))
 
 
 def prediction_gaps(candidates: DataFrame, ranking: DataFrame) -> DataFrame:

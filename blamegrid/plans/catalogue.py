@@ -511,7 +511,7 @@ def scaler_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def loss_gradient_at_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fit's own sums at zero weights over all cases, where the closed form is known: all candidates are equally likely."""
-    events = condlogit.event_table(_vectors(spark, sf_dir), *[fx.event_labels(spark, sf_dir)] * 2)
+    events = condlogit.event_table(materialize(_vectors(spark, sf_dir), "vectors"), *[fx.event_labels(spark, sf_dir)] * 2)
     flat = {-1: np.zeros(len(FEATURE_NAMES))}  # a fold that no case is of
     loss, gradient, _ = condlogit.evaluate(events, flat, {-1: np.ones(len(FEATURE_NAMES))}, 1.0)[-1]
     found = spark.createDataFrame([(k, float(g), loss) for k, g in enumerate(gradient)], "ix int, gradient double, loss double")

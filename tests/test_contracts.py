@@ -44,6 +44,26 @@ def test_firewall_at_any_depth(spark):
     assert contracts.schema_firewall(schema) == ["ok.Fault_Label", "target"]
 
 
+def test_firewall_reads_keys_as_they_are_meant(spark):
+    texts = [
+        ("escaped", '{"l\\u0061bel": 1}'), ("deep", "[" * 30 + '{"Fault Type": 1}' + "]" * 30), ("cut", '{"a": 1'), ("twice", '{"a": 1, "a": {"label": 2}}'), ("word", "label"),
+        ("value", '{"a": "\\"label\\": 1", "b": ["label"]}'), ("none", None), ("empty", ""), ("scalar", "17"), ("colon", '{"x": "y", "note:": ":"}'),
+    ]
+    df = spark.createDataFrame(texts, "case_id string, metadata string")
+    assert found(contracts.firewall_violations(df)) == [("cut", contracts.MALFORMED), ("deep", "faulttype"), ("empty", contracts.MALFORMED), ("escaped", "label"), ("twice", contracts.MALFORMED), ("word", contracts.MALFORMED)]
+    maps = spark.createDataFrame([("m", {"ok": {"Root Cause": "x"}}), ("n", {"Target": {}}), ("o", {"fine": {"fine": "label"}}), ("p", None)], "case_id string, metadata map<string, map<string, string>>")
+    assert found(contracts.firewall_violations(maps)) == [("m", "rootcause"), ("n", "target")]
+    rows = spark.createDataFrame([("s", ([{"Ground-Truth": 1}], 2))], "case_id string, metadata struct<items: array<map<string, int>>, plain: int>")
+    assert found(contracts.firewall_violations(rows)) == [("s", "groundtruth")]
+    assert contracts.firewall_violations(df.limit(0)).count() == 0
+
+
+def test_white_space_of_any_kind(spark):
+    for space in " \t\x0b\x1c\x85\xa0\u2003\u2029\u3000":
+        rows = cases(spark, (f"a{space}", "d", 1.0, ["b"]), ("c", f"{space}d", 1.0, ["b"]), ("e", f"d{space}d", 1.0, ["b"]))
+        assert found(contracts.case_violations(rows)) == sorted([(f"a{space}", "case_id"), ("c", "dataset")]), repr(space)
+
+
 def test_event_and_model_contracts(spark):
     rows = [("ok", "a", [1.0]), ("ok", "b", [2.0]), ("one", "a", [1.0]), ("two", "a", [1.0]), ("two", "a", [1.0]), ("nan", "a", [math.nan]), ("nan", "b", [1.0]), ("len", "a", [1.0, 2.0]), ("len", "b", [1.0])]
     df = spark.createDataFrame(rows, "case_id string, service string, features array<double>")

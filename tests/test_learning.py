@@ -72,6 +72,48 @@ def test_sums_of_many_parts(spark, monkeypatch):
     assert condlogit.event_parts(v, 10) == 12 * 3 * 2 // 10 + 1
 
 
+def test_an_event_in_many_blocks_and_tasks(spark):
+    rng = np.random.default_rng(8)
+    events = {"big": {f"s{k:04}": rng.normal(size=3) * 4 for k in range(900)}, "mid": {f"s{k}": rng.normal(size=3) for k in range(40)}, "few": {k: rng.normal(size=3) for k in "ab"}}
+    v = vectors(spark, events)
+    labels = spark.createDataFrame([("big", "s0123", 0), ("mid", "s7", 1), ("few", "a", 0)], "case_id string, root string, fold int")
+    scales, weights = {f: np.array([1.0, 2.0, 0.5]) for f in (0, 1, 9)}, {f: np.array([0.4, -0.9, 0.1 * f]) for f in (0, 1, 9)}
+    whole = condlogit.evaluate(condlogit.event_table(v, labels, labels, 2), weights, scales, 1.0)
+    cut = condlogit.event_table(v, labels, labels, 6, block_cells=60)
+    assert cut.spans and cut.table.count() > 45 and cut.table.rdd.getNumPartitions() == 6 and cut.table.agg(F.max("n")).first()[0] < 60
+    found = condlogit.evaluate(cut, weights, scales, 1.0)
+    along = {f: np.array([1.0, -0.5, 2.0]) for f in weights}
+    products = condlogit.hessian_products(cut, weights, along, scales, 1.0)
+    for f in weights:
+        assert all(np.allclose(a, b, rtol=1e-11, atol=1e-11) for a, b in zip(whole[f], found[f]))
+        assert np.allclose(products[f], found[f][2] @ along[f], rtol=1e-11)
+    by_hand = 0.0
+    for case, root in (("mid", "s7"),):
+        x = np.array(list(events[case].values()))
+        score = x @ (weights[0] / scales[0])
+        by_hand += np.log(np.exp(score).sum()) - score[list(events[case]).index(root)]
+    assert found[0][0] == pytest.approx(by_hand + 0.5 * weights[0] @ weights[0])
+    with pytest.raises(Exception, match="the root isn't among the candidates"):
+        lost = labels.withColumn("root", F.lit("nobody"))
+        condlogit.evaluate(condlogit.event_table(v, lost, lost, 6, block_cells=60), weights, scales, 1.0)
+
+
+def test_wide_vectors_are_fitted_without_a_matrix(spark):
+    rng = np.random.default_rng(9)
+    d, events, labels = 676, {}, []
+    for k in range(12):
+        events[f"e{k}"] = {s: rng.normal(size=d) + (0.3 if s == "a" else 0.0) for s in "abcd"}
+        labels.append((f"e{k}", "a", k % 2))
+    v, folds = vectors(spark, events), spark.createDataFrame(labels, "case_id string, root string, fold int")
+    scales = {f: np.ones(d) for f in (0, 1)}
+    table = condlogit.event_table(v, folds, folds, 2)
+    got = condlogit.fit(table, scales)
+    assert table.received * 8 < 50e6 and all(f["converged"] for f in got)
+    plain = condlogit.fit(condlogit.event_table(v, folds, folds, 2), scales, wide=False)
+    for a, b in zip(got, plain):
+        assert np.allclose(a["weights"], b["weights"], atol=1e-7) and a["final_loss"] == pytest.approx(b["final_loss"], abs=1e-10)
+
+
 def test_gradient_and_hessian_against_differences(spark):
     v, labels = toy(spark)
     events, scales = condlogit.event_table(v, labels, labels), condlogit.fold_scales(condlogit.scaler_stats(v, labels))
@@ -142,6 +184,47 @@ def test_metrics_of_known_ranks(spark):
             ranking.hits(bad)
 
 
+def test_root_ranks_by_counting(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"c{k % 7}", f"s{k:03}", None if k % 11 == 0 else float(rng.integers(0, 4))) for k in range(300)]
+    scores = spark.createDataFrame(rows, "case_id string, service string, score double")
+    labels = spark.createDataFrame([(f"c{c}", f"s{c + 7 * k:03}", "cpu", k) for k in range(5) for c in range(7)], "case_id string, root string, fault string, fold int").filter("fold = 3 OR fold = 0 AND case_id = 'c0'")
+    labels = labels.dropDuplicates(["case_id"])
+    got = ranking.root_metrics(scores, labels)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    want = ranking.case_metrics(ranking.ranked(scores), labels)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(Exception, match="the root is not in the ranking of c2"):
+        ranking.root_metrics(scores, labels.withColumn("root", F.when(F.col("case_id") == "c2", "nobody").otherwise(F.col("root")))).collect()
+
+
+def test_refusals(spark):
+    order = spark.createDataFrame([("x", "a", 1), ("y", "a", 1)], "case_id string, service string, rank int")
+    labels = spark.createDataFrame([("x", "a", "cpu", 0), ("y", "b", "cpu", 0)], "case_id string, root string, fault string, fold int")
+    with pytest.raises(Exception, match="the root is not in the ranking of y"):
+        ranking.metric_groups(ranking.case_metrics(order, labels)).collect()
+    with pytest.raises(Exception, match="no cases to average"):
+        ranking.metric_groups(ranking.case_metrics(order.limit(0), labels.limit(0))).collect()
+    v, told = toy(spark)
+    _, weights, _ = condlogit.fit_out_of_fold(v, told, told)
+    for folds, model in ((told, weights.filter("fold <> 1")), (told.filter("case_id <> 'e03'"), weights)):
+        with pytest.raises(Exception, match="no model for case"):
+            condlogit.predict(v, folds, model).collect()
+    schema = "case_id string, fault string, `Avg@5` double"
+    one = spark.createDataFrame([("a", "cpu", 0.5), ("b", "mem", 0.1), ("c", "mem", 0.2)], schema)
+    assert {r["case_id"]: r["delta"] for r in stats.paired_deltas(one, one).collect()} == {"a": 0.0, "b": 0.0, "c": 0.0}
+    with pytest.raises(Exception, match="unpaired case b"):
+        stats.mean_deltas(stats.paired_deltas(one, one.filter("case_id <> 'b'"))).collect()
+    with pytest.raises(Exception, match="two faults for case a"):
+        stats.paired_deltas(one, one.withColumn("fault", F.when(F.col("case_id") == "a", "disk").otherwise(F.col("fault")))).collect()
+    with pytest.raises(Exception, match="unequal strata"):
+        stats.paired_deltas(one, one, stratum=2).collect()
+    assert stats.paired_deltas(one.filter("fault = 'mem'"), one.filter("fault = 'mem'"), stratum=2).count() == 2
+    left = spark.createDataFrame([("x", "a", 1.0, 1)], "case_id string, service string, score double, rank int")
+    with pytest.raises(Exception, match="not of the same cases and candidates"):
+        ranking.prediction_diff(left, left.limit(0), strict=True).collect()
+
+
 def test_prediction_gaps(spark):
     names = spark.createDataFrame([("x", s) for s in "abc"], "case_id string, candidate string")
     order = spark.createDataFrame([("x", "a", 1), ("x", "b", 2), ("x", "b", 2), ("x", "z", 3)], "case_id string, service string, rank int")
