@@ -6,11 +6,12 @@ of a family by linear SVMs for each pair of them; each SVM (squared hinge loss)
 coordinate descent in a Spark task of its own, and its margin is turned into a probability by a logistic
 fit. The score of a prediction is the probability of the family times that of the language in it.
 
-Learning uses a hash sample of about ``per_language`` labelled rows of each language (a documented bound
-of the model's input); prediction covers every text.
+Learning uses ``per_language`` labelled rows of each language (a documented bound of the model's input): those of the
+least hashes of id and text; prediction covers every text.
 
 Cases: a text that is null or without letters is ``und`` with score 0; so is every text when no labelled
-row exists; a language outside FAMILIES is a family of its own; repeated rows are judged one by one; an
+row exists; a language outside FAMILIES is a family of its own; rows without doc_id, and rows that share one, are learnt from like
+others, by their texts; rows equal in id and text are learnt from once and judged one by one; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -21,7 +22,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,6 +163,35 @@ def vectors(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(measure, "doc_id long, lang string, vector binary")
 
 
+KEYS = 1 << 40  # hashes of rows
+
+
+def row_key() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(9)), F.lit(KEYS))
+
+
+def least_keys(known: DataFrame, counts: dict[str, int], most: int) -> dict[str, int]:
+    """By language, the ``most``-th of the distinct keys of ``known(lang, key)``, in order; the last one where there are fewer.
+
+    Only keys below a bound are gathered, some four times as many as asked for; where rows are repeated so often that
+    these are too few, the bound is raised and the language looked at again.
+    """
+    bounds = {x: min(KEYS, 4 * most * KEYS // n + 1) for x, n in counts.items()}
+    found: dict[str, int] = {}
+    while bounds:
+        bound = F.element_at(F.create_map(*(F.lit(v) for x, b in bounds.items() for v in (x, b))), F.col("lang"))
+        keys = known.filter(F.col("lang").isin(*bounds)).filter(F.col("key") < bound).select("lang", "key").distinct()
+        placed = keys.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("key"))).filter(F.col("place") <= most)
+        ends = {r["lang"]: r for r in placed.groupBy("lang").agg(F.max("key").alias("key"), F.max("place").alias("n")).collect()}  # one row per language
+        for x, b in list(bounds.items()):
+            if (x in ends and ends[x]["n"] >= most) or b == KEYS:
+                found[x] = ends[x]["key"] if x in ends else -1
+                del bounds[x]
+            else:
+                bounds[x] = min(KEYS, 32 * b)
+    return found
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Identifier:
     """Learns from ``docs(doc_id, text, lang)``; rows without lang are left out."""
     known = docs.filter(F.col("lang").isNotNull())
@@ -178,8 +209,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Identifier:
                         member[x].append((len(problems), 1 if class_of(x) == node.classes[a] else -1))
                 problems.append((node, a, b))
     if problems:
-        share = F.element_at(F.create_map(*(F.lit(v) for x in langs for v in (x, per_language / counts[x]))), F.col("lang"))
-        sample = known.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(9)), F.lit(1 << 20)) < share * float(1 << 20))
+        keyed = known.withColumn("key", row_key())
+        ends = least_keys(keyed, counts, per_language)
+        end = F.element_at(F.create_map(*(F.lit(v) for x in langs for v in (x, ends[x]))), F.col("lang"))
+        sample = keyed.filter(F.col("key") <= end).dropDuplicates(["lang", "key"])
         places = F.create_map(
             *(v for x in langs for v in (F.lit(x), F.array(*(F.struct(F.lit(k).alias("problem"), F.lit(s).alias("side")) for k, s in member[x]))))
         )
