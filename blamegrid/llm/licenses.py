@@ -149,19 +149,16 @@ class LicenseScanner:
             self.pairs[own] = True
             if k < self.first_template:
                 self.phrase_pairs[own] = True
-        self.phrases_at = [self._phrases(state) for state in range(len(self.automaton.length))]
-
-    def _phrases(self, state: int) -> list[tuple[int, int]]:
-        """(phrase, its words) of the phrases that end every long enough string of the state."""
-        if state <= 0:
-            return []
-        ends, above = self.automaton.ends[state], self.automaton.link[state]
-        own = [
-            (k, n)
-            for k, n in ((k, len(self.sequences[k])) for k in range(self.first_template))
-            if self.automaton.length[above] < n <= self.automaton.length[state] and (k, n) in ends
-        ]
-        return own + self._phrases(above)
+        self.phrases_at = self._phrases()
+
+    def _phrases(self) -> list[list[tuple[int, int]]]:
+        """By state, (phrase, its words) of the phrases that end every long enough string of the state: its own and those of its link."""
+        sizes = [(k, len(self.sequences[k])) for k in range(self.first_template)]
+        length, link, found = self.automaton.length, self.automaton.link, [[] for _ in self.automaton.length]
+        for state in sorted(range(1, len(length)), key=length.__getitem__):  # a link's strings are shorter
+            above, ends = link[state], self.automaton.ends[state]
+            found[state] = [(k, n) for k, n in sizes if length[above] < n <= length[state] and (k, n) in ends] + found[above]
+        return found
 
     def scan(self, text: bytes) -> dict:
         words = text.translate(ALNUM_TABLE).split()
