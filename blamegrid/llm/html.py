@@ -42,7 +42,7 @@ _REST = r"(?>(?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|=|[^=>]+)*)"
 _TOKEN = re.compile(
     rf"<svg(?=[\s/>]){_REST}(?<=/)>"
     rf"|<(?P<raw>script|style|template|title|textarea|select|iframe|svg|canvas|object)(?=[\s/>]){_REST}(?:>|\Z).*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)"
     rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>{_REST})(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -61,20 +61,22 @@ SECTIONS = frozenset("article main nav aside header footer form section dialog h
 
 #: Words in class, id and role that hint at what a part of a page is for.
 HINTS = {
-    "advert": "ad ads adv advert advertisement advertising banner promo promoted sponsor sponsored dfp adsense",
+    "advert": "ad ads adv advert advertisement advertising banner adsbygoogle promo promoted sponsor sponsored dfp adsense",
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pager pagination toc tabs toolbar",
     "comment": "comment comments reply replies disqus respond discussion commentlist reviews",
-    "sidebar": "sidebar side aside widget related recommended recommendations trending popular rail complementary",
+    "sidebar": "sidebar side aside widget related recommended recommendations trending popular rail complementary secondary archives blogroll",
     "notice": "cookie cookies consent gdpr notice alert modal popup overlay paywall subscribe newsletter signup disclaimer",
-    "footer": "footer foot copyright contentinfo legal",
+    "footer": "footer foot copyright contentinfo legal colophon credits",
     "header": "header masthead logo banner topbar brand",
     "form": "form search login register contact",
     "share": "share sharing social follow tags",
     "hidden": "hidden invisible",
-    "content": "article content post entry main story body text prose",
+    "content": "article content post entry hentry main story body text prose",
 }
+#: Hints that set an inline element apart from the text around it.
+APART = frozenset({"advert", "hidden", "notice", "comment", "sidebar", "form"})
 HINT_OF = {word: kind for kind, words in HINTS.items() for word in words.split()}
-_TELLS = re.compile(r"©|\bcookies?\b|\bcopyright\b|\ball rights reserved\b|\bsubscribe\b|\bnewsletter\b|\bsign (?:in|up)\b|\badvertisement\b|\breply\b", re.I)
+_TELLS = re.compile(r"©|\bcookies?\b|\bcopyright\b|\ball rights reserved\b|\bsubscribe\b|\bnewsletter\b|\bsign (?:in|up)\b|\badvertisement\b|\breply\b|\bpowered by\b", re.I)
 
 
 @dataclass
@@ -140,9 +142,21 @@ def leaf_blocks(page: str) -> list[Block]:
                     path.append((tag, _hints(m["rest"])))
         elif tag == "br":
             held.append("\n")
-        elif tag == "a":
-            in_link = not m["close"]
-        # other inline tags are markup and no more
+        elif m["close"]:
+            k = next((k for k in range(len(path) - 1, -1, -1) if path[k][0] == tag), -1)
+            if k >= 0:  # an inline part of another kind than the text around it
+                flush()
+                del path[k:]
+            elif tag == "a":
+                in_link = 0
+        else:
+            hints = _hints(m["rest"]) | ({HINT_OF[w] for w in _WORD.findall(tag) if w in HINT_OF} if "-" in tag else set())
+            if tag not in VOID and m["rest"][-1:] != "/" and (hints & APART or any(t == tag for t, _ in path)):
+                flush()
+                path.append((tag, frozenset(hints)))
+            elif tag == "a":
+                in_link = 1
+            # other inline tags are markup and no more
     flush()
     return blocks
 
@@ -175,8 +189,36 @@ def _text_features(b: Block) -> tuple:
     )
 
 
+def _says(b: Block) -> bool:
+    """Is a block running text by itself?"""
+    return len(b.text) >= 60 and b.linked <= 0.3 * len(b.text)
+
+
+def place_features(blocks: list[Block]) -> list[list[str]]:
+    """Where a block stands: before the page's first running text, after its last, or between; with its links and their like around it.
+
+    Nothing for what stands in an article or main, where markup tells; where no text runs, these count for it.
+    """
+    told = [any(t in ("article", "main") for t, _ in b.path) for b in blocks]
+    said = [k for k, b in enumerate(blocks) if _says(b)] or [k for k, t in enumerate(told) if t]
+    if not said:
+        return [[] for _ in blocks]
+    low, high = said[0], said[-1]
+    links = [b.linked > 0.6 * len(b.text) for b in blocks]
+    found = []
+    for k, b in enumerate(blocks):
+        if told[k]:
+            found.append([])
+            continue
+        around = links[max(k - 1, 0)] + (links[k + 1] if k + 1 < len(blocks) else links[k])
+        kind = "linked" if links[k] else "tells" if len(b.text) < 200 and _TELLS.search(b.text) else "plain"
+        where = "lead" if k < low else "tail" if k > high else "inside"
+        found.append([f"{where}:{kind}", f"{where}:near{around}:{kind}"] + (["edge:" + kind] if k in (0, len(blocks) - 1) else []))
+    return found
+
+
 def features(blocks: list[Block]) -> list[list[str]]:
-    return [[*_path_features(b.path), *_text_features(b)] for b in blocks]
+    return [[*_path_features(b.path), *_text_features(b), *place] for b, place in zip(blocks, place_features(blocks))]
 
 
 def markup_labels(blocks: list[Block]) -> list[int] | None:
@@ -255,6 +297,27 @@ def labelled_pages() -> list[tuple[str, list[int]]]:
             lead, tail = _BEFORE[n // 3 % len(_BEFORE)], _AFTER[n // 3 % len(_AFTER)]
             page = parts[lead] + around.format(body) + parts[tail]
         pages.append((page, [int(b.text in said) for b in leaf_blocks(page)]))
+    return pages + plain_pages(said)
+
+
+#: Pages whose markup tells nothing: what comes before and after the text, and what holds it.
+_LINKS = ("<a href='/'>Home</a> <a href='/about'>About</a>", "<a href='/'>Home</a>", "<a href='/a'>First</a><br><a href='/b'>Second page</a><br><a href='/c'>Third</a>", "<ul><li><a href='/n'>News</a></li><li><a href='/s'>Sport</a></li></ul>")
+_ENDS = ("Copyright 2020 Somebody", "&copy; 1999 The Valley. All rights reserved.", "<a href='/p'>Privacy</a> <a href='/i'>Imprint</a>", "Powered by <a href='/w'>Press</a>", "<h3>Archives</h3><ul><li><a href='/5'>May 2020</a></li><li><a href='/4'>April 2020</a></li></ul>")
+_PLAIN = (
+    "<div>{}</div><div>{}</div><div>{}</div>",
+    "<table><tr><td>{}</td><td>{}</td></tr><tr><td colspan=2>{}</td></tr></table>",
+    "<div id='page'><div id='top'>{}</div><div class='hentry'>{}</div><div id='secondary'>{}</div></div>",
+    "<div>{}</div><div class='wrap'><div class='col'>{}</div></div><div id='colophon'>{}</div>",
+    "<center>{}</center>{}<hr><center>{}</center>",
+)
+
+
+def plain_pages(said: set[str]) -> list[tuple[str, list[int]]]:
+    pages = []
+    for n, (around, links, end) in enumerate(itertools.product(_PLAIN, _LINKS, _ENDS)):
+        body = (f"<h1>{_SAID[3]}</h1>" if n % 3 else "") + f"<p>{_SAID[0]}</p><p>{_SAID[n % 2 * 4 or 1]}</p><p>{_SAID[2]}</p>" + (_MORE[n % len(_MORE)] if n % 2 else "") + f"<p>{_SAID[5]}</p>"
+        page = around.format(links, body, end)
+        pages.append((page, [int(b.text in said) for b in leaf_blocks(page)]))
     return pages
 
 
@@ -268,12 +331,12 @@ class ChainField:
     def scores(self, blocks: list[Block], cache: dict) -> list[float]:
         """Weight for label 1 of each block; ``cache`` keeps the part that a path of elements gives."""
         get, found = self.weights.get, []
-        for b in blocks:
+        for b, place in zip(blocks, place_features(blocks)):
             if (own := cache.get(b.path)) is None:
                 if len(cache) > 10_000:
                     cache.clear()
                 own = cache[b.path] = sum(get(f, 0.0) for f in _path_features(b.path))
-            found.append(own + sum([get(f, 0.0) for f in _text_features(b)]))
+            found.append(own + sum([get(f, 0.0) for f in _text_features(b)]) + sum([get(f, 0.0) for f in place]))
         return found
 
     def decode(self, scores: list[float]) -> list[int]:
@@ -342,7 +405,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], l2: float = L2, steps:
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_chains: int = SAMPLE_CHAINS) -> ChainField:
     """Trains on LABELLED and a hash sample of about ``sample_pages`` pages whose markup tells, of ``sample_chains`` chains at most."""
     total = max(pages.count(), 1)
-    part = pages.filter(F.pmod(F.xxhash64(F.col("page_id").cast("string"), F.lit(3)), F.lit(1 << 20)) < sample_pages / total * (1 << 20))
+    part = pages.filter(F.pmod(F.xxhash64(F.col("page_id").cast("string"), "html", F.lit(3)), F.lit(1 << 20)) < sample_pages / total * (1 << 20))
 
     def label(batches):
         for batch in slices(batches, "html"):
@@ -350,8 +413,9 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_chains: int =
             for page in batch.column("html").to_pylist():
                 blocks = leaf_blocks(page or "")
                 labels = markup_labels(blocks)
-                for k in range(0, len(blocks) if labels is not None else 0, CHAIN):
-                    rows.append({"rows": features(blocks[k : k + CHAIN]), "labels": labels[k : k + CHAIN]})
+                told = features(blocks) if labels is not None else []
+                for k in range(0, len(told), CHAIN):
+                    rows.append({"rows": told[k : k + CHAIN], "labels": labels[k : k + CHAIN]})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("rows", pa.list_(pa.list_(pa.string()))), ("labels", pa.list_(pa.int32()))]))
 
     chains = part.select("html").mapInArrow(label, "rows array<array<string>>, labels array<int>")
