@@ -56,6 +56,45 @@ def test_names_that_begin_like_elements_without_text(page, want):
     assert [b.text for b in html.leaf_blocks(page)] == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div><a href=/>Home</a> <a href=/a>About</a></div><div>{}</div><div>Copyright 2020 Somebody</div>", None),
+        ("<table><tr><td><a href=/>Home</a></td><td>{}</td></tr></table>", None),
+        ("<body class=blog><div id=primary><div class='hentry'><h2>A walk</h2>{}</div></div><div id=secondary><h3>Archives</h3><ul><li><a href=/5>May 2020</a></li></ul></div><div id=colophon>Powered by <a href=/w>Press</a></div>", ["A walk"]),
+    ],
+)
+def test_pages_whose_markup_tells_nothing(model, page, want):
+    said = ["The river rose on Monday and the lower town was under water by the evening, as it had been twice before.", "Nobody was hurt.", "The mayor says that the wall will be built at last, and that it will cost less than the floods of the last ten years did."]
+    blocks = html.leaf_blocks(page.format("".join(f"<p>{x}</p>" for x in said)))
+    assert [b.text for b, y in zip(blocks, model.decode(model.scores(blocks, {}))) if y] == (want or []) + said
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><!--><p>one</p><!-- x --><p>two</p><!---><p>three</p><!-- y --!><p>four</p></article>", ["one", "two", "three", "four"]),
+        ("<article><p>so <span style='display:none'>not <span>seen</span> here</span> it <span>goes</span> on.</p></article>", ["so", "it goes on."]),
+        ("<article><p>words</p><ins class='adsbygoogle'>Buy now</ins><cookie-banner>We use cookies</cookie-banner><p>more <x-word>words</x-word></p></article>", ["words", "more words"]),
+    ],
+)
+def test_inline_parts_and_odd_comments(model, page, want):
+    blocks = html.leaf_blocks(page)
+    assert [b.text for b, y in zip(blocks, model.decode(model.scores(blocks, {}))) if y] == want
+
+
+def test_sample_of_pages_without_ids(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("page_id", F.lit(None).cast("long"))
+    seen = []
+    original, html.train = html.train, lambda pages: seen.append(len(pages))
+    try:
+        html.fit(pages, sample_pages=100)
+        html.fit(pages.limit(0))
+    finally:
+        html.train = original
+    assert seen[0] > seen[1] + 20
+
+
 def test_labelled_pages_are_learnt(model):
     for page, labels in html.labelled_pages():
         assert model.decode(model.scores(html.leaf_blocks(page), {})) == labels

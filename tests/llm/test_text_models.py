@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from blamegrid.llm import decontaminate, language, licenses, quality
 from blamegrid.llm.common import table
@@ -361,3 +362,33 @@ def test_actions(spark):
     assert decontaminate.decontaminate(docs.filter("false"), bench).count() == 0
     with pytest.raises(ValueError):
         decontaminate.decontaminate(docs, bench, "lines")
+
+
+# --- samples and long templates ---
+
+
+def test_language_sample_is_bounded_whatever_the_ids(spark):
+    """Null ids, one id for all, and rows that are the same many times over: the bound holds and all languages are learnt."""
+    said = {"de": "Der Hund schläft heute unter dem Baum und träumt", "en": "The dog sleeps under the tree today and dreams", "fr": "Le chien dort aujourd'hui sous l'arbre et rêve"}
+    rows = [(lang, f"{text} nr {k} von" if k < 1500 else text) for lang, text in said.items() for k in range(6000)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    for ids in (F.lit(None), F.lit(7), F.monotonically_increasing_id()):
+        keyed = docs.withColumn("doc_id", ids.cast("long"))
+        ends = language.least_keys(keyed.withColumn("key", language.row_key()), {x: 6000 for x in said}, 100)
+        taken = keyed.withColumn("key", language.row_key()).groupBy("lang").agg(F.count_distinct(F.when(F.col("key") <= F.element_at(F.create_map(*(F.lit(v) for x in ends.items() for v in x)), F.col("lang")), F.col("key"))).alias("n"))
+        assert {r["lang"]: r["n"] for r in taken.collect()} == dict.fromkeys(said, 100)
+    model = language.fit(docs.withColumn("doc_id", F.lit(None).cast("long")), 60)
+    langs, _ = model.predict([t.encode() for t in said.values()])
+    assert langs == list(said)
+
+
+def test_few_distinct_rows_are_all_learnt_from(spark):
+    docs = spark.range(40_000).select(F.lit("de").alias("lang"), F.concat(F.lit("Satz "), F.col("id") % 3).alias("text"), F.lit(1).cast("long").alias("doc_id"))
+    keyed = docs.withColumn("key", language.row_key())
+    assert language.least_keys(keyed, {"de": 40_000}, 10)["de"] == keyed.agg(F.max("key")).first()[0]
+
+
+def test_templates_that_repeat_a_word():
+    scanner = licenses.LicenseScanner([("mit license", "mit")], [("loop", "la " * 3000), ("other", "words of another kind " * 5)])
+    found = scanner.scan(b"MIT License " + b"la " * 3000)
+    assert "loop" in found["labels"] and "mit" in found["labels"]
