@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blamegrid.llm import decontaminate, language, minhash, mixing, quality
-from blamegrid.llm.common import aside, discard, materialize, table
+from blamegrid.llm.common import aside, materialize, table
 
 #: Documents whose language scores less are rejected; a guess between two families of two scores 0.25.
 MIN_LANGUAGE_SCORE = 0.3
@@ -47,9 +47,9 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs, moved = aside(docs, "score")
-    stats = materialize(quality.with_statistics(docs), "stats")
-    model = quality.fit(quality.training_rows(stats, table(spark, sf_dir, "labels")))
-    discard(stats)
+    labels = table(spark, sf_dir, "labels")
+    labelled = docs.join(labels.filter("quality IN (0, 1)").select("doc_id").distinct(), "doc_id", "left_semi")
+    model = quality.fit(quality.training_rows(quality.with_statistics(labelled), labels))  # the others' texts are measured once, below
     scored = quality.score_texts(docs, model)
     return scored.filter(F.col("score") >= MIN_QUALITY_SCORE).select(docs.columns).withColumnsRenamed(moved)
 
