@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, crc_mod, slices, table, texts
+from .common import ALNUM_TABLE, crc_mod, discard, materialize, slices, table, texts
 
 WINDOW, STRIDE = 32, 24
 PER_LABEL, WINDOWS_PER_TEXT = 2000, 24
@@ -379,15 +379,23 @@ def score_windows(docs: DataFrame, model: Network) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, first long, score double")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows of the training fold: crc32(doc_id) mod 5 is not 0."""
+def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+    """doc_id, text and label of the training fold (crc32(doc_id) mod 5 is not 0): of each label the ``per_label`` rows of ``labels`` of the least hashes that have a text; stored.
+
+    Ids alone are joined and chosen; texts meet no more than the chosen ids, which are broadcast.
+    """
     known = labels.filter(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 5) != 0)).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    there = known.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("key", F.xxhash64(F.col("doc_id").cast("string")))
+    chosen = [there.filter(F.col("label") == y).orderBy("key", "doc_id").limit(per_label) for y in (0, 1)]
+    few = F.broadcast(chosen[0].unionByName(chosen[1]).drop("key"))  # 2 x per_label rows
+    return materialize(docs.select("doc_id", "text").join(few, "doc_id"), "training")
 
 
 def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
+    rows = training_rows(docs, table(spark, sf_dir, "labels"))
+    model = fit(rows)
+    discard(rows)
     return score_texts(docs.select("doc_id", "text"), model).select(
         "doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
