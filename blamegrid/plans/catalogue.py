@@ -207,7 +207,8 @@ _LONG = ", flat AS (SELECT case_id, service, CAST(ix AS INT) AS ix, round(value,
               / (count(*) OVER (PARTITION BY case_id, ix) - 1) AS pct FROM flat)"""
 )
 def within_event_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(relative.within_event_percentiles(features.long_view(_vectors(spark, sf_dir)).drop("name")), "pct")
+    long = materialize(features.long_view(_vectors(spark, sf_dir)).drop("name"), "long")  # read twice
+    return rounded(relative.within_event_percentiles(long), "pct")
 
 
 @query(
@@ -218,7 +219,7 @@ def within_event_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def relative_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors followed by their percentiles inside the event, number by number."""
-    return rounded(features.long_view(relative.representation(_vectors(spark, sf_dir), True)).drop("name"), "value")
+    return rounded(features.long_view(relative.representation(materialize(_vectors(spark, sf_dir), "vectors"), True)).drop("name"), "value")
 
 
 @query(
@@ -228,7 +229,7 @@ def relative_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
     JOIN flat c ON c.case_id = m.context_id AND c.ix = v.ix GROUP BY ALL"""
 )
 def foreign_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = features.long_view(_vectors(spark, sf_dir)).drop("name")
+    long = materialize(features.long_view(_vectors(spark, sf_dir)).drop("name"), "long")  # read as values and as context
     cases = fx.event_cases(spark)
     match = cases.select("case_id", "anchor").join(cases.select(F.col("case_id").alias("context_id"), (F.col("anchor") - 43200).alias("anchor")), "anchor").drop("anchor")
     return rounded(relative.foreign_percentiles(long, long, match), "pct")
@@ -904,13 +905,12 @@ def bundle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM long v JOIN labels l ON l.case_id = v.case_id GROUP BY ALL"""
 )
 def stored_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature store, labels and folds, written and loaded side by side."""
+    """The feature store, labels and folds, written in buckets of cases and loaded side by side without a shuffle."""
     path = scratch_path(spark, "dataset")
-    ingest.write_features(features.feature_vectors(fx.event_features(spark, sf_dir)), "events", f"{path}/features")
+    vectors = features.feature_vectors(fx.event_features(spark, sf_dir))
     labels = materialize(fx.event_labels(spark, sf_dir), "labels")
-    labels.select("case_id", "root", "fault").write.parquet(f"{path}/labels")
-    ranking.canonical_order(labels.select("case_id", "fold")).write.parquet(f"{path}/splits")
-    rows = ingest.load_dataset(spark, f"{path}/features", f"{path}/labels", f"{path}/splits")
+    ingest.write_bucketed({"features": vectors, "labels": labels, "splits": ranking.canonical_order(labels.select("case_id", "fold"))}, path, 8)
+    rows = ingest.load_bucketed(spark, path, 8)
     total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
     keys = ("case_id", "root", "fault", "fold")
     return rows.groupBy(*keys).agg(F.count_distinct("service").alias("candidates"), F.sum(F.size("features")).alias("cells"), tidy(F.sum(total), 4).alias("total"))

@@ -6,6 +6,7 @@ and parsing are DataFrame jobs over Spark's file sources, so any store that Spar
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import pandas as pd
@@ -164,8 +165,10 @@ def write_features(vectors: DataFrame, dataset: str, path: str) -> None:
 def read_features(spark: SparkSession, path: str, dim: int | None = 68) -> DataFrame:
     """Stored vectors; one of another length raises when it is read."""
     rows = spark.read.parquet(path)
-    if dim is None:
-        return rows
+    return rows if dim is None else _of_length(rows, dim)
+
+
+def _of_length(rows: DataFrame, dim: int) -> DataFrame:
     bad = F.size("features") != dim
     return rows.filter(F.when(bad, F.raise_error(F.concat(F.lit("unexpected number of features in "), F.col("case_id")))).otherwise(F.lit(True)).cast("boolean"))
 
@@ -174,3 +177,41 @@ def load_dataset(spark: SparkSession, features: str, labels: str, splits: str) -
     """Vectors with root, fault and fold of their case."""
     rows = read_features(spark, features)
     return rows.join(spark.read.parquet(labels).select("case_id", "root", "fault"), "case_id").join(spark.read.parquet(splits).select("case_id", "fold"), "case_id")
+
+
+#: Tables of a dataset that are kept by case, and what ``load_bucketed`` takes of them.
+BUCKETED = {"features": ("case_id", "service", "features"), "labels": ("case_id", "root", "fault"), "splits": ("case_id", "fold")}
+BUCKETS = 64
+
+
+def write_bucketed(tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS) -> None:
+    """Writes features, labels and splits below ``path``, each in ``buckets`` buckets of cases, sorted; an existing one is an error.
+
+    Rows are shuffled once here, so that no load has to: the three meet bucket by bucket.
+    """
+    for name, columns in BUCKETED.items():
+        rows = tables[name].select(*columns).repartition(buckets, "case_id")  # a task a bucket: one file each
+        spark, table = rows.sparkSession, _table_name(path, name)
+        spark.sql(f"DROP TABLE IF EXISTS {table}")  # an entry of the catalogue, never files
+        rows.write.mode("errorifexists").bucketBy(buckets, "case_id").sortBy("case_id").option("path", f"{path}/{name}").saveAsTable(table)
+
+
+def _table_name(path: str, name: str) -> str:
+    return f"bucketed_{hashlib.sha256(path.encode()).hexdigest()[:16]}_{name}"
+
+
+def load_bucketed(spark: SparkSession, path: str, buckets: int = BUCKETS, dim: int | None = 68) -> DataFrame:
+    """Vectors with root, fault and fold of their case, of tables that ``write_bucketed`` wrote; the join moves no row.
+
+    Another session than the writer's makes the catalogue's entries anew, from the files' schema.
+    """
+    found = []
+    for name, columns in BUCKETED.items():
+        table = _table_name(path, name)
+        if not spark.catalog.tableExists(table):
+            schema = spark.read.parquet(f"{path}/{name}").schema
+            listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+            spark.sql(f"CREATE TABLE {table} ({listed}) USING parquet CLUSTERED BY (case_id) SORTED BY (case_id) INTO {buckets} BUCKETS LOCATION '{path}/{name}'")
+        found.append(spark.table(table).select(*columns).hint("merge"))
+    rows = found[0] if dim is None else _of_length(found[0], dim)
+    return rows.join(found[1], "case_id").join(found[2], "case_id")

@@ -138,3 +138,26 @@ def test_bundle_and_files(spark, tree, tmp_path):
     assert ingest.read_features(spark, f"{out}/features", 1).count() == 1
     with pytest.raises(Exception, match="unexpected number"):
         ingest.read_features(spark, f"{out}/features").collect()
+
+
+def test_bucketed_dataset_is_loaded_without_a_shuffle(spark, tmp_path):
+    path = (tmp_path / "dataset").as_uri()
+    cases = [f"c{k}" for k in range(40)]
+    tables = {
+        "features": spark.createDataFrame([(c, s, [1.0, 2.0]) for c in cases for s in "ab"], "case_id string, service string, features array<double>"),
+        "labels": spark.createDataFrame([(c, "a", "cpu") for c in cases], "case_id string, root string, fault string"),
+        "splits": spark.createDataFrame([(c, k % 3) for k, c in enumerate(cases)], "case_id string, fold int"),
+    }
+    ingest.write_bucketed(tables, path, 4)
+    with pytest.raises(Exception):
+        ingest.write_bucketed(tables, path, 4)
+    for again in (False, True):
+        if again:  # as another session would find it
+            for name in ingest.BUCKETED:
+                spark.sql(f"DROP TABLE IF EXISTS {ingest._table_name(path, name)}")
+        rows = ingest.load_bucketed(spark, path, 4, 2)
+        assert rows.count() == 80 and rows.columns == ["case_id", "service", "features", "root", "fault", "fold"]
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    with pytest.raises(Exception, match="unexpected number"):
+        ingest.load_bucketed(spark, path, 4).collect()

@@ -158,6 +158,26 @@ def test_within_event_percentiles(spark):
     assert relative.representation(v, False).count() == 3
 
 
+def test_percentiles_in_one_large_group(spark, monkeypatch):
+    """Values that repeat, null and NaN, over many ranges; no window holds the group."""
+    from blamegrid.operators import positions
+
+    monkeypatch.setattr(positions, "RANGE_ROWS", 16)
+    rng = np.random.default_rng(6)
+    drawn = [None if k % 50 == 0 else float("nan") if k % 70 == 1 else float(rng.integers(0, 90)) / 4 for k in range(1500)]
+    rows = [("e", f"s{k}", 0, v) for k, v in enumerate(drawn)] + [("one", "s", 0, 1.0)]
+    got = relative.within_event_percentiles(spark.createDataFrame(rows, "case_id string, service string, ix int, value double")).collect()
+    order = {s: (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v) for _, s, _, v in rows[:-1]}
+    for r in got:
+        if r["case_id"] == "one":
+            assert r["pct"] is None
+        else:
+            own = order[r["service"]]
+            below, same = sum(o < own for o in order.values()), sum(o == own for o in order.values())
+            assert r["pct"] == pytest.approx((below + (same - 1) / 2) / 1499)
+    assert len(got) == 1501
+
+
 def test_foreign_percentiles(spark):
     rng = np.random.default_rng(5)
     own, other = rng.integers(0, 5, (4, 2)), rng.integers(0, 5, (6, 2))
