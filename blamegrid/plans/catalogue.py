@@ -100,6 +100,19 @@ def service_q90(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fx.event_profile(spark, sf_dir), "q")
 
 
+@query(
+    """WITH rows AS (
+      SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hub' ELSE 'sup' || (l_suppkey % 8) END AS service, CAST(floor(epoch(l_shipdate - TIMESTAMP '1995-01-01') / 7776000) AS BIGINT) AS bin, round(l_quantity * (1 + l_discount), 4) AS load FROM lineitem)
+    SELECT service, bin, round(quantile_cont(load, 0.9), 6) + 0.0 AS q FROM rows GROUP BY ALL"""
+)
+def hot_service_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantile of a load by service and quarter, where one service holds a third of all rows."""
+    hub = F.when(F.col("l_orderkey") % 3 == 0, "hub").otherwise(F.concat(F.lit("sup"), (F.col("l_suppkey") % 8).cast("string")))
+    quarter = F.floor(fx.seconds_since("l_shipdate", "1995-01-01") / 7_776_000.0).cast("long")
+    rows = fx.table(spark, sf_dir, "lineitem").select(hub.alias("service"), quarter.alias("bin"), F.round(F.col("l_quantity") * (1 + F.col("l_discount")), 4).alias("load"))
+    return rounded(normalize.quantiles(rows, ["service", "bin"], "load", 0.9, "q"), "q")
+
+
 @query(A + f" SELECT case_id, service, channel, {sql.rounded(*BASE)} FROM dense")
 def base_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fx.event_features(spark, sf_dir).select("case_id", "service", "channel", *BASE), *BASE)

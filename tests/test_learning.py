@@ -158,6 +158,24 @@ def test_within_event_percentiles(spark):
     assert relative.representation(v, False).count() == 3
 
 
+def test_quantiles_of_crowded_groups(spark, monkeypatch):
+    from blamegrid.operators import normalize, positions
+
+    monkeypatch.setattr(positions, "RANGE_ROWS", 16)
+    rng = np.random.default_rng(7)
+    rows = [(None if k % 3 == 0 else f"g{k % 4}", float(rng.integers(0, 60)) / 7 if k % 41 else None) for k in range(900)] + [("one", 2.5), ("none", None)]
+    got = {r["g"]: r["q"] for r in normalize.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", 0.9, "q").collect()}
+    want = {g: np.quantile([v for h, v in rows if h == g and v is not None], 0.9) for g in {g for g, v in rows if v is not None}}
+    assert got == pytest.approx(want)
+    series = [("c", f"s{k % 2}", "metric", f"i{k}", b, float(rng.normal())) for k in range(12) for b in range(8)]
+    scaled = spark.createDataFrame(series, "case_id string, service string, channel string, indicator string, bin int, x double").withColumn("center", F.lit(0.1)).withColumn("scale", F.lit(1.0))
+    crowded = normalize.crowded_services(scaled.filter("service = 's1' OR indicator = 'i0'").select("case_id", "channel", "indicator", "service").distinct(), 3)
+    assert [r["service"] for r in crowded.collect()] == ["s1"]
+    plain = {(r["service"], r["bin"]): r["q"] for r in normalize.service_profile(scaled).collect()}
+    for names in (crowded, crowded.limit(0)):
+        assert {(r["service"], r["bin"]): r["q"] for r in normalize.service_profile(scaled, names).collect()} == pytest.approx(plain)
+
+
 def test_percentiles_in_one_large_group(spark, monkeypatch):
     """Values that repeat, null and NaN, over many ranges; no window holds the group."""
     from blamegrid.operators import positions
