@@ -552,7 +552,10 @@ def _given_weights(count: int) -> np.ndarray:
 
 def _sums_at_given_weights(spark: SparkSession, sf_dir: str):
     """The fit's sums by fold at weights that the SQL knows."""
-    vectors, labels = materialize(_vectors(spark, sf_dir), "vectors"), fx.event_labels(spark, sf_dir)
+    return _sums_of(materialize(_vectors(spark, sf_dir), "vectors"), materialize(fx.event_labels(spark, sf_dir), "labels"))
+
+
+def _sums_of(vectors: DataFrame, labels: DataFrame):
     scales = condlogit.fold_scales(condlogit.scaler_stats(vectors, labels))
     return condlogit.evaluate(condlogit.event_table(vectors, labels, labels), {f: _given_weights(len(s)) for f, s in scales.items()}, scales, 1.0)
 
@@ -603,7 +606,7 @@ def fold_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _SCALED + """, rough AS (SELECT fold, own, case_id, service, sum(z * round(weight, 1)) AS score FROM standard WHERE fold = own GROUP BY ALL),
+    _SHARES + """, rough AS (SELECT fold, own, case_id, service, sum(z * round(weight, 1)) AS score FROM standard WHERE fold = own GROUP BY ALL),
     both_sides AS (
       SELECT a.case_id, a.service, a.score, b.score AS other, row_number() OVER (PARTITION BY a.case_id ORDER BY round(a.score, 9) DESC, a.service) AS rank,
              row_number() OVER (PARTITION BY b.case_id ORDER BY round(b.score, 9) DESC, b.service) AS other_rank
@@ -618,15 +621,19 @@ def fold_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
              abs(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END) - avg(CASE WHEN other_rank <= 3 THEN 1.0::DOUBLE ELSE 0 END)),
              abs(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END) - avg(CASE WHEN other_rank <= 5 THEN 1.0::DOUBLE ELSE 0 END))) AS diff
       FROM worths GROUP BY kind, value)
-    SELECT true AS converged, (SELECT bool_and(rank = other_rank) FROM both_sides) AS same_rankings, (SELECT max(abs(score - other)) <= 0.5 FROM both_sides) AS scores_agree,
+    SELECT (SELECT max(abs(gradient)) <= 1e-8 FROM (
+             SELECT sum(s.p * z.z) - sum(CASE WHEN z.is_root THEN z.z ELSE 0 END) + min(z.weight) AS gradient
+             FROM standard z JOIN shares s ON s.fold = z.fold AND s.case_id = z.case_id AND s.service = z.service GROUP BY z.fold, z.ix)) AS converged,
+           (SELECT bool_and(rank = other_rank) FROM both_sides) AS same_rankings, (SELECT max(abs(score - other)) <= 0.5 FROM both_sides) AS scores_agree,
            (SELECT max(diff) <= 0.05 FROM metric_diffs) AS metrics_agree, (SELECT round(max(diff), 6) + 0.0 FROM metric_diffs) AS worst_metric, (SELECT round(max(abs(score - other)), 6) + 0.0 FROM both_sides) AS worst_score"""
 )
 def rounded_model_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on a model stored with weights of one decimal, held against the model as it was, with wide tolerances."""
-    vectors, labels = materialize(_vectors(spark, sf_dir), "vectors"), fx.event_labels(spark, sf_dir)
+    """The verdict on a model stored with weights of one decimal, held against the model as it was, with wide tolerances; its weights are given, not fitted, and the gradient tells."""
+    vectors, labels = materialize(_vectors(spark, sf_dir), "vectors"), materialize(fx.event_labels(spark, sf_dir), "labels")
     model = _given_model(spark, vectors, labels)
     path = scratch_path(spark, "rough-model")
-    fits = labels.select("fold", F.lit(True).alias("converged")).distinct()
+    norms = {f: float(np.abs(gradient).max()) for f, (_, gradient, _) in _sums_of(vectors, labels).items()}
+    fits = spark.createDataFrame([(f, norm, norm <= 1e-8) for f, norm in norms.items()], "fold int, gradient_norm double, converged boolean")
     condlogit.save_model(model.withColumn("weight", F.round("weight", 1)), fits, path)
     sides = []
     for weights in (model, condlogit.load_model(spark, path)[0]):
