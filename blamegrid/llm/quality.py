@@ -214,6 +214,29 @@ def score_texts(docs: DataFrame, model: Discriminant) -> DataFrame:
     return docs.mapInArrow(score, T.StructType([*docs.schema, T.StructField("score", T.DoubleType())]))
 
 
+def measured(docs: DataFrame, column: str = "stats") -> DataFrame:
+    """``docs`` with the statistics of their ``text`` in ``column``, for those who need the texts and their scores: each text is measured once."""
+
+    def measure(batches):
+        for part in slices(batches, "text"):
+            rows = pa.array([statistics(t) for t in texts(part, "text")], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_pydict({name: part.column(name) for name in part.schema.names} | {column: rows})
+
+    return docs.mapInArrow(measure, T.StructType([*docs.schema, T.StructField(column, T.ArrayType(T.DoubleType()))]))
+
+
+def score_measured(docs: DataFrame, model: Discriminant, column: str = "stats", score: str = "score") -> DataFrame:
+    """``docs`` of ``measured`` with a column ``score`` instead of their statistics."""
+
+    def run(batches):
+        for batch in batches:
+            x = np.array(batch.column(column).to_pylist(), float).reshape(-1, DIM)
+            columns = {name: batch.column(name) for name in batch.schema.names if name != column}
+            yield pa.RecordBatch.from_pydict(columns | {score: pa.array(model.score(x), pa.float64())})
+
+    return docs.mapInArrow(run, T.StructType([*(f for f in docs.schema if f.name != column), T.StructField(score, T.DoubleType())]))
+
+
 def training_rows(stats: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled rows of the training fold: crc32(doc_id) mod 3 is not 1."""
     known = labels.filter(F.col("quality").isin(0, 1) & (crc_mod(F.col("doc_id"), 3) != 1))
