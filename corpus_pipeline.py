@@ -46,11 +46,10 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs, moved = aside(docs, "score")
-    labels = table(spark, sf_dir, "labels")
-    labelled = docs.join(labels.filter("quality IN (0, 1)").select("doc_id").distinct(), "doc_id", "left_semi")
-    model = quality.fit(quality.training_rows(quality.with_statistics(labelled), labels))  # the others' texts are measured once, below
-    scored = quality.score_texts(docs, model)
+    docs, moved = aside(docs, "score", "stats")
+    measured = materialize(quality.measured(docs), "measured")  # texts are measured once and don't move; statistics alone meet the labels
+    model = quality.fit(quality.training_rows(measured.select("doc_id", "stats"), table(spark, sf_dir, "labels")))
+    scored = quality.score_measured(measured, model)
     return scored.filter(F.col("score") >= MIN_QUALITY_SCORE).select(docs.columns).withColumnsRenamed(moved)
 
 
