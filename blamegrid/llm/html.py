@@ -266,6 +266,7 @@ _PARTS = {
     "menu": ("<div id='menu'>{}</div>", ("<a href='/a'>Home</a> <a href='/d'>Valley</a>", "<ul><li><a href='/e'>Letters to the editor</a></li></ul>")),
     "noscript": ("<noscript>{}</noscript>", ("<p>Turn on scripts in your browser to see this page in full.</p>", "This page needs a newer browser.")),
     "hidden": ("<div style='display: none'>{}</div>", ("<p>The list is being loaded, please wait for it.</p>", "<div hidden>Nothing was found in this place.</div>")),
+    "unseen": ("<p hidden>{}</p>", ("This line is not for the reader.",)),
     "dialog": ("<dialog open>{}</dialog>", ("<p>Before you go: read all of it for a month at half the price.</p>", "<div>No, thanks</div>")),
     "button": ("<button type='button'>{}</button>", ("Show more of it",)),
     "side": ("<div class='sidebar'>{}</div>", ("<a href='/x'>Storm on the way</a><br><a href='/y'>Frost</a>", "<p>The weather of the week, every morning.</p>")),
@@ -283,7 +284,7 @@ def labelled_pages() -> list[tuple[str, list[int]]]:
     said = {*_SAID, *(b.text for more in _MORE for b in leaf_blocks(more))}
     parts = {k: around.format("".join(rows)) for k, (around, rows) in _PARTS.items()}
     pages = []
-    inside = ("", "ad", "aside", "comments", "form", "share", "footer", "notice", "promo", "nav", "noscript", "hidden", "dialog", "button")
+    inside = ("", "ad", "aside", "comments", "form", "share", "footer", "notice", "promo", "nav", "noscript", "hidden", "unseen", "dialog", "button")
     for n, (around, inner, head) in enumerate(itertools.product(_AROUND, inside, (0, 1, 2))):
         title = f"<h1>{_SAID[3]}</h1>"
         body = (f"<header>{title}</header>" if head and around != "<div>{}</div>" else title) + f"<p>{_SAID[0]}<p>{_SAID[1]}</p>" + parts.get(inner, "")
@@ -313,9 +314,10 @@ _PLAIN = (
 
 
 def plain_pages(said: set[str]) -> list[tuple[str, list[int]]]:
-    pages = []
+    pages, said = [], said | {"It rained.", "Oak", "Stone and lime"}
     for n, (around, links, end) in enumerate(itertools.product(_PLAIN, _LINKS, _ENDS)):
         body = (f"<h1>{_SAID[3]}</h1>" if n % 3 else "") + f"<p>{_SAID[0]}</p><p>{_SAID[n % 2 * 4 or 1]}</p><p>{_SAID[2]}</p>" + (_MORE[n % len(_MORE)] if n % 2 else "") + f"<p>{_SAID[5]}</p>"
+        body += "<p>It rained.</p><ul><li>Oak</li><li>Stone and lime</li></ul>" if n % 3 == 0 else ""  # the text's end needn't run
         page = around.format(links, body, end)
         pages.append((page, [int(b.text in said) for b in leaf_blocks(page)]))
     return pages
