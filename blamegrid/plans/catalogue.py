@@ -839,6 +839,29 @@ def stored_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.join(entities, "case_id", "left").select("condition", "replicate", F.array_join("indicators", ",").alias("indicators"), "entities")
 
 
+@query(
+    f"""WITH {_CONDITION}, told AS (SELECT condition || '/' || replicate AS relative, event_id, user_id, service || CASE WHEN user_id % 3 = 0 THEN '_cpu' WHEN user_id % 3 = 1 THEN '_mem' ELSE '_disk' END AS indicator FROM conditions),
+    own AS (SELECT relative, indicator, count(*) AS n, sum(user_id / 8) AS total FROM told GROUP BY relative, indicator)
+    SELECT own.relative, indicator, t.cells, n, round(total, 3) + 0.0 AS total, t.first_ts FROM own
+    JOIN (SELECT relative, count(*) AS cells, min(event_id) + 0.5 AS first_ts FROM told GROUP BY relative) t ON own.relative = t.relative"""
+)
+def stored_unlike_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide CSV file in each case directory, each with columns of its own; an event fills one cell of its line."""
+    path = scratch_path(spark, "unlike")
+    keys = ["condition", "replicate"]
+    indicator = F.concat("service", F.when(F.col("user_id") % 3 == 0, "_cpu").when(F.col("user_id") % 3 == 1, "_mem").otherwise("_disk"))
+    events = _conditions(spark, sf_dir).select(*keys, "event_id", "user_id", indicator.alias("indicator"))
+    heads = events.groupBy(*keys).agg(F.sort_array(F.collect_set("indicator")).alias("names"))
+    filled = F.transform("names", lambda c: F.when(c == F.col("indicator"), (F.col("user_id") / 8).cast("string")).otherwise(""))
+    lines = events.join(heads, keys).select(*keys, F.col("event_id").alias("nr"), F.concat_ws(",", (F.col("event_id") + 0.5).cast("string"), filled).alias("value"))
+    first = heads.select(*keys, F.lit(None).cast("long").alias("nr"), F.concat_ws(",", F.lit('"time"'), "names").alias("value"))
+    lines.unionByName(first).repartition(*keys).sortWithinPartitions(*keys, "nr").drop("nr").write.partitionBy(*keys).text(path)
+    long = ingest.read_telemetry(spark, path, files={"*.txt": "metric"})
+    return long.groupBy("relative", "indicator").agg(
+        F.count(F.lit(1)).alias("cells"), F.count("value").alias("n"), tidy(F.sum("value"), 3).alias("total"), F.min("ts").alias("first_ts")
+    )
+
+
 @query(
     f"WITH {sql.TELEMETRY_B.strip()} SELECT split_part(indicator, '_l_', 1) AS series, 'l_' || split_part(indicator, '_l_', 2) AS indicator, count(*) AS n, round(sum(value), 2) + 0.0 AS total, round(min(ts), 0) + 0.0 AS first_ts FROM telemetry GROUP BY ALL"
 )

@@ -7,19 +7,23 @@ and parsing are DataFrame jobs over Spark's file sources, so any store that Spar
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import AUXILIARIES, head, known_fault, opaque_id, tail
 from ..operators.telemetry import wide_to_long
+from . import ranged
 
 #: The files of a case, and the channels that four of them hold.
 CASE_FILES = ("metrics.csv", "simple_metrics.csv", "logs.csv", "logts.csv", "traces.csv", "tracets_err.csv", "tracets_lat.csv", "inject_time.txt")
 CHANNEL_FILES = {"simple_metrics.csv": "metric", "logts.csv": "log", "tracets_err.csv": "trace-error", "tracets_lat.csv": "trace-latency"}
 
+#: Headers of so many bytes in all are sent to every task; beyond that a file's lines are dealt over SALTS keys.
+BROADCAST_BYTES, SALTS = 32 << 20, 32
+
 
 def _folder(k: int, path: str = "path") -> Column:
     """The ``k``-th part of a path from its end; of a Hive-style folder ``name=value`` the value."""
@@ -40,16 +44,44 @@ def discover_cases(files: DataFrame, replicates: Sequence[str] = ("1", "2", "3")
 
 def read_anchors(spark: SparkSession, root: str, file: str = "inject_time.txt") -> DataFrame:
     """(condition, replicate, anchor): the integer in each case's anchor file (a glob); null if it is none."""
-    texts = spark.read.text(f"{root.rstrip('/')}/*/*/{file}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    texts = spark.read.text(f"{root.rstrip('/')}/*/*/{file}", wholetext=True).select("value", _path().alias("path"))
     return texts.select(_folder(3).alias("condition"), _folder(2).alias("replicate"), F.expr("try_cast(trim(regexp_replace(value, '\\\\s', ' ')) AS bigint)").alias("anchor"))
 
 
+def _path() -> Column:
+    """The file of a row, as ``binaryFile`` names it: not percent-encoded."""
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "file:/")
+
+
+def _first_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, names): the cells of each file's first line that isn't blank; a file without one gives no row."""
+    if ranged.opens(pattern):
+        files = spark.read.format("binaryFile").load(pattern).select("path")  # listed, not read
+        return files.mapInArrow(ranged.read_heads, "path string, names array<string>")
+    lines = spark.read.text(pattern).select("value", _path().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nr"))
+    first = lines.filter((F.col("block") == 0) & (F.trim("value") != "")).groupBy("path").agg(F.min_by("value", "nr").alias("line"))
+    return first.select("path", F.transform(_cells(F.col("line")), _bare).alias("names"))
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a line; commas inside quotes don't part them."""
+    quoted = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
+
+
+def _bare(cell: Column) -> Column:
+    """A cell without the white space and the quotes around it."""
+    return F.trim(F.replace(F.regexp_replace(cell, '^\\s*"|"\\s*$|^\\s+|\\s+$', ""), F.lit('""'), F.lit('"')))
+
+
 def read_headers(spark: SparkSession, root: str, file: str = "simple_metrics.csv") -> DataFrame:
-    """(condition, replicate, indicators): column names of each case's file, from its first line alone."""
-    lines = spark.read.text(f"{root.rstrip('/')}/*/*/{file}").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nr"))
-    first = lines.filter("block = 0").groupBy("path").agg(F.min_by("value", "nr").alias("line"))
-    names = F.transform(F.split("line", ","), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', "")))
-    return first.select(_folder(3).alias("condition"), _folder(2).alias("replicate"), names.alias("indicators"))
+    """(condition, replicate, indicators): column names of each case's file, from its first line that isn't blank.
+
+    Tasks read some kilobytes of each file, until that line ends; in a store that only Spark opens, its first
+    block. A file without such a line gives no row.
+    """
+    return _first_lines(spark, f"{root.rstrip('/')}/*/*/{file}").select(_folder(3).alias("condition"), _folder(2).alias("replicate"), F.col("names").alias("indicators"))
 
 
 def derive_candidates(indicators: DataFrame, auxiliaries: Sequence[str] = AUXILIARIES) -> DataFrame:
@@ -91,30 +123,52 @@ def load_cases(spark: SparkSession, root: str, dataset: str, namespace: str) ->
     return good, whole.filter("reason IS NOT NULL").select("relative", "reason")
 
 
-def read_telemetry(spark: SparkSession, root: str, time: str = "time") -> DataFrame:
-    """(relative, channel, indicator, ts, value) of all channel files; cells that are no numbers are null.
+def _number(cell: Column) -> Column:
+    """The number that a cell holds, null if it is none (``nan`` is none, ``inf`` is one)."""
+    bare = _bare(cell)
+    return F.when(bare.rlike("^(?i)[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"), bare.try_cast("double"))
 
-    The files are many and small and each has its own columns, so each is opened whole by one task; large
-    ones are for ``read_wide_csv``.
-    """
-    files = spark.read.format("binaryFile").load([f"{root.rstrip('/')}/*/*/{f}" for f in CHANNEL_FILES]).select("path", "content")
 
-    def unpivot(batches):
-        import io
+def read_telemetry(spark: SparkSession, root: str, time: str = "time", files: Mapping[str, str] = CHANNEL_FILES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(relative, channel, indicator, ts, value) of all channel files, of any size and each with columns of its own.
 
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                parts = path.split("/")
-                wide = pd.read_csv(io.BytesIO(content), low_memory=False, dtype=str)
-                if time not in wide.columns:
-                    raise ValueError(f"{'/'.join(parts[-3:])} has no column {time}")
-                stamps = pd.to_numeric(wide.pop(time), errors="coerce")
-                for name in wide.columns:
-                    yield pd.DataFrame(
-                        {"relative": "/".join(parts[-3:-1]), "channel": CHANNEL_FILES[parts[-1]], "indicator": name, "ts": stamps, "value": pd.to_numeric(wide[name], errors="coerce")}
-                    )
+    ``files`` maps file names (or globs) in a case's folder to channels. Spark splits the files among tasks by
+    lines; what a line's cells mean comes from the file's header, which is read apart. All headers are sent to
+    every task where they hold at most ``broadcast_bytes`` of text; beyond that lines meet them in a shuffle,
+    dealt over SALTS keys a file, so that a file that holds a third of all lines is no single task.
 
-    return files.mapInPandas(unpivot, "relative string, channel string, indicator string, ts double, value double")
+    Cases: cells that are no numbers, or that a short line lacks, are null; blank lines, and lines that repeat the
+    header, count for nothing; an empty file gives no row. A file without the column ``time``, and a line with
+    filled cells beyond the header's, raise. The second ``a`` of a header is ``a.1``. Cells hold no line breaks.
+    """
+    parts = [_unlike_files(spark, f"{root.rstrip('/')}/*/*/{pattern}", channel, time, broadcast_bytes) for pattern, channel in files.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _unlike_files(spark: SparkSession, pattern: str, channel: str, time: str, broadcast_bytes: int) -> DataFrame:
+    earlier = lambda c, k: F.size(F.filter(F.slice("names", F.lit(1), k), lambda other: other == c))
+    named = F.transform("names", lambda c, k: F.when(earlier(c, k) > 0, F.concat(c, F.lit("."), earlier(c, k).cast("string"))).otherwise(c))
+    heads = _first_lines(spark, pattern).select(F.col("path").alias("of"), named.alias("names"), F.array_position("names", time).alias("at"))
+    lines = spark.read.text(pattern).select("value", _path().alias("path")).filter(F.trim("value") != "")
+    size = heads.agg(F.sum(F.length(F.array_join("names", ",")) + F.length("of"))).first()[0] or 0
+    if size <= broadcast_bytes:
+        met = lines.join(F.broadcast(heads), F.col("path") == F.col("of"))
+    else:
+        dealt = lines.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
+        spread = heads.withColumn("of_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        met = dealt.join(spread, (F.col("path") == F.col("of")) & (F.col("salt") == F.col("of_salt")))
+    place = F.concat_ws("/", _folder(3), _folder(2), _folder(1))
+    row = met.select("path", "names", "at", _cells(F.col("value")).alias("cells"), place.alias("place"))
+    beyond = F.exists(F.slice("cells", F.size("names") + 1, F.size("cells")), lambda c: _bare(c) != "")
+    stamp = (
+        F.when(F.col("at") == 0, F.raise_error(F.concat("place", F.lit(f" has no column {time}"))))
+        .when(beyond, F.raise_error(F.concat("place", F.lit(" has a line of more cells than its header"))))
+        .otherwise(F.get("cells", (F.col("at") - 1).cast("int")))
+    )
+    timed = row.withColumn("stamp", stamp).filter(F.col("stamp").isNull() | (_bare(F.col("stamp")) != time))
+    cells = timed.select(F.concat_ws("/", _folder(3), _folder(2)).alias("relative"), _number(F.col("stamp")).alias("ts"), "at", F.posexplode(F.arrays_zip("names", "cells")))
+    kept = cells.filter((F.col("pos") != F.col("at") - 1) & F.col("col.names").isNotNull())
+    return kept.select("relative", F.lit(channel).alias("channel"), F.col("col.names").alias("indicator"), "ts", _number(F.col("col.cells")).alias("value"))
 
 
 def read_wide_csv(spark: SparkSession, path: str, ids: Sequence[str], time: str = "time") -> DataFrame:
@@ -144,8 +198,14 @@ def manifest(cases: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def checksums(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, sha256) of the files of a directory."""
+    """(path, length, sha256) of the files of a directory.
+
+    Tasks read a file of any length in chunks. In a store that only Spark opens, a file's content is one value, of
+    2 GB at most: a longer one raises.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if ranged.opens(root):
+        return files.select("path", "length").mapInArrow(ranged.read_digests, "path string, length long, sha256 string").orderBy("path")
     return files.select("path", "length", F.sha2("content", 256).alias("sha256")).orderBy("path")
 
 
