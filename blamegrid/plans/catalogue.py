@@ -843,7 +843,7 @@ def stored_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_CONDITION}, told AS (SELECT condition || '/' || replicate AS relative, event_id, user_id, service || CASE WHEN user_id % 3 = 0 THEN '_cpu' WHEN user_id % 3 = 1 THEN '_mem' ELSE '_disk' END AS indicator FROM conditions),
     own AS (SELECT relative, indicator, count(*) AS n, sum(user_id / 8) AS total FROM told GROUP BY relative, indicator)
     SELECT own.relative, indicator, t.cells, n, round(total, 3) + 0.0 AS total, t.first_ts FROM own
-    JOIN (SELECT relative, count(*) AS cells, min(event_id) + 0.5 AS first_ts FROM told GROUP BY relative) t ON own.relative = t.relative"""
+    JOIN (SELECT relative, count(*) AS cells, CAST(min(event_id) + 0.5 AS DOUBLE) AS first_ts FROM told GROUP BY relative) t ON own.relative = t.relative"""
 )
 def stored_unlike_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wide CSV file in each case directory, each with columns of its own; an event fills one cell of its line."""

@@ -66,7 +66,8 @@ def _first_lines(spark: SparkSession, pattern: str) -> DataFrame:
 
 def _cells(line: Column) -> Column:
     """The cells of a line; commas inside quotes don't part them."""
-    quoted = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    cell = r',(\s*+"[^"]*+(?:""[^"]*+)*+"\s*+(?=,|$)|[^,]*+)'  # never steps back, so quoted lines of any width take linear time
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(cell), F.lit(1))
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
 
 

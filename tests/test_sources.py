@@ -126,3 +126,11 @@ def test_checksums(spark, folder, monkeypatch, direct):
     got = {r["path"].rsplit("/", 2)[1]: (r["length"], r["sha256"]) for r in ingest.checksums(spark, str(folder / "svc_cpu")).collect()}
     text = FILES["svc_cpu/1"].encode()
     assert got == {"1": (len(text), hashlib.sha256(text).hexdigest())}
+
+
+def test_quoted_cells_of_wide_lines(spark):
+    wide = ",".join(['"1,5"', *[f'"{k}"' for k in range(20_000)]])
+    lines = ['"a,b",c', ',"",', 'a "b",c', '"a""b" , c', '"open,c', wide]
+    got = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, line string").orderBy("k").select(ingest.F.transform(ingest._cells(ingest.F.col("line")), ingest._bare)).collect()]
+    assert got[:5] == [["a,b", "c"], ["", "", ""], ["a \"b", "c"], ['a"b', "c"], ["open", "c"]]
+    assert got[5] == ["1,5", *map(str, range(20_000))]
